@@ -74,7 +74,7 @@ class BitFilter:
     @staticmethod
     def places(h: np.ndarray, piece_bits: int, probes: int):
         for i in range(probes):
-            yield (mix(h + U(i + 1) * _GOLD) % U(piece_bits)).astype(np.int64)
+            yield (mix(h + U((i + 1) * int(_GOLD) % (1 << 64))) % U(piece_bits)).astype(np.int64)
 
     def __contains__(self, h: int) -> bool:
         return bool(self.might_contain(np.array([h], np.uint64))[0])
