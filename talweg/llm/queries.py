@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import chat_format, decontamination, minhash_dedup, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from talweg.llm import chat_format, decontamination, lm_scoring, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(attack))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("n_run")
 
@@ -46,5 +50,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_minhash_dedup, op4_chat_format, op6_url_filters, op7_source_mixing, op8_quality_rules, op9_substring_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_decontamination,
+        op3_minhash_dedup,
+        op4_chat_format,
+        op5_lm_scoring,
+        op6_url_filters,
+        op7_source_mixing,
+        op8_quality_rules,
+        op9_substring_dedup,
+        op10_quality_classifier,
+    )
+}
 ORACLES = {"op6_url_filters": url_filters.ORACLE, "op7_source_mixing": source_mixing.ORACLE}
