@@ -1,0 +1 @@
+"""Terrain operators on DataFrames of cells."""

@@ -1,4 +1,5 @@
 """Registered terrain queries, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talweg.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers of elevation grids and node-link files."""
