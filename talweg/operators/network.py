@@ -54,3 +54,65 @@ def display_scale(points: DataFrame, extra: DataFrame | None = None) -> DataFram
     box = every.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     scaled = lambda v, a, b: (F.col(v) - F.col(a)) / F.greatest(F.col(b) - F.col(a), F.lit(1.0)) * 90 + 2.5
     return points.crossJoin(F.broadcast(box)).select("node_id", "x", "y", scaled("x", "x0", "x1").alias("sx"), scaled("y", "y0", "y1").alias("sy"))  # box: one row
+
+
+def outlet_paths(assigned: DataFrame, tree: DataFrame, grid, model_outlet: int | None = None) -> DataFrame:
+    """(outlet_id, ds_id, cells): each subcatchment outlet's way, from itself to the next outlet, the model outlet, or the first cell outside.
+
+    The way below an outlet runs inside one other subcatchment, so each subcatchment's task
+    walks the ways that enter it. The model outlet ends a way even where it is an outlet
+    itself; such ways have no ds_id and lead to the model's outlet node.
+    """
+    import pandas as pd
+
+    m = -1 if model_outlet is None else int(model_outlet)
+    outlets = assigned.select("outlet_id").distinct()
+    starts = outlets.join(tree.select(F.col("cell_id").alias("outlet_id"), F.col("down_id").alias("entry")), "outlet_id")
+    owner = assigned.select(F.col("cell_id").alias("entry"), F.col("outlet_id").alias("owner"))
+    starts = starts.join(owner, "entry", "left").select("outlet_id", "entry", F.when(F.col("outlet_id") == m, F.lit(None)).otherwise(F.col("owner")).alias("owner"))
+    ended = starts.where("owner is null").select("outlet_id", F.lit(None).cast("long").alias("ds_id"), F.when((F.col("entry") >= 0) & (F.col("outlet_id") != m), F.array("outlet_id", "entry")).otherwise(F.array("outlet_id")).alias("cells"))
+    inside = assigned.join(tree.select("cell_id", "down_id"), "cell_id").select(F.col("outlet_id").alias("owner"), "cell_id", "down_id")
+
+    def walk(key, ways: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        down, goal, out = dict(zip(cells.cell_id.tolist(), cells.down_id.tolist())), int(key[0]), []
+        for start, entry in zip(ways.outlet_id.tolist(), ways.entry.tolist()):
+            way = [start, entry]
+            while way[-1] != m and way[-1] != goal:
+                way.append(down[way[-1]])
+            out.append((start, None if way[-1] == m else goal, way))
+        return pd.DataFrame({"outlet_id": pd.Series([x[0] for x in out], dtype="int64"), "ds_id": pd.array([x[1] for x in out], "Int64"), "cells": pd.Series([x[2] for x in out], dtype=object)})
+
+    walked = starts.where("owner is not null").groupBy("owner").cogroup(inside.groupBy("owner")).applyInPandas(walk, "outlet_id long, ds_id long, cells array<long>")
+    return ended.unionByName(walked)
+
+
+def path_measures(paths: DataFrame, grid, end_point: tuple[float, float]) -> DataFrame:
+    """(outlet_id, ds_id, length_m, mid_x, mid_y) of the ways; those without ds_id go on to the model's outlet node at end_point."""
+    from talweg.functions import geometry as G
+
+    end = G.point(F.lit(float(end_point[0])), F.lit(float(end_point[1])))
+    points = F.transform("cells", lambda c: G.centre(grid, c))
+    points = F.when(F.col("ds_id").isNull(), F.concat(points, F.array(end))).otherwise(points)
+    p = paths.select("outlet_id", "ds_id", points.alias("p"))
+    # consecutive equal points count once; a way of one point gets a short stub
+    step = lambda i: F.hypot(F.element_at("p", i + 1)["x"] - F.element_at("p", i)["x"], F.element_at("p", i + 1)["y"] - F.element_at("p", i)["y"])
+    steps = F.when(F.size("p") > 1, F.transform(F.sequence(F.lit(1), F.size("p") - 1), step)).otherwise(F.array().cast("array<double>"))
+    p = p.withColumn("steps", steps).withColumn("length", F.aggregate("steps", F.lit(0.0), lambda a, v: a + v))
+    stub = max(grid.cell_width, grid.cell_height, 1.0) * 0.25
+    half = F.col("length") / 2
+    # walk: (done, index of the segment that holds the middle, way along it)
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("i"), F.lit(-1.0).alias("t"))
+    found = F.aggregate(
+        "steps",
+        start,
+        lambda a, v: F.struct(
+            F.when((a["t"] >= 0) | (v <= 0), a["w"]).otherwise(a["w"] + v).alias("w"),
+            F.when(a["t"] >= 0, a["i"]).otherwise(a["i"] + 1).alias("i"),
+            F.when(a["t"] >= 0, a["t"]).when((v > 0) & (a["w"] + v >= half), (half - a["w"]) / v).otherwise(F.lit(-1.0)).alias("t"),
+        ),
+    )
+    p = p.withColumn("f", found)
+    a, b = F.element_at("p", F.greatest(F.col("f.i"), F.lit(1))), F.element_at("p", F.least(F.col("f.i") + 1, F.size("p")))
+    mid = lambda k: F.when(F.col("length") > 0, a[k] + (b[k] - a[k]) * F.col("f.t")).otherwise(F.element_at("p", 1)[k] + (stub / 2 if k == "x" else -stub / 2))
+    length = F.when(F.col("length") > 0, F.col("length")).otherwise(F.lit(float((2 * stub * stub) ** 0.5)))
+    return p.select("outlet_id", "ds_id", length.alias("length_m"), mid("x").alias("mid_x"), mid("y").alias("mid_y"))
