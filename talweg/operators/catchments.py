@@ -37,6 +37,17 @@ def model_outlet(crossed: DataFrame) -> DataFrame:
     return crossed.agg(F.max(F.struct("acc_cells", "cell_id")).alias("m")).where("m is not null").select("m.cell_id", "m.acc_cells")
 
 
+def line_middle(line: list[Point]) -> Point:
+    """The point half way along a drawn line: where an outlet node stands without a model outlet."""
+    steps = [((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5 for (x0, y0), (x1, y1) in zip(line, line[1:])]
+    left = sum(steps) / 2
+    for (x0, y0), (x1, y1), step in zip(line, line[1:], steps):
+        if step > 0 and left <= step:
+            return x0 + (x1 - x0) * left / step, y0 + (y1 - y0) * left / step
+        left -= step
+    return line[0]
+
+
 def nearest_segment(paths: DataFrame, grid: Grid, x: float, y: float, max_distance: float | None = None) -> DataFrame:
     """(cell_id, distance) of the flow segment nearest to a point; ties by the smaller id."""
     cell, down = F.col("cell_id"), F.col("down_id")

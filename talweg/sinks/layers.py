@@ -104,6 +104,22 @@ def write_gpkg(layer: DataFrame, path: str, table: str, geometry: str = "geom",
         db.close()
 
 
+def read_gpkg(spark, path: str, table: str) -> DataFrame:
+    """A layer of a GeoPackage, with its geometry as WKB: the check of an export."""
+    db = sqlite3.connect(path)
+    try:
+        column = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (table,)).fetchone()
+        if column is None:
+            raise TerrainError(f"the file has no layer {table}")
+        info = [(r[1], r[2].upper()) for r in db.execute(f'PRAGMA table_info("{table}")')]
+        back = {v: k() for k, v in _SQL_TYPE.items()}
+        schema = T.StructType([T.StructField(n, T.BinaryType() if n == column[0] else back.get(t, T.StringType())) for n, t in info])
+        rows = [tuple(from_gpkg_blob(v) if n == column[0] else v for (n, _), v in zip(info, r)) for r in db.execute(f'SELECT * FROM "{table}"')]
+    finally:
+        db.close()
+    return spark.createDataFrame(rows, schema)
+
+
 # --- shapefiles -------------------------------------------------------------
 
 

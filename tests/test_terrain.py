@@ -151,6 +151,7 @@ def test_points_and_lines(spark, seven):
     assert catchments.cell_under(seven.cells, G7, 30.2, -1.9).count() == 0
     with pytest.raises(TerrainError):
         catchments.line_crossing(paths, G7, [(0, 0)])
+    assert catchments.line_middle([(0.0, 0.0), (0.0, 0.0), (2.0, 0.0), (2.0, 4.0)]) == (2.0, 1.0)
     assert streams.style(paths).count() == 2
 
 
@@ -291,7 +292,7 @@ C 5 1 2 0 3 0 4.5 0.2 1 0
     assert [(p.x, p.y) for p in links.where("reach_id = '2'").first().line] == [(11.0, 21.0), (16.0, 26.0), (30.0, 40.0)]
 
 
-def test_gpkg_and_shapefiles(tmp_path, seven, model):
+def test_gpkg_and_shapefiles(spark, tmp_path, seven, model):
     path = str(tmp_path / "o.gpkg")
     shapes = dissolve.dissolve(model.withColumnRenamed("outlet_id", "group_id"), G7)
     layers.write_layers(streams.path_lines(seven.flow_paths(2), G7), shapes, path, "EPSG:32755")
@@ -301,6 +302,8 @@ def test_gpkg_and_shapefiles(tmp_path, seven, model):
     blob = db.execute("SELECT wkb FROM subcatchments WHERE group_id = 24").fetchone()[0]
     assert blob[:2] == b"GP" and sum(dissolve.ring_area(x) for p in dissolve.read_multipolygon(layers.from_gpkg_blob(blob)) for x in p) == 9.0
     db.close()
+    back = layers.read_gpkg(spark, path, "flow_paths")
+    assert pairs(back, "cell_id", "down_id", "length_m") == pairs(seven.flow_paths(2), "cell_id", "down_id", "length_m")
     with pytest.raises(TerrainError):
         layers.write_gpkg(shapes, path, "subcatchments", "wkb", overwrite_layer=False)
     folder, files, ha = layers.write_tuflow(model, G7, str(tmp_path / "t"))
@@ -324,6 +327,60 @@ def test_ascii_grid(spark, tmp_path):
     assert (g.min_cells(9), g.min_cells(0), g.min_cells(None)) == (3, 1, 1)
 
 
+def tiff(values, kind, deflate, tile=0, predictor=False):
+    """A small GeoTIFF: origin (100, 50), cells of 2 by 3, nodata -9999."""
+    import zlib
+
+    import numpy as np
+
+    v = np.asarray(values, dtype=kind)
+    h, w = v.shape
+    step = tile or 2
+    parts = []
+    for r in range(0, h, step):
+        for c in range(0, w, tile or w):
+            b = v[r : r + step, c : c + (tile or w)]
+            if tile:
+                b = np.pad(b, ((0, tile - b.shape[0]), (0, tile - b.shape[1])))
+            if predictor:
+                b = np.concatenate([b[:, :1], np.diff(b, axis=1)], 1)
+            raw = np.ascontiguousarray(b).tobytes()
+            parts.append(zlib.compress(raw) if deflate else raw)
+    offsets, data, at = [], b"", 8
+    for p in parts:
+        offsets.append(at + len(data))
+        data += p
+    form = {"u": 1, "i": 2, "f": 3}[np.dtype(kind).kind]
+    entries = [(256, "I", [w]), (257, "I", [h]), (258, "H", [v.itemsize * 8]), (259, "H", [8 if deflate else 1]), (277, "H", [1]), (317, "H", [2 if predictor else 1]), (339, "H", [form]), (33550, "d", [2.0, 3.0, 0.0]), (33922, "d", [0.0, 0.0, 0.0, 100.0, 50.0, 0.0]), (42113, "s", b"-9999\0")]
+    entries += [(322, "I", [tile]), (323, "I", [tile]), (324, "I", offsets), (325, "I", [len(p) for p in parts])] if tile else [(273, "I", offsets), (278, "I", [step]), (279, "I", [len(p) for p in parts])]
+    entries.sort()
+    extra, at, out = b"", 8 + len(data), b""
+    base = at + 2 + 12 * len(entries) + 4
+    for tag, code, values in entries:
+        body = values if code == "s" else struct.pack("<" + code * len(values), *values)
+        kind_no = {"H": 3, "I": 4, "d": 12, "s": 2}[code]
+        out += struct.pack("<HHI", tag, kind_no, len(values))
+        if len(body) <= 4:
+            out += body.ljust(4, b"\0")
+        else:
+            out += struct.pack("<I", base + len(extra))
+            extra += body
+    return struct.pack("<2sHI", b"II", 42, at) + data + struct.pack("<H", len(entries)) + out + b"\0" * 4 + extra
+
+
+@pytest.mark.parametrize("kind,deflate,tile,predictor", [("<f4", False, 0, False), ("<i2", True, 0, True), ("<f8", True, 4, False), ("<u2", False, 4, True)])
+def test_geotiff(spark, tmp_path, kind, deflate, tile, predictor):
+    from talweg.sources.geotiff import read_geotiff
+
+    values = [[7 * r + c for c in range(7)] for r in range(5)]
+    (tmp_path / "a.tif").write_bytes(tiff(values, kind, deflate, tile, predictor))
+    g, cells = read_geotiff(spark, str(tmp_path / "a.tif"))
+    assert (g.rows, g.cols, g.x0, g.dx, g.y0, g.dy, g.nodata) == (5, 7, 100.0, 2.0, 50.0, -3.0, -9999.0)
+    assert {r.cell_id: r.z for r in cells.collect()} == {i: float(i) for i in range(35)}
+    with pytest.raises(Exception):
+        read_geotiff(spark, str(tmp_path / "none.tif"))
+
+
 def test_stream_of_dems(spark, tmp_path):
     from talweg.streaming import flood_stream, read_cell_stream
 
