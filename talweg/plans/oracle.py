@@ -12,49 +12,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rcv": (("seed",), "rcv AS MATERIALIZED (SELECT n.cell_id, CASE WHEN s.cell_id IS NOT NULL THEN -1 ELSE n.best END::BIGINT AS down_id FROM (SELECT cell_id, arg_min(nbr_id, nbr_z) best FROM nbr GROUP BY 1) n LEFT JOIN seed s USING (cell_id))"),
     "anc": (("rcv",), "anc AS (SELECT cell_id, cell_id AS up FROM rcv UNION ALL SELECT r.down_id, a.up FROM anc a JOIN rcv r ON r.cell_id=a.cell_id WHERE r.down_id>=0)"),
     "acc": (("anc",), "acc AS MATERIALIZED (SELECT r.cell_id, r.down_id, a.n::BIGINT AS acc FROM rcv r JOIN (SELECT cell_id, count(*) n FROM anc GROUP BY 1) a USING (cell_id))"),
-    "ord": (
-        ("acc",),
-        """ord(cell_id, s) USING KEY (cell_id) AS (
-  SELECT cell_id, 1 FROM acc
-  UNION
-  SELECT q.cell_id, q.n FROM (
-    SELECT g.down_id AS cell_id, max(g.top + CASE WHEN g.k>1 THEN 1 ELSE 0 END) AS n FROM (
-      SELECT a.down_id, max(t.s) AS top, count(*) FILTER (WHERE t.s=m.mx) AS k
-      FROM recurring.ord t JOIN acc a USING (cell_id) JOIN (SELECT a2.down_id, max(t2.s) mx FROM recurring.ord t2 JOIN acc a2 USING (cell_id) GROUP BY 1) m ON m.down_id=a.down_id
-      WHERE a.down_id>=0 GROUP BY 1) g GROUP BY 1) q
-  JOIN recurring.ord cur USING (cell_id) WHERE q.n<>cur.s)""",
-    ),
     "shown": (("acc",), "shown AS MATERIALIZED (SELECT cell_id, down_id, acc FROM acc WHERE down_id>=0 AND acc>=10)"),
-    "sord": (
-        ("shown",),
-        """sord(cell_id, s) USING KEY (cell_id) AS (
-  SELECT cell_id, 1 FROM shown
-  UNION
-  SELECT q.cell_id, q.n FROM (
-    SELECT g.down_id AS cell_id, max(g.top + CASE WHEN g.k>1 THEN 1 ELSE 0 END) AS n FROM (
-      SELECT a.down_id, max(t.s) AS top, count(*) FILTER (WHERE t.s=m.mx) AS k
-      FROM recurring.sord t JOIN shown a USING (cell_id) JOIN (SELECT a2.down_id, max(t2.s) mx FROM recurring.sord t2 JOIN shown a2 USING (cell_id) GROUP BY 1) m ON m.down_id=a.down_id
-      GROUP BY 1) g GROUP BY 1) q
-  JOIN recurring.sord cur USING (cell_id) WHERE q.n<>cur.s)""",
-    ),
-    "paths": (
-        ("sord",),
-        """paths AS MATERIALIZED (SELECT h.cell_id, (h.cell_id//125)::INT AS "row", (h.cell_id%125)::INT AS col, h.down_id, h.acc AS acc_cells, o.s::INT AS strahler,
-  round(sqrt(power(10.0*(h.down_id%125-h.cell_id%125),2)+power(10.0*(h.down_id//125-h.cell_id//125),2)),2) AS length_m FROM shown h JOIN sord o USING (cell_id))""",
-    ),
-    "merge": (
-        ("paths",),
-        """kin AS (SELECT down_id, strahler, count(*) k FROM paths GROUP BY 1,2),
-mrg AS MATERIALIZED (SELECT p.cell_id, p.acc_cells, p.strahler, p.down_id, d.cell_id AS nxt FROM paths p LEFT JOIN kin k ON k.down_id=p.down_id AND k.strahler=p.strahler AND k.k=1 LEFT JOIN paths d ON d.cell_id=k.down_id AND d.strahler=p.strahler)""",
-    ),
-    "chain": (("merge",), "chain AS (SELECT cell_id, cell_id AS last FROM mrg WHERE nxt IS NULL UNION ALL SELECT m.cell_id, c.last FROM chain c JOIN mrg m ON m.nxt=c.cell_id)"),
-    "reach": (
-        ("chain",),
-        """reach AS (SELECT row_number() OVER (ORDER BY strahler, from_acc, start_cell) AS reach_id, * FROM (
-  SELECT arg_min(m.cell_id, m.acc_cells) AS start_cell, c.last AS end_cell, count(*) AS cell_count, min(m.acc_cells) AS from_acc, max(m.acc_cells) AS to_acc, any_value(m.strahler) AS strahler,
-         round(sum(sqrt(power(10.0*(m.down_id%125-m.cell_id%125),2)+power(10.0*(m.down_id//125-m.cell_id//125),2))),2) AS length_m
-  FROM chain c JOIN mrg m USING (cell_id) GROUP BY c.last) q)""",
-    ),
     # the outlet line of the queries: from (300, -60) to (800, -63)
     "crossed": (
         ("paths",),
@@ -69,6 +27,45 @@ crossed AS MATERIALIZED (SELECT cell_id, acc_cells FROM orient WHERE greatest(ax
 }
 
 
+def _orders(name: str, inside: str) -> str:
+    """Strahler orders of the relation ``inside`` (cell_id, down_id): a fixpoint of largest order and how often it occurs."""
+    return f"""{name}(cell_id, s) USING KEY (cell_id) AS (
+  SELECT cell_id, 1 FROM {inside}
+  UNION
+  SELECT q.cell_id, q.n FROM (
+    SELECT g.down_id AS cell_id, max(g.top + CASE WHEN g.k>1 THEN 1 ELSE 0 END) AS n FROM (
+      SELECT a.down_id, max(t.s) AS top, count(*) FILTER (WHERE t.s=m.mx) AS k
+      FROM recurring.{name} t JOIN {inside} a USING (cell_id) JOIN (SELECT a2.down_id, max(t2.s) mx FROM recurring.{name} t2 JOIN {inside} a2 USING (cell_id) GROUP BY 1) m ON m.down_id=a.down_id
+      WHERE a.down_id>=0 GROUP BY 1) g GROUP BY 1) q
+  JOIN recurring.{name} cur USING (cell_id) WHERE q.n<>cur.s)"""
+
+
+def _reach_parts(mark: str, shown: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Parts that lead from displayed cells to paths and reaches; mark sets their names apart."""
+    length = "sqrt(power(10.0*(h.down_id%125-h.cell_id%125),2)+power(10.0*(h.down_id//125-h.cell_id//125),2))"
+    return {
+        f"{mark}sord": ((shown,), _orders(f"{mark}sord", shown)),
+        f"{mark}paths": (
+            (f"{mark}sord",),
+            f"""{mark}paths AS MATERIALIZED (SELECT h.cell_id, (h.cell_id//125)::INT AS "row", (h.cell_id%125)::INT AS col, h.down_id, h.acc AS acc_cells, o.s::INT AS strahler, round({length},2) AS length_m
+  FROM {shown} h JOIN {mark}sord o USING (cell_id))""",
+        ),
+        f"{mark}merge": (
+            (f"{mark}paths",),
+            f"""{mark}kin AS (SELECT down_id, strahler, count(*) k FROM {mark}paths GROUP BY 1,2),
+{mark}mrg AS MATERIALIZED (SELECT p.cell_id, p.acc_cells, p.strahler, p.down_id, d.cell_id AS nxt FROM {mark}paths p LEFT JOIN {mark}kin k ON k.down_id=p.down_id AND k.strahler=p.strahler AND k.k=1
+  LEFT JOIN {mark}paths d ON d.cell_id=k.down_id AND d.strahler=p.strahler)""",
+        ),
+        f"{mark}chain": ((f"{mark}merge",), f"{mark}chain AS (SELECT cell_id, cell_id AS last FROM {mark}mrg WHERE nxt IS NULL UNION ALL SELECT m.cell_id, c.last FROM {mark}chain c JOIN {mark}mrg m ON m.nxt=c.cell_id)"),
+        f"{mark}reach": (
+            (f"{mark}chain",),
+            f"""{mark}reach AS (SELECT row_number() OVER (ORDER BY strahler, from_acc, start_cell) AS reach_id, * FROM (
+  SELECT arg_min(h.cell_id, h.acc_cells) AS start_cell, c.last AS end_cell, count(*) AS cell_count, min(h.acc_cells) AS from_acc, max(h.acc_cells) AS to_acc, any_value(h.strahler) AS strahler, round(sum({length}),2) AS length_m
+  FROM {mark}chain c JOIN {mark}mrg h USING (cell_id) GROUP BY c.last) q)""",
+        ),
+    }
+
+
 def _open(name: str, m: int, inside: str) -> str:
     """Open cells and chosen outlets of the greedy cut of the relation ``inside`` (cell_id, down_id within it or -1)."""
     return f"""{name}_open(cell_id, cnt) USING KEY (cell_id) AS (
@@ -81,7 +78,15 @@ def _open(name: str, m: int, inside: str) -> str:
 {name} AS MATERIALIZED (SELECT cell_id, cnt AS open_cells FROM {name}_open JOIN {inside} USING (cell_id) WHERE cnt>={m} OR down_id<0)"""
 
 
+PARTS |= {"ord": (("acc",), _orders("ord", "acc"))} | _reach_parts("", "shown") | _reach_parts("r", "kept")
 PARTS |= {
+    "kept": (("dasg", "shown"), "kept AS MATERIALIZED (SELECT * FROM shown WHERE cell_id IN (SELECT cell_id FROM dasg))"),
+    "way": (
+        ("dasg", "dgreedy"),
+        """way AS (SELECT g.cell_id AS outlet_id, a.down_id AS cell_id, 1 AS n, sqrt(power(10.0*(a.down_id%125-a.cell_id%125),2)+power(10.0*(a.down_id//125-a.cell_id//125),2)) AS len FROM dgreedy g JOIN acc a USING (cell_id) WHERE a.down_id>=0
+  UNION ALL SELECT w.outlet_id, a.down_id, w.n+1, w.len+sqrt(power(10.0*(a.down_id%125-a.cell_id%125),2)+power(10.0*(a.down_id//125-a.cell_id//125),2)) FROM way w JOIN dasg d ON d.cell_id=w.cell_id JOIN acc a ON a.cell_id=w.cell_id
+  WHERE w.cell_id NOT IN (SELECT cell_id FROM dgreedy) AND a.down_id>=0)""",
+    ),
     "greedy": (("acc",), _open("greedy", 100, "acc")),
     "asg": (("greedy",), "asg AS (SELECT cell_id, cell_id AS outlet_id FROM greedy UNION ALL SELECT r.cell_id, a.outlet_id FROM asg a JOIN rcv r ON r.down_id=a.cell_id WHERE r.cell_id NOT IN (SELECT cell_id FROM greedy))"),
     "inside": (("dom", "acc"), "inside AS MATERIALIZED (SELECT a.cell_id, CASE WHEN d2.cell_id IS NULL THEN -1 ELSE a.down_id END AS down_id, a.acc FROM acc a JOIN dom d USING (cell_id) LEFT JOIN dom d2 ON d2.cell_id=a.down_id)"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from talweg.engine import Terrain
 from talweg.functions import geometry as G
 from talweg.functions.lineage import cut
-from talweg.operators import catchments, masks, network, routing, streams
+from talweg.operators import catchments, dissolve, masks, network, routing, streams
 from talweg.plans.oracle import sql
+from talweg.sources import catg
 from talweg.sources import grid as grids
 
 MIN_ACC, MIN_CELLS = 10, 100
@@ -258,13 +259,56 @@ def group_sizes(s, d):
     return catchments.selection_summary(selection_normalised(s, d), t.grid)
 
 
+def outlines(s, d):
+    """Area of each subcatchment's traced outline, and how many cell sides it had before straight runs were joined."""
+    t = terrain(s, d)
+    groups = assigned(t).withColumnRenamed("outlet_id", "group_id")
+    sides = dissolve.boundary_edges(groups, t.grid).groupBy("group_id").agg(F.count(F.lit(1)).alias("sides"))
+    return dissolve.dissolve(groups, t.grid).join(sides, "group_id").select(F.col("group_id").alias("outlet_id"), F.round("area", 3).alias("area"), "sides")
+
+
+def outlet_paths(s, d):
+    """Each outlet's way to the next: where it leads (-1: out), its cells and length."""
+    t = terrain(s, d)
+    ways = network.outlet_paths(assigned(t), t.tree, t.grid)
+    steps = F.transform(F.sequence(F.lit(1), F.size("cells") - 1), lambda i: G.segment_length(t.grid, F.element_at("cells", i), F.element_at("cells", i + 1)))
+    length = F.when(F.size("cells") > 1, F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)).otherwise(0.0)
+    return ways.select("outlet_id", F.coalesce("ds_id", F.lit(-1)).alias("ds_id"), F.size("cells").cast("long").alias("n_cells"), F.round(length, 3).alias("length_m"))
+
+
+def _catg_lines(s, d) -> DataFrame:
+    """The nations as a node-link file: each flows to the next one, the last is the outlet; every third reach has a name."""
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("double").alias("v"))
+    last = F.col("k") == 24
+    node = F.format_string("C %6d%15.3f%15.3f%15.3f %d %d%6d N%-20d%15.3f%15.3f%3d  0  0", F.col("k") + 1, F.col("k") * 1.5, 90 - F.col("v"), F.lit(1.0), (~last).cast("int"), last.cast("int"), F.when(last, 0).otherwise(F.col("k") + 2), "k", F.col("v") / 8 + 0.5, F.col("v") / 16, F.when(last, 72).otherwise(0))
+    reach = F.format_string("C %6d %-20s%6d%6d%15d%2d 0%15.3f%15.3f%6d  0", F.col("k") + 1, F.when(F.col("k") % 3 == 0, F.concat(F.lit("R"), F.col("k"))).otherwise(""), F.col("k") + 1, F.col("k") + 2, F.lit(0), F.lit(1), F.col("k") * 0.25, F.lit(0.125), F.lit(1))
+    mid = [F.format_string("C %15.3f", F.col("k") * 1.5 + 0.75), F.format_string("C %15.3f", 90 - F.col("v"))]
+    fixed = lambda pos, line: s.range(1).select(F.lit(pos).cast("long").alias("pos"), F.lit(line).alias("line"))
+    parts = [fixed(0, "C #NODES"), fixed(1, "C     25"), n.select((F.col("k") * 2 + 2).alias("pos"), node.alias("line")), n.select((F.col("k") * 2 + 3).alias("pos"), F.lit("C ").alias("line")), fixed(1000, "C #REACHES"), fixed(1001, "C     25")]
+    parts += [n.select((F.col("k") * 3 + 1002 + i).alias("pos"), x.alias("line")) for i, x in enumerate([reach, *mid])] + [fixed(2000, "C END RORB_GE")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.lit("nations").alias("file"), "pos", "line")
+
+
+def catg_nodes(s, d):
+    return catg.from_lines(_catg_lines(s, d))[0].select("node_id", "name", "downstream", "is_basin", "is_outlet", "area_km2", "imperv_frac", "print_code", "x", "y")
+
+
+def catg_links(s, d):
+    """Links between known nodes; the last reach leads to none and is left out."""
+    links = catg.from_lines(_catg_lines(s, d))[1]
+    return links.select("reach_id", "name", "us_node", "ds_node", "reach_type", "length_km", "slope", F.element_at("line", 2)["x"].alias("mid_x"), F.size("line").cast("long").alias("n_points"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dem_cells, seeds, neighbours, receiver, filled, exact_flood, accumulation, flow_paths, cell_strahler, stream_strahler, reaches,
         upstream_trace, trace_count, line_crossing, nearest_segment, model_outlet, min_cells, greedy_outlets, assignment, subcatchments,
         subcatchment_totals, restricted_flow_paths, restricted_reaches, highlight, selection_normalised, group_sizes, downstream_map, depth_order,
-        terminal_count, receivers_set, mask_quality, mask_filter, nodata_cells, centroids, display_scale, impervious_norm, drainage_order,
+        terminal_count, receivers_set, mask_quality, mask_filter, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, outlet_paths, catg_nodes, catg_links,
     )
 }
 
@@ -331,6 +375,22 @@ SELECT cell_id, f AS filled FROM fill""",
         "SELECT count(*) AS n, sum(cell_count)::BIGINT AS cells, round(sum(area_m2)/1e4,2) AS total_ha_2, round(sum(area_m2)/1e4,3) AS total_ha_3, (SELECT count(*)//100 FROM cells)::BIGINT AS most FROM subs", "subs"
     ),
     "restricted_flow_paths": sql("SELECT * FROM paths WHERE cell_id IN (SELECT cell_id FROM dasg)", "dasg"),
+    "restricted_reaches": sql("SELECT * FROM rreach", "rreach"),
+    "outlines": sql(
+        """SELECT outlet_id, count(*)*100.0 AS area, sum(4-k)::BIGINT AS sides FROM (
+  SELECT a.outlet_id, a.cell_id, count(b.cell_id) AS k FROM dasg a LEFT JOIN dasg b ON b.outlet_id=a.outlet_id AND ((b.cell_id=a.cell_id-125 OR b.cell_id=a.cell_id+125) OR (b.cell_id=a.cell_id+1 AND a.cell_id%125<124) OR (b.cell_id=a.cell_id-1 AND a.cell_id%125>0)) GROUP BY 1,2) GROUP BY 1""",
+        "dasg",
+    ),
+    "outlet_paths": sql(
+        """SELECT g.cell_id AS outlet_id, coalesce(max(CASE WHEN e.cell_id IN (SELECT cell_id FROM dgreedy) THEN e.cell_id END),-1) AS ds_id, coalesce(max(e.n),0)::BIGINT+1 AS n_cells, round(coalesce(max(e.len),0.0),3) AS length_m
+FROM dgreedy g LEFT JOIN way e ON e.outlet_id=g.cell_id GROUP BY 1""",
+        "way",
+    ),
+    "catg_nodes": """SELECT (n_nationkey+1)::VARCHAR AS node_id, 'N'||n_nationkey AS name, CASE WHEN n_nationkey=24 THEN 0 ELSE n_nationkey+2 END::VARCHAR AS downstream, CASE WHEN n_nationkey=24 THEN 0 ELSE 1 END::INT AS is_basin,
+  CASE WHEN n_nationkey=24 THEN 1 ELSE 0 END::INT AS is_outlet, round(n_regionkey/8.0+0.5,3) AS area_km2, round(n_regionkey/16.0+1e-9,3) AS imperv_frac, CASE WHEN n_nationkey=24 THEN 72 ELSE 0 END::INT AS print_code,
+  n_nationkey*1.5::DOUBLE AS x, (90-n_regionkey)::DOUBLE AS y FROM nation""",
+    "catg_links": """SELECT (n_nationkey+1)::VARCHAR AS reach_id, CASE WHEN n_nationkey%3=0 THEN 'R'||n_nationkey ELSE '' END AS name, (n_nationkey+1)::VARCHAR AS us_node, (n_nationkey+2)::VARCHAR AS ds_node, 1::INT AS reach_type,
+  n_nationkey*0.25::DOUBLE AS length_km, 0.125::DOUBLE AS slope, n_nationkey*1.5::DOUBLE+0.75 AS mid_x, 3::BIGINT AS n_points FROM nation WHERE n_nationkey<24""",
     "highlight": sql("SELECT cell_id, acc_cells, strahler FROM paths WHERE cell_id IN (SELECT cell_id FROM up)", "up", "paths"),
     "selection_normalised": sql(
         "SELECT p.cell_id AS group_id, a.up AS cell_id FROM paths p JOIN anc a USING (cell_id) WHERE p.cell_id%7=0 AND NOT EXISTS (SELECT 1 FROM paths q JOIN anc b ON b.cell_id=q.cell_id WHERE q.cell_id%7=0 AND b.up=p.cell_id AND q.cell_id<>p.cell_id)", "paths", "anc"
