@@ -8,10 +8,13 @@ their steps together on numpy arrays.
 Documents with equal shingle sets are one class, and only classes go on. Band keys put
 classes into buckets. Round one compares each class with the class of least id in its
 buckets that shares most of them; linked classes become components. Round two compares
-what may still be missing: pairs that share a bucket, differ in component, and are not
-both in their bucket's largest component. Every comparison is made on the full sets. So a
-bucket of a thousand copies costs a thousand comparisons, not their square, and every
-pair that shares a bucket is either compared or already connected.
+what may still be missing: pairs that share a bucket and differ in component, so that one
+of them at least is outside the bucket's largest component. In a cloud of copies that
+drift away from one text such pairs are many, but few are alike enough: two sets that
+reach the share have in common one of the rarest shingles of both, at a place that their
+sizes bound. Only pairs that meet under such a shingle are compared. Every comparison is
+made on the full sets, and every pair that shares a bucket is compared, connected, or
+known to be too different.
 
 With bands of ``rows`` places, a pair of similarity s shares no bucket with probability
 (1 - s**rows)**bands; the defaults leave 8e-6 at 0.85 and 9e-5 at 0.8.
@@ -34,6 +37,8 @@ from talweg.llm._text import SPACE, U, Chunk, chunks, lists, longs, mix, span_ha
 from talweg.llm.components import components
 
 PLACES, BANDS = 100, 20
+LEVELS = (4, 16, 64, 256, 1024, 4096, 16384)  # counts that tell common shingles from rare ones
+_MARK = 0x2545F4914F6CDD1D
 _GOLD, _STEP = 0x9E3779B97F4A7C15, 40  # a step's values lie in [j, j + 1) * 2**_STEP
 
 
@@ -138,6 +143,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "v").join(one, "u").where(100 * both >= percent * either).select("u", "v").distinct()
 
 
+def _rarity(members: DataFrame) -> BitFilter:
+    """Tells how common a shingle is among the members, as the number of LEVELS that its count reaches. A level too many now and then does no harm: all see the same one."""
+    counts = members.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEVELS[0])
+    # a level's mark changes the hash; the products are taken here as longs do not overflow in SQL
+    marks = F.array(*(F.lit(int(np.uint64(k * _MARK % (1 << 64)).view(np.int64))) for k in range(1, len(LEVELS) + 1)))
+    reached = F.array_compact(F.array(*(F.when(F.col("n") >= n, F.lit(k + 1)) for k, n in enumerate(LEVELS))))
+    steps = cut(counts.select("h", F.explode(reached).alias("level")).select(F.col("h").bitwiseXOR(F.element_at(marks, F.col("level"))).alias("h")))
+    made = BitFilter.build(steps, "h", steps.count(), bits_per_entry=16)
+    drop_cut(steps)
+    return made
+
+
+def _meeting(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members (id, shingles, component, outside) of different components, one of them outside, that can reach the share.
+
+    All sets are put into one order, rare shingles first. If a and b have at least
+    o = percent / (100 + percent) * (|a| + |b|) shingles in common, the first of those is
+    among the first |a| - o + 1 of a and |b| - o + 1 of b. A shingle's place in a set
+    bounds the size of the partner, so rows meet by shingle and band of sizes.
+    """
+    rarity = members.sparkSession.sparkContext.broadcast(_rarity(members))
+    band = lambda n: np.floor(np.log(n) / np.log(1.03) + 1e-9).astype(np.int64)
+    names = ["h", "band", "id", "place", "size", "component", "probe"]
+
+    def places(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                out = []
+                for i, raw, comp, outside in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    h = raw.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    n, level, live = len(h), np.zeros(len(h), np.int64), np.arange(len(h))
+                    for step in range(1, len(LEVELS) + 1):
+                        live = live[rarity.value.might_contain(h[live] ^ U(step * _MARK % (1 << 64)))]
+                        level[live] = step
+                    first = n - -(-percent * n // 100) + 1
+                    h = h[np.lexsort((h, level))[:first]]
+                    at = np.arange(1, first + 1)
+                    one = np.ones(first, np.int64)
+                    out.append((h.view(np.int64), band(n) * one, i * one, at, n * one, comp * one, 0 * one))
+                    if outside:
+                        low = band(-(-percent * n // 100)) * one
+                        high = band(np.maximum(1, np.minimum((n - at + 1) * (100 + percent) // percent - n, 100 * n // percent)))
+                        width = np.maximum(0, high - low + 1)
+                        row = np.repeat(np.arange(first), width)
+                        step = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+                        out.append(tuple(x[row] for x in (h.view(np.int64), low, i * one, at, n * one, comp * one, one)))
+                        out[-1][1][:] += step
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(7)], names)
+
+    rows = cut(members.select("id", "shingles", "component", "outside").mapInArrow(places, ", ".join(f"{x} long" for x in names)))
+    probe = rows.where("probe = 1").select("h", "band", F.col("id").alias("x"), F.col("place").alias("px"), F.col("size").alias("nx"), F.col("component").alias("cx"))
+    entry = rows.where("probe = 0").select("h", "band", F.col("id").alias("y"), F.col("place").alias("py"), F.col("size").alias("ny"), F.col("component").alias("cy"))
+    both = F.ceil((F.col("nx") + F.col("ny")) * percent / F.lit(100 + percent) - 1e-9)
+    fits = (F.col("px") <= F.col("nx") - both + 1) & (F.col("py") <= F.col("ny") - both + 1)
+    met = probe.join(entry, (probe.h == entry.h) & (probe.band == entry.band) & (F.col("cx") != F.col("cy")) & fits)
+    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places: int = PLACES, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document row."""
     sk = cut(sketches(docs, shingle, places, bands))
@@ -158,16 +223,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
     links = cut(_linked(tested, sets, percent))
     comp = cut(components(links))
 
-    # round two: across components, but not inside a bucket's largest one
-    tagged = buckets.select("key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # round two: across components, from those outside a bucket's largest one
+    tagged = buckets.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
-    tagged = cut(tagged.join(mixed, "key"))
-    x = tagged.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = tagged.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("main").alias("m"))
-    # two classes outside the main component meet once; sizes too different cannot reach the share
-    meet = (x.key == y.key) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("m")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    more = x.join(y, meet).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    members = tagged.join(mixed, "key").groupBy("rep").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside"))
+    members = cut(sets.join(members.withColumnRenamed("rep", "id"), "id"))
+    more = cut(_meeting(members, percent).join(tested, ["u", "v"], "left_anti"))
     late = cut(_linked(more, sets, percent))
     if not late.isEmpty():
         comp = components(links.select("u", "v").union(late.select("u", "v")))
