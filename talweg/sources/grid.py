@@ -74,6 +74,11 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(clean_path(path))
 
 
+def list_grids(spark: SparkSession) -> list[str]:
+    """Names of the catalog's tables and views that hold cells."""
+    return sorted(t.name for t in spark.catalog.listTables() if {"cell_id", "z"} <= {c.name for c in spark.catalog.listColumns(t.name)})
+
+
 # ESRI ASCII header names, lower case: fixed values.
 HEADER = ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "nodata_value")
 
@@ -138,4 +143,4 @@ def ramp(spark: SparkSession, sf_dir: str) -> tuple[Grid, DataFrame]:
     return _from_table(spark, sf_dir, "part", "p_partkey", 50, F.col("p_retailprice"))
 
 
-__all__ = ["Grid", "TerrainError", "branching", "clean_path", "is_valid", "pitted", "ramp", "read_ascii_grid", "read_cells", "valid_cells", "valley"]
+__all__ = ["Grid", "TerrainError", "branching", "clean_path", "is_valid", "list_grids", "pitted", "ramp", "read_ascii_grid", "read_cells", "valid_cells", "valley"]

@@ -254,6 +254,7 @@ def test_rorb_round_trip(spark, tmp_path, seven, model):
     assert nodes.where("node_id = '4'").first().print_code == 72 and nodes.where("node_id = '2'").first().imperv_frac == 0.25
     assert pairs(links, "reach_id", "us_node", "ds_node") == {("1", "1", "2"), ("2", "2", "3"), ("3", "3", "4")}
     assert all(len(r.line) == 3 for r in links.collect())
+    assert [c for c, _ in models.rorb_warnings(model)] == ["few_subcatchments", "outlet_inferred"]
     lines, order = models.routing_program({1: 3, 2: 3, 3: 5, 4: 5}, {k: 1.0 for k in range(1, 5)}, 5)
     assert order == [2, 1, 3, 4] and [x.split(",")[0] for x in lines[1:8]] == ["1", "3", "1", "4", "2", "3", "1"]
     deep = {k: k + 1 for k in range(1, 5000)}
@@ -316,6 +317,19 @@ def test_gpkg_and_shapefiles(spark, tmp_path, seven, model):
         layers.write_tuflow(model, G7, str(tmp_path / "t"))
 
 
+def test_catalog_and_tags(spark, seven):
+    from talweg.functions.jobs import cancel, tagged
+    from talweg.sources.grid import list_grids
+
+    seven.all_cells.createOrReplaceTempView("some_dem")
+    spark.range(1).createOrReplaceTempView("no_dem")
+    assert "some_dem" in list_grids(spark) and "no_dem" not in list_grids(spark)
+    with tagged(spark, "run-1"):
+        assert "run-1" in spark.sparkContext.getJobTags() and spark.range(3).count() == 3
+    assert "run-1" not in spark.sparkContext.getJobTags()
+    cancel(spark, "run-1")
+
+
 def test_ascii_grid(spark, tmp_path):
     (tmp_path / "g.asc").write_text("ncols 3\nnrows 2\nxllcorner 5\nyllcorner 7\ncellsize 2\nNODATA_value -9999\n1 2 3\n4 -9999 6\n")
     g, cells = read_ascii_grid(spark, str(tmp_path / "g.asc") + "|layer")
