@@ -1,64 +1,18 @@
-"""Cutting lineage, and filters of a fixed size, on a cluster's shared folder."""
+"""What several operators share: cut tables, and bit filters of a bounded size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._text import U, longs, mix
+from talweg.functions.lineage import cut, drop_cut
+from talweg.llm._text import U, mix
 
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="talweg-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop, so that any store works."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _at_end(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session has ended; the folder is the cluster's scratch space
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again.
-
-    The written rows outlive lost executors; the folder goes when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/talweg/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_at_end, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._talweg_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes what cut() wrote, once nothing reads it any more."""
-    if path := getattr(df, "_talweg_path", None):
-        remove(df.sparkSession, path)
-
-
 class BitFilter:
     """Bloom filter of longs: 2**pieces_log2 pieces, each built by one task.
 
@@ -118,4 +72,4 @@ class BitFilter:
         return cls(bits, pieces)
 
 
-__all__ = ["BitFilter", "cut", "drop_cut", "longs", "remove", "shared_folder"]
+__all__ = ["BitFilter", "cut", "drop_cut"]

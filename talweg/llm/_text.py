@@ -152,9 +152,3 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), longs(values))
 
-
-def first_rows(batches, size: int = 1 << 16):
-    """Record batches of at most ``size`` rows."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, size):
-            yield batch.slice(a, size)
