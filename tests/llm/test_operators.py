@@ -251,8 +251,15 @@ def test_lm_edges(spark):
 
 def test_log_frequency_filter(spark):
     rows = [(int(k), int(n)) for k, n in zip(range(1, 3001), np.random.default_rng(0).geometric(0.1, 3000))]
-    df = spark.createDataFrame([(int(lm_scoring.mix(np.array([k], np.uint64)).view(np.int64)[0]), n) for k, n in rows], "h long, n long")
-    f = lm_scoring.LogFrequencyFilter.build(df, lm_scoring._piece_bytes(3 * 3000))
+    halves = [(h, n) for k, count in rows for h in [int(lm_scoring.mix(np.array([k], np.uint64)).view(np.int64)[0])] for n in ([count] if count == 1 else [1, count - 1])]
+    df = spark.createDataFrame(halves, "h long, n long").repartition(3)
+
+    def pack(batches):
+        for b in batches:
+            yield lm_scoring._packed(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), 16)
+
+    packed = df.mapInArrow(pack, "piece int, h binary, n binary")
+    f = lm_scoring.LogFrequencyFilter.build(packed, 16, lm_scoring._piece_bytes(int(lm_scoring.level(np.array([n for _, n in rows])).sum()), 16))
     levels = f.levels(lm_scoring.mix(np.arange(1, 3001, dtype=np.uint64)))
     true = lm_scoring.level(np.array([n for _, n in rows]))
     assert (levels >= true).all() and (levels > true).mean() < 0.1  # one-sided
