@@ -135,12 +135,12 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, shingle: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of ids, those with 100 * intersection >= percent * union."""
+    """Of distinct pairs (u, v) of ids, those with 100 * intersection >= percent * union. Nothing follows the joins, so that Spark can split a pivot of very many pairs."""
     one = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
     two = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     either = F.size("su") + F.size("sv") - both
-    return pairs.join(two, "v").join(one, "u").where(100 * both >= percent * either).select("u", "v").distinct()
+    return pairs.join(two, "v").join(one, "u").where(100 * both >= percent * either).select("u", "v")
 
 
 def _rarity(members: DataFrame) -> BitFilter:
