@@ -116,8 +116,8 @@ class Chunk:
         return total[self.wptr[1:]] - total[self.wptr[:-1]]
 
 
-def _pieces(column: pa.Array):
-    """(first row, end row, bytes, offsets) of pieces of about CHUNK bytes."""
+def _pieces(column: pa.Array, size: int):
+    """(first row, end row, bytes, offsets) of pieces of about ``size`` bytes."""
     column = column.cast(pa.large_binary())
     n = len(column)
     if n == 0:
@@ -127,17 +127,17 @@ def _pieces(column: pa.Array):
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 
 
-def chunks(batches, table: np.ndarray = SPACE, lower: bool = False, text: str = "text"):
+def chunks(batches, table: np.ndarray = SPACE, lower: bool = False, text: str = "text", size: int = CHUNK):
     """(Chunk, record batch slice) of each piece; the text column must be binary."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        for a, b, data, off in _pieces(column):
+        for a, b, data, off in _pieces(column, size):
             rows = batch.slice(a, b - a)
             yield Chunk(rows.column(0), data, off, table, lower), rows
 
