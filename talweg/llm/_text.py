@@ -116,7 +116,7 @@ class Chunk:
         return total[self.wptr[1:]] - total[self.wptr[:-1]]
 
 
-def _pieces(column: pa.Array, size: int):
+def _pieces(column: pa.Array, size: int = CHUNK):
     """(first row, end row, bytes, offsets) of pieces of about ``size`` bytes."""
     column = column.cast(pa.large_binary())
     n = len(column)
