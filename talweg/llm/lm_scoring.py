@@ -8,12 +8,15 @@ the count. Pair and word estimates are interpolated:
     P(w | v) = PAIR * count(v w) / count(v) + (1 - PAIR) * (count(w) + 1) / (N + V + 1)
 
 A document is read as end, words, end. The filter grows with the number of distinct
-n-grams, and is broadcast up to ``max_bytes``. A larger one stays a table of pieces, and the
-documents' distinct pairs are shuffled to the pieces: the score is a sum in which each
+n-grams, ``BITS`` bits for each level of each, at any size. It is broadcast up to
+``max_bytes``. A larger one of pairs stays a table of pieces, and the documents' distinct
+pairs are shuffled to the pieces: the score is a sum in which each
 pair has its own term. Pairs that make up more than one in ``most_frequent`` of all tokens
 are known everywhere, so that none of the rest is asked for by very many documents. Either
 way the documents are read as often, whatever their number. Exact word counts, for the base score, are broadcast while there
-are at most ``max_words`` of them, and joined by a shuffle beyond.
+are at most ``max_words`` of them, and joined by a shuffle beyond. Where a filter of words
+would pass ``max_bytes``, there is none, and the exact counts give the words' levels: those
+broadcast, or beyond ``max_words`` those that each row gets by a shuffle.
 
 Defined cases: a null text is empty and has one token, its end; a null doc_id belongs to
 the training documents; rows that share a doc_id are scored row by row; an empty table
@@ -205,8 +208,8 @@ def _pieces(entries: int) -> int:
     return max(16, -(-entries // PIECE_ENTRIES))
 
 
-def _piece_bytes(entries: int, pieces: int, max_bytes: int = MAX_BYTES) -> int:
-    return max(64, min(entries * BITS // 8, max_bytes) // pieces + 1)
+def _piece_bytes(entries: int, pieces: int) -> int:
+    return max(64, entries * BITS // 8 // pieces + 1)
 
 
 def _word_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +259,30 @@ def _base_by_join(source: DataFrame, counts: DataFrame, total: int, distinct: in
     return met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * value).alias("base_score"))
 
 
+def _with_counts(numbered: DataFrame, counts: DataFrame, frequent) -> DataFrame:
+    """numbered with the counts (h, n) of each row's tokens that are not frequent: the distinct ones meet their counts in a shuffle, and go back to their row."""
+
+    def ask(batches):
+        for c, rows in chunks(batches, SPACE, lower=True):
+            token, _, start = _tokens(c)
+            row = np.repeat(rows.column(2).to_numpy(), np.diff(np.append(start, len(token))))
+            rare = np.flatnonzero(_look_up(frequent.value, token) == 0)
+            order = rare[np.lexsort((token[rare], row[rare]))]
+            t, r = token[order], row[order]
+            at = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (r[1:] != r[:-1]))) if len(t) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([longs(r[at]), longs(t[at])], ["row", "h"])
+
+    met = numbered.mapInArrow(ask, "row long, h long").join(counts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+    return numbered.join(met, "row", "left").select(*numbered.columns, F.col("known.h").alias("h"), F.col("known.n").alias("n"))
+
+
+def _row_counts(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The table of the counts that _with_counts() gave to the rows."""
+    h, n = (rows.column(rows.schema.get_field_index(x)).flatten().to_numpy(zero_copy_only=False) for x in ("h", "n"))
+    h, at = np.unique(h.view(np.uint64), return_index=True)
+    return h, n[at]
+
+
 def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS, pair_weight: float = PAIR, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -271,17 +298,21 @@ def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_
     pair_levels = int(got[True].levels * SAMPLE * 1.1) + 1000 if True in got else 1000
 
     pieces = _pieces(word_levels)
-    words = LogFrequencyFilter.build(_keyed(counts, pieces), pieces, _piece_bytes(word_levels, pieces, max_bytes))
+    words = LogFrequencyFilter.build(_keyed(counts, pieces), pieces, _piece_bytes(word_levels, pieces)) if word_levels * BITS // 8 <= max_bytes else None
     broadcast_pairs = pair_levels * BITS // 8 <= max_bytes
     uniform = float(total + distinct + 1)
     broadcast_words = distinct <= max_words
-    table = spark.sparkContext.broadcast(_word_table(counts) if broadcast_words else None)
+    counts_by_row = words is None and not broadcast_words
+    broadcast_counts = counts if broadcast_words else counts.where(F.col("n") > total // most_frequent) if counts_by_row else None
+    table = spark.sparkContext.broadcast(None if broadcast_counts is None else _word_table(broadcast_counts))
     word_filter = spark.sparkContext.broadcast(words)
     numbered = source if broadcast_words and broadcast_pairs else source.withColumn("row", F.monotonically_increasing_id())
     if "row" in numbered.columns:
         numbered = cut(numbered.select("doc_id", "text", "row", "held_out"))  # the numbers must stay the same in every scan
     else:
         numbered = numbered.select("doc_id", "text", F.lit(0).cast("long").alias("row"), "held_out")
+    if counts_by_row:
+        numbered = cut(_with_counts(numbered, counts, table))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -294,29 +325,38 @@ def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_
         bits = cut(LogFrequencyFilter.table(packed, pieces, _piece_bytes(pair_levels, pieces), total // most_frequent + 1))
         pairs = spark.sparkContext.broadcast(_sorted_table(bits.where(F.length("h") > 0).select("h", "n")))
 
+    def exact_counts(kinds, rows):
+        if table.value is None:
+            return np.zeros(len(kinds), np.int64)
+        n = _look_up(table.value, kinds)
+        return np.where(n > 0, n, _look_up(_row_counts(rows), kinds)) if counts_by_row else n
+
+    def levels_of(kinds, rows):
+        return level(exact_counts(kinds, rows)) if word_filter.value is None else word_filter.value.levels(word_key(kinds))
+
     def run(batches):
         for c, rows in chunks(batches, SPACE, lower=True, size=SCORED):
             token, before, start = _tokens(c)
             kinds, which = np.unique(token, return_inverse=True)
-            estimate = LEVEL_COUNT[word_filter.value.levels(word_key(kinds))]
+            estimate = LEVEL_COUNT[levels_of(kinds, rows)]
             previous = np.empty(len(token), np.float64)
             previous[1:] = estimate[which][:-1]
-            previous[:1] = LEVEL_COUNT[word_filter.value.levels(word_key(np.array([END])))]
+            previous[:1] = LEVEL_COUNT[levels_of(np.array([END]), rows)]
             distinct_pairs, pair_of = np.unique(pair_key(before, token), return_inverse=True)
             seen = LEVEL_COUNT[pairs.value.levels(distinct_pairs) if broadcast_pairs else level(_look_up(pairs.value, distinct_pairs))]
             # a context never seen leaves all weight to the word alone
             alone = np.where(previous > 0, 1 - pair_weight, 1.0) * ((estimate + 1) / uniform)[which]
             value = np.log10(alone) + _gain(seen[pair_of], previous, alone, pair_weight)
-            exact = _look_up(table.value, kinds) if table.value is not None else np.zeros(len(kinds), np.int64)
+            exact = exact_counts(kinds, rows)
             base = np.log10((exact + 1) / uniform)[which]
             sums = [np.add.reduceat(x, start) if c.n else x for x in ((exact > 0)[which].astype(np.int64), base, value)]
             yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), rows.column(3), longs(np.diff(np.append(start, len(token)))), longs(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names)
 
     parts = numbered.mapInArrow(run, schema)
     if not broadcast_pairs:
-        gains = _gains_by_shuffle(numbered, bits, pieces, word_filter, pairs, uniform, pair_weight)
+        gains = _gains_by_shuffle(numbered, bits, pieces, levels_of, pairs, uniform, pair_weight)
         parts = parts.join(gains, "row", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0))).drop("gain")
-    if not broadcast_words:
+    if not broadcast_words and not counts_by_row:
         parts = parts.drop("n_known", "base_score").join(_base_by_join(numbered, counts, total, distinct), "row")
     return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -328,7 +368,7 @@ def _gain(seen: np.ndarray, previous: np.ndarray, alone: np.ndarray, pair_weight
     return np.log10(1 + pair_weight * share / alone)
 
 
-def _gains_by_shuffle(numbered: DataFrame, bits: DataFrame, pieces: int, word_filter, frequent, uniform: float, pair_weight: float) -> DataFrame:
+def _gains_by_shuffle(numbered: DataFrame, bits: DataFrame, pieces: int, levels_of, frequent, uniform: float, pair_weight: float) -> DataFrame:
     """(row, gain): sums over each row's pairs that are not frequent, asked of the pieces of the filter where those lie.
 
     A row asks once for each distinct pair, and its words' levels go with the question. A
@@ -341,10 +381,10 @@ def _gains_by_shuffle(numbered: DataFrame, bits: DataFrame, pieces: int, word_fi
             token, before, start = _tokens(c)
             row = np.repeat(rows.column(2).to_numpy(), np.diff(np.append(start, len(token))))
             kinds, which = np.unique(token, return_inverse=True)
-            own = word_filter.value.levels(word_key(kinds)).astype(np.uint8)[which]
+            own = levels_of(kinds, rows).astype(np.uint8)[which]
             ahead = np.empty_like(own)
             ahead[1:] = own[:-1]
-            ahead[:1] = word_filter.value.levels(word_key(np.array([END])))
+            ahead[:1] = levels_of(np.array([END]), rows)
             h = pair_key(before, token)
             open_ = np.flatnonzero((ahead > 0) & (_look_up(frequent.value, h) == 0))
             order = open_[np.lexsort((h[open_], row[open_]))]

@@ -256,6 +256,43 @@ def test_lm_pairs_by_shuffle(spark, corpus, most_frequent):
     assert exact >= 0.9 * len(one)  # the pieces hold the same bits
 
 
+@pytest.mark.parametrize("entries", [1_000, 10**8, 10**9, 10**10])
+def test_filter_has_its_bits_at_every_size(entries):
+    """Its rate of chance hits stays that of BITS bits for each entry: no cap on the whole."""
+    pieces = lm_scoring._pieces(entries)
+    bits = lm_scoring._piece_bytes(entries, pieces) * 8 * pieces / entries
+    assert (1 - np.exp(-lm_scoring.PROBES / bits)) ** lm_scoring.PROBES < 0.03
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_words": 5}, {"max_words": 5, "most_frequent": 1}])
+def test_lm_filters_beyond_their_limit(spark, corpus, limits, monkeypatch):
+    """The scores stay those of exact counts' levels where words and pairs all pass max_bytes, and of unseen pairs few count as seen."""
+    monkeypatch.setattr(lm_scoring, "MAX_BYTES", 256)
+    if lm_scoring._piece_bytes.__defaults__:
+        monkeypatch.setattr(lm_scoring._piece_bytes, "__defaults__", (256,))
+    text = {i: brute.low_words(t) for i, t in corpus}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in text}
+    ones, twos = {}, {}
+    for i, words in text.items():
+        if not held[i]:
+            for v, w in zip([None, *words], [*words, None]):
+                ones[w], twos[v, w] = ones.get(w, 0) + 1, twos.get((v, w), 0) + 1
+    near = lambda n: lm_scoring.LEVEL_COUNT[int(lm_scoring.level(np.array([n]))[0])]
+    total, kinds = sum(ones.values()), len(ones)
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, corpus), max_bytes=256, **limits).collect()}
+    base = brute.base_scores(corpus)
+    off = tokens = 0
+    for i, words in text.items():
+        want = 0.0
+        for v, w in zip([None, *words], [*words, None]):
+            before, alone = near(ones.get(v, 0)), (near(ones.get(w, 0)) + 1) / (total + kinds + 1)
+            share = min(1.0, near(twos.get((v, w), 0)) / before) if before else 0.0
+            want += np.log10(lm_scoring.PAIR * share + (1 - lm_scoring.PAIR if before else 1.0) * alone)
+        assert got[i].base_score == pytest.approx(base[i][4], abs=1e-9) and got[i].n_known == base[i][2]
+        off, tokens = off + abs(got[i].score - want), tokens + len(words) + 1
+    assert off / tokens < 0.04
+
+
 def test_lm_edges(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     rows = [(None, "a b"), (1, None), (1, None), (2, "a b")]
