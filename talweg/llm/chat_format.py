@@ -6,10 +6,13 @@ later one, the rest is the new turn's span, and where it is not, the template ha
 rewritten history. A second rendering with a marker for the turn's text splits its span
 into header, text and footer.
 
-Rows are dealt by conversation, sorted by turn, and streamed: a task holds one window of
-turns of one conversation, never the whole of a long one. Up to ``WHOLE`` turns each
-prefix is rendered in full; later turns are rendered after their last ``CONTEXT`` turns
-and, as a check, after twice as many, and both must agree or the turn counts as rewritten.
+Rows are dealt by conversation, sorted by turn, and streamed. Each prefix is rendered in
+full, however long: the template may look at any turn. A task then holds one conversation
+and its output, and the work grows with the square of its turns. A template whose output
+for a turn depends on that turn and the few before it alone may say so with a true
+attribute ``turn_local``: from ``WHOLE`` turns on, its turns are rendered after their last
+``CONTEXT`` turns and, as a check, after twice as many, and both must agree or the turn
+counts as rewritten; a task then holds one window of turns.
 
 Defined cases: a null text or role is an empty string; null conv_ids form one conversation;
 equal turn numbers are ordered by role, then text; repeated rows are turns of their own; an
@@ -58,6 +61,8 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(render_turn(r, t) for r, t in turns)
 
 
+inst_template.turn_local = True  # a turn is rendered by itself
+
 _TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s>\[ROLE\] (?P<role>.*?) \[/ROLE\] (?P<other>.*?) </s>| (?P<assistant>.*?) </s>", re.DOTALL)
 
 
@@ -74,10 +79,11 @@ def parse(output: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 class Incremental:
-    """Spans of successive turns of one conversation under a black-box template."""
+    """Spans of successive turns of one conversation under a black-box template; the short context is for a template that is declared ``turn_local``."""
 
     def __init__(self, render: Callable[[list[Turn]], str], whole: int = WHOLE, context: int = CONTEXT):
         self.render, self.whole, self.context = render, whole, context
+        self.local = getattr(render, "turn_local", False)
         self.turns: list[Turn] = []
         self.output, self.count = "", 0
 
@@ -88,7 +94,7 @@ class Incremental:
 
     def add(self, turn: Turn) -> tuple[str, int, int, bool]:
         """The turn's span of output, where its text starts and ends in it, and whether history was rewritten."""
-        short = self.count < self.whole
+        short = not self.local or self.count < self.whole
         before = self.turns if short else self.turns[-self.context :]
         if short:
             new = self.render([*before, turn])
@@ -108,7 +114,7 @@ class Incremental:
         a, b = (len(head), len(delta) - len(foot)) if found and delta.startswith(head) and delta.endswith(foot) and len(head) + len(foot) <= len(delta) else (0, len(delta))
         self.count += 1
         self.turns.append(turn)
-        if self.count >= self.whole:
+        if self.local and self.count >= self.whole:
             del self.turns[: -2 * self.context]
         return delta, a, b, rewritten
 

@@ -225,6 +225,30 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert spans[1, 1] == "(hm) yes" and spans[2, 0] == "a"
 
 
+def test_templates_are_judged_on_whole_prefixes_of_long_conversations(spark):
+    """What changes or reads the far past is found after any number of turns."""
+    n = 3 * chat_format.WHOLE
+    turns = [("user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(n)]
+    df = conversations(spark, [(1, k, r, t, "") for k, (r, t) in enumerate(turns)])
+
+    def last_twenty(turns):
+        return "".join(f"<{r}>{t}" for r, t in turns[-20:])
+
+    def edits_first(turns):
+        return "".join(f"<{r}>{t}{'!' if k == 0 and len(turns) > 50 else ''}" for k, (r, t) in enumerate(turns))
+
+    def numbered(turns):
+        return "".join(f"<{k} {turns[0][1]} {r}>{t}" for k, (r, t) in enumerate(turns))
+
+    flags = lambda template: [r.rewritten for r in chat_format.turn_spans(df, template).orderBy("position").collect()]
+    assert flags(last_twenty) == [k >= 20 for k in range(n)]
+    assert flags(edits_first) == [k == 50 for k in range(n)]
+    assert not any(flags(numbered)) and not any(flags(chat_format.inst_template))
+    rows = chat_format.turn_spans(df, numbered).orderBy("position").collect()
+    assert "".join(r.span for r in rows) == numbered(turns)
+    assert [r.span[r.text_start : r.text_end] for r in rows[1:]] == [t for _, t in turns[1:]]
+
+
 # --- 5 ----------------------------------------------------------------------------
 
 
