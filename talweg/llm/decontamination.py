@@ -4,11 +4,11 @@ The items' words build the automaton; every document's words then walk it, which
 the longest match that ends at each word. Matches of ``window`` words or more, and whole
 items that are shorter, are hits. Items go into blocks of a bounded number of words, each
 with its own automaton, so that what is broadcast stays small however large the test set:
-the documents are read once for each block.
+the documents are read once for each block. Blocks' hits are put together before anything
+is counted or cut.
 
 Defined cases: null and empty texts have no words and are never hit; items without words
-are ignored; rows that repeat a doc_id are taken together where spans are cut (every text
-is cut by its own hits); an item_id on several rows has all their windows.
+are ignored; every text is cut by its own hits, whatever rows share its doc_id; an item_id on several rows has all their windows.
 """
 
 from __future__ import annotations
@@ -228,38 +228,65 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
     """docs without the benchmark: hit spans of words are cut out of the texts, and documents of which they cover more than ``max_coverage`` of the words are dropped.
 
+    The spans of all blocks are found on the uncut text and joined before a document is
+    judged and cut, so the number of blocks makes no difference.
     Clean rows stay as they are, in all columns; n_chars, where there is one, follows the text.
     """
     spark = docs.sparkSession
     at = docs.columns.index(text)
     fix = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    out = docs
-    for auto in automata(items, window):
-        sent = spark.sparkContext.broadcast(auto)
+    autos = [spark.sparkContext.broadcast(auto) for auto in automata(items, window)]
+    only = autos[0] if len(autos) == 1 else None
+    source, schema, names = docs, docs.schema, docs.columns
+    if only is None:
+        key = F.sha2(F.col(text).cast("binary"), 256)
+        source = docs.withColumn("_key", key).join(_spans_by_text(docs.select(key.alias("_key"), F.col(text).cast("binary").alias(text)), autos, text), "_key", "left").select(*names, "_spans")
+
+    def clean(batches):
+        for b in batches:
+            table = b.set_column(at, pa.field(text, pa.binary()), b.column(at).cast(pa.binary())) if b.num_rows else b
+            for c, rows in chunks([table], ALNUM, lower=True, text=text):
+                new, keep, changed = rows.column(at).to_pylist(), np.ones(c.n, bool), False
+                if only is None:
+                    hit = [(d, _joined(flat)) for d, flat in enumerate(rows.column(rows.num_columns - 1).to_pylist()) if flat]
+                    rows = rows.select(names)
+                else:
+                    hit = [(d, spans) for d, spans, _ in _scan(c, only.value)]
+                for d, spans in hit:
+                    changed = True
+                    keep[d] = sum(e - a for a, e in spans) <= max_coverage * (c.wptr[d + 1] - c.wptr[d])
+                    new[d] = cut_spans(new[d], [(int(c.ws[c.wptr[d] + a] - c.off[d]), int(c.we[c.wptr[d] + e - 1] - c.off[d])) for a, e in spans])
+                if changed:
+                    texts = pa.array([None if t is None else t.decode() for t in new], pa.string())
+                    rows = rows.set_column(at, pa.field(text, pa.string()), texts)
+                    if fix is not None:
+                        sizes = [x if same else None if t is None else len(t) for x, t, same in zip(rows.column(fix).to_pylist(), texts.to_pylist(), _unchanged(c, new))]
+                        rows = rows.set_column(fix, rows.schema.field(fix), pa.array(sizes, rows.schema.field(fix).type))
+                    rows = rows.filter(pa.array(keep))
+                else:
+                    rows = rows.set_column(at, pa.field(text, pa.string()), rows.column(at).cast(pa.string()))
+                yield rows
+
+    return source.mapInArrow(clean, schema)
+
+
+def _spans_by_text(texts: DataFrame, autos: list, text: str) -> DataFrame:
+    """(_key, _spans): the hit spans of all blocks in each text that any of them hits, flat; rows of one key have one text."""
+    parts = []
+    for sent in autos:
 
-        def clean(batches, sent=sent):
-            auto = sent.value
-            for b in batches:
-                table = b.set_column(at, pa.field(text, pa.binary()), b.column(at).cast(pa.binary())) if b.num_rows else b
-                for c, rows in chunks([table], ALNUM, lower=True, text=text):
-                    new, keep, changed = rows.column(at).to_pylist(), np.ones(c.n, bool), False
-                    for d, spans, _ in _scan(c, auto):
-                        changed = True
-                        keep[d] = sum(e - a for a, e in spans) <= max_coverage * (c.wptr[d + 1] - c.wptr[d])
-                        new[d] = cut_spans(new[d], [(int(c.ws[c.wptr[d] + a] - c.off[d]), int(c.we[c.wptr[d] + e - 1] - c.off[d])) for a, e in spans])
-                    if changed:
-                        texts = pa.array([None if t is None else t.decode() for t in new], pa.string())
-                        rows = rows.set_column(at, pa.field(text, pa.string()), texts)
-                        if fix is not None:
-                            sizes = [x if same else None if t is None else len(t) for x, t, same in zip(rows.column(fix).to_pylist(), texts.to_pylist(), _unchanged(c, new))]
-                            rows = rows.set_column(fix, rows.schema.field(fix), pa.array(sizes, rows.schema.field(fix).type))
-                        rows = rows.filter(pa.array(keep))
-                    else:
-                        rows = rows.set_column(at, pa.field(text, pa.string()), rows.column(at).cast(pa.string()))
-                    yield rows
-
-        out = out.mapInArrow(clean, out.schema)
-    return out
+        def scan(batches, sent=sent):
+            for c, rows in chunks(batches, ALNUM, lower=True, text=text):
+                hit = [(d, [x for pair in spans for x in pair]) for d, spans, _ in _scan(c, sent.value)]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([d for d, _ in hit], pa.int64())), pa.array([x for _, x in hit], pa.list_(pa.int64()))], ["_key", "_spans"])
+
+        parts.append(texts.mapInArrow(scan, "_key string, _spans array<long>"))
+    # equal texts have equal spans in a block: one of each is enough
+    found = parts[0].withColumn("block", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        found = found.unionByName(part.withColumn("block", F.lit(k)))
+    each = found.groupBy("_key", "block").agg(F.first("_spans").alias("_spans"))
+    return each.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
 
 
 def _unchanged(c: Chunk, new: list) -> list[bool]:

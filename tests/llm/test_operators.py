@@ -144,6 +144,33 @@ def test_decontaminate_cuts_and_drops(spark):
     assert decontamination.decontaminate(empty(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block", [200_000, 40, 15])
+def test_decontaminate_is_the_same_by_blocks(spark, block, monkeypatch):
+    """Coverage is judged once for all blocks, overlapping items are cut whole, and no passage arises by cutting."""
+    monkeypatch.setattr(decontamination.automata, "__defaults__", ("item_id", "text", block))
+    run = lambda k, n: [f"w{i}" for i in range(k, k + n)]
+    rare = lambda k, n: [f"x{i}" for i in range(k, k + n)]
+    items = [run(k, 14) for k in range(0, 200, 7)] + [[*rare(5 * k, 5), *rare(1000 + 5 * k, 5)] for k in range(12)]
+    docs = [
+        [*run(0, 14), *rare(500, 8), *run(70, 14), *rare(520, 10)],  # two items that cover 28 of 46 words
+        [*rare(500, 60), *run(0, 60), *rare(600, 60)],  # items that overlap
+        *([*rare(5 * k, 5), *run(7 * j, 14), *rare(1000 + 5 * k, 5), *rare(700, 40)] for k in range(12) for j in range(3)),  # words that become neighbours
+        rare(300, 30),
+        run(0, 9),
+    ]
+    df = frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)] + [(1, " ".join(docs[1])), (None, None)])
+    out = decontamination.decontaminate(df, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert out.schema == df.schema
+    windows = {tuple(w[k : k + 10]) for w in items for k in range(len(w) - 9)}
+    want = [(None, None)]
+    for i, w in [*enumerate(docs), (1, docs[1])]:
+        hit = {j for k in range(len(w) - 9) if tuple(w[k : k + 10]) in windows for j in range(k, k + 10)}
+        if len(hit) <= 0.5 * len(w):
+            want.append((i, " ".join(x for j, x in enumerate(w) if j not in hit)))
+    assert 0 not in dict(want) and 1 in dict(want)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 # --- 3 ----------------------------------------------------------------------------
 
 
