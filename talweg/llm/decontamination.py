@@ -8,7 +8,7 @@ the documents are read once for each block. Blocks' hits are put together before
 is counted or cut.
 
 Defined cases: null and empty texts have no words and are never hit; items without words
-are ignored; every text is cut by its own hits, whatever rows share its doc_id; an item_id on several rows has all their windows.
+are ignored; items without an item_id are not reported, but cut like others; every text is cut by its own hits, whatever rows share its doc_id; an item_id on several rows has all their windows.
 """
 
 from __future__ import annotations
@@ -235,6 +235,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     spark = docs.sparkSession
     at = docs.columns.index(text)
     fix = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")  # which item hits is not asked
     autos = [spark.sparkContext.broadcast(auto) for auto in automata(items, window)]
     only = autos[0] if len(autos) == 1 else None
     source, schema, names = docs, docs.schema, docs.columns

@@ -230,25 +230,44 @@ def score(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
     def run(batches):
         for batch in batches:
             for rows, raw, low in _views(batch, 1):
-                m, scores, kept = model.value, [pa.nulls(raw.n, pa.float64())] * 3, raw.n_words > 0
-                if m is not None:
-                    at = np.minimum(np.searchsorted(m.words, low.word_hash), max(0, len(m.words) - 1))
-                    hit = m.words[at] == low.word_hash if len(m.words) else np.zeros(len(at), bool)
-                    pair = np.unique(low.word_doc[hit] * max(1, len(m.words)) + at[hit])
-                    doc, feature = np.divmod(pair, max(1, len(m.words)))
-                    text = Sparse(feature, np.bincount(doc, minlength=raw.n), quality_rules.features(quality_rules.statistics(raw)), len(m.words))
-                    meta = metadata_features(*(rows.column(k).to_pylist() for k in (2, 3, 4)))
-                    a, b, both = m.odds(text, Sparse(meta.ravel(), np.full(raw.n, 3), np.zeros((raw.n, 0)), META))
-                    p = np.where(kept, _sigmoid(both), 0.0)
-                    kept = kept & (p >= m.threshold)
-                    scores = [pa.array(p), pa.array(_sigmoid(a)), pa.array(_sigmoid(b))]
+                scores, kept = _judge(model.value, raw, low, *(rows.column(k).to_pylist() for k in (2, 3, 4)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), *scores, pa.array(kept)], names)
 
     return _columns(docs).mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, kept boolean")
 
 
+def _judge(m: Model | None, raw: Chunk, low: Chunk, source: list, lang: list, n_chars: list) -> tuple[list[pa.Array], np.ndarray]:
+    """score, text_score and meta_score of each document, and whether it is kept."""
+    scores, kept = [pa.nulls(raw.n, pa.float64())] * 3, raw.n_words > 0
+    if m is not None:
+        at = np.minimum(np.searchsorted(m.words, low.word_hash), max(0, len(m.words) - 1))
+        hit = m.words[at] == low.word_hash if len(m.words) else np.zeros(len(at), bool)
+        pair = np.unique(low.word_doc[hit] * max(1, len(m.words)) + at[hit])
+        doc, feature = np.divmod(pair, max(1, len(m.words)))
+        text = Sparse(feature, np.bincount(doc, minlength=raw.n), quality_rules.features(quality_rules.statistics(raw)), len(m.words))
+        meta = metadata_features(source, lang, n_chars)
+        a, b, both = m.odds(text, Sparse(meta.ravel(), np.full(raw.n, 3), np.zeros((raw.n, 0)), META))
+        p = np.where(kept, _sigmoid(both), 0.0)
+        kept = kept & (p >= m.threshold)
+        scores = [pa.array(p), pa.array(_sigmoid(a)), pa.array(_sigmoid(b))]
+    return scores, kept
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
-    judged = score(docs, labels).where("not kept").select("doc_id")
-    nameless = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(judged.distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(nameless)
+    """docs without the rows that the classifier rejects; each row is judged by itself, whatever its doc_id."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    names, at = docs.columns, docs.columns.index("text")
+    views = _columns(docs)
+    have = lambda c: (F.col(c) if c in names else F.lit(None)).cast(views.schema[c].dataType).alias(f"_{c}")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            field = batch.schema.field(at)
+            for rows, raw, low in _views(batch.set_column(at, pa.field("text", pa.binary()), batch.column(at).cast(pa.binary())), at):
+                _, kept = _judge(model.value, raw, low, *(rows.column(len(names) + k).to_pylist() for k in range(3)))
+                rows = rows.select(names).filter(pa.array(kept))
+                yield rows.set_column(at, field, rows.column(at).cast(field.type))
+
+    return docs.select("*", *(have(c) for c in ("source", "lang", "n_chars"))).mapInArrow(run, docs.schema)

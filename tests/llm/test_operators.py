@@ -526,6 +526,26 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(empty(spark), lab).count() == 0
 
 
+def test_rows_are_kept_by_their_own_verdict(spark):
+    """Neither a missing nor a shared doc_id decides."""
+    docs, labels, truth = junk_corpus(900)
+    good, junk = (next(t for i, t in docs if truth[i] == kind and i % 4 == 0) for kind in ((1, 0), (0, 0)))
+    docs = docs + [(None, junk), (None, None), (None, good), (7000, good), (7000, junk), (7000, good)]
+    df, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = quality_classifier.keep_good(df, lab)
+    assert kept.schema == df.schema
+    verdicts = sorted(((r.doc_id, r.kept) for r in quality_classifier.score(df, lab).collect() if r.kept), key=str)
+    rows = kept.collect()
+    assert sorted(((r.doc_id, True) for r in rows), key=str) == verdicts
+    assert [r.text for r in rows if r.doc_id is None] == [good] and [r.text for r in rows if r.doc_id == 7000] == [good, good]
+
+
+def test_items_without_an_id_are_cut(spark):
+    item, long = " ".join(f"q{k}" for k in range(12)), " ".join(f"c{k}" for k in range(40))
+    out = decontamination.decontaminate(frame(spark, [(1, f"{long} {item}")]), spark.createDataFrame([(None, item)], "item_id long, text string"))
+    assert [r.text for r in out.collect()] == [long]
+
+
 def test_views_teach_each_other():
     """Two views that each tell the label: with few labels, the pool helps."""
     rng = np.random.default_rng(1)
