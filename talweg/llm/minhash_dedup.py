@@ -17,7 +17,7 @@ made on the full sets, and every pair that shares a bucket is compared, connecte
 known to be too different.
 
 With bands of ``rows`` places, a pair of similarity s shares no bucket with probability
-(1 - s**rows)**bands; the defaults leave 8e-6 at 0.85 and 9e-5 at 0.8.
+(1 - s**rows)**bands; the defaults leave 8e-6 at 0.85 and 3.6e-4 at 0.8.
 
 Defined cases: null texts and texts without words have an empty set, are linked with
 nothing and kept; fewer words than a shingle make one shingle; rows that share a doc_id

@@ -193,6 +193,13 @@ def test_near_duplicates(spark, corpus, shingle, percent):
     assert got == want and sum(v[1] != i for i, v in want.items()) > 15
 
 
+def test_stated_loss_is_that_of_the_bands():
+    rows = minhash_dedup.PLACES // minhash_dedup.BANDS
+    for s, stated in ((0.85, "8e-6 at 0.85"), (0.8, "3.6e-4 at 0.8")):
+        assert stated in minhash_dedup.__doc__
+        assert (1 - s**rows) ** minhash_dedup.BANDS == pytest.approx(float(stated.split()[0]), rel=0.02)
+
+
 def test_chains_of_near_copies_join(spark):
     """Neighbours are alike, ends are not: everything found must hang together."""
     w = [f"w{k}" for k in range(400)]
