@@ -13,6 +13,14 @@ from talweg.llm._text import U, mix
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or the first of name_, name__, ... that no column has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 class BitFilter:
     """Bloom filter of longs: 2**pieces_log2 pieces, each built by one task.
 
@@ -72,4 +80,4 @@ class BitFilter:
         return cls(bits, pieces)
 
 
-__all__ = ["BitFilter", "cut", "drop_cut"]
+__all__ = ["BitFilter", "cut", "drop_cut", "free_name"]
