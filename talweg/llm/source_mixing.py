@@ -7,7 +7,8 @@ its id falls below the fraction of r. Everything runs on DataFrame functions.
 Defined cases: a null text has size 0; null is a source of its own, after all others;
 rows that share a doc_id fare alike; documents of size 0 follow their source's rate, and a
 source without words has target 0 and rate 0; an empty table gives no rows; a doc_id of
-null is hashed as an empty string.
+null is hashed as an empty string; very long texts are counted in the JVM like others;
+all columns of the table stay, and a name that it has already is not used again.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.llm._shared import cut, free_name
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+BROADCAST_SOURCES = 100_000  # rows of a plan that is broadcast, some 50 bytes each
+SALT = 64  # partitions of one source's rows beyond that
 
 
 def word_count(text: Column) -> Column:
@@ -52,26 +57,41 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies."""
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
-    plan = targets(sums, weights, most)
-    plan = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("mix_source")))
-    return joined.withColumn("mix_copies", copies(F.col("mix_rate"), F.col("doc_id"), seed)).drop("mix_source", "mix_rate")
+def _with_rates(rows: DataFrame, plan: DataFrame, spread: list[Column], names: dict[str, str]) -> DataFrame:
+    """rows with their source's size, target and rate; rows are not shuffled while the plan can be broadcast.
 
+    Beyond ``BROADCAST_SOURCES`` sources both sides are shuffled, and a source's rows are
+    dealt over ``SALT`` partitions by a hash of ``spread``, each of which gets the plan's row.
+    """
+    key, salt, part = (free_name(x, rows.columns) for x in ("_mix_source", "_mix_salt", "_mix_part"))
+    plan = plan.select(F.col("source").alias(key), *(F.col(k).alias(v) for k, v in names.items()))
+    same = F.col("source").eqNullSafe(F.col(key))
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), same).drop(key)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALT)))
+    every = plan.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.join(every.hint("merge"), same & (F.col(salt) == F.col(part))).drop(key, salt, part)
 
-def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mixture: each row of docs as often as it is to be read, with ``copy`` counting from 1."""
-    out = mixed(docs, weights, most, seed).where("mix_copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns, "copy")
 
+def _plan(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """targets() of rows (source, size), written once: a row for each source."""
+    return cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target (of the source), taken (words that the mixture reads)."""
-    m = mixed(docs.select("doc_id", "source", "text"))
-    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mixture: each row of docs as often as it is to be read, with ``copy`` counting from 1 (``copy_`` where docs have a column copy)."""
+    plan = _plan(docs.select("source", word_count(F.col("text")).alias("size")), weights, most)
+    rate, times, copy = (free_name(x, docs.columns) for x in ("_mix_rate", "_mix_copies", "copy"))
+    out = _with_rates(docs, plan, [F.col("doc_id"), F.length("text")], {"rate": rate})
+    out = out.withColumn(times, copies(F.col(rate), F.col("doc_id"), seed)).where(F.col(times) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns, copy)
+
+
+def report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target (of the source), taken (words that the mixture reads); texts are counted once."""
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    m = _with_rates(sized, _plan(sized, weights, most), [F.col("doc_id"), F.col("size")], {k: k for k in ("source_size", "target", "rate")})
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"))
 
 
 ORACLE = rf"""
