@@ -40,13 +40,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
     s = sizes.withColumn("weight", cycle).withColumn("limit", F.col("source_size") * most)
-    up = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source"))
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(1))
-    s = s.withColumn("held", F.coalesce(F.sum("limit").over(up), F.lit(0)))
+    s = s.withColumn("place", F.row_number().over(order)).withColumn("held", F.coalesce(F.sum("limit").over(up), F.lit(0)))
     s = s.withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up), F.lit(0)))
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.col("held")) / F.col("open"))
-    # the first source whose limit is not reached fixes the level
-    s = s.withColumn("level", F.min(F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.struct(F.col("limit") / F.col("weight"), "level"))).over(every)["level"])
+    # the first source whose limit is not reached fixes the level; equal limits are told apart by the order of the sources
+    s = s.withColumn("level", F.min(F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.struct("place", "level"))).over(every)["level"])
     target = F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))
     return s.select("source", "source_size", "weight", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
@@ -102,13 +103,13 @@ WITH d AS (
          [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight
   FROM d GROUP BY source
 ), c AS (
-  SELECT *, source_size * {MOST} AS lim,
+  SELECT *, source_size * {MOST} AS lim, row_number() OVER (ORDER BY source_size * {MOST} / weight, source IS NULL, source) AS place,
          coalesce(sum(source_size * {MOST}) OVER up, 0)::BIGINT AS held,
          (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0))::BIGINT AS open,
          (sum(source_size) OVER ())::BIGINT AS total
   FROM s WINDOW up AS (ORDER BY source_size * {MOST} / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT arg_min((total - held) / open, lim / weight) AS level FROM c WHERE lim >= (total - held) / open * weight
+  SELECT arg_min((total - held) / open, place) AS level FROM c WHERE lim >= (total - held) / open * weight
 ), t AS (
   SELECT source, source_size, least(lim::DOUBLE, level * weight) AS target FROM c, l
 ), r AS (
