@@ -3,10 +3,14 @@
 Each rule has a regular expression and the literal tokens that any URL it matches must
 contain. The corpus says how many URLs hold each of those tokens; a rule is filed under
 its rarest one, and a URL's own tokens fetch the few rules whose expressions are run.
-The rule list is given by the caller, so the index is as large as that list.
+The rule list is given by the caller, as rules or as a table of at most ``MOST_RULES``
+rows, so the index is as large as that list.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no
-rule and is allowed; repeated rows are judged alike; other columns are ignored.
+rule and is allowed; only A-Z are lower-cased, and ``\\b``, ``\\w`` and ``\\d`` in a pattern know
+ASCII alone, so a letter beyond it ends a word; a very long URL is judged whole; repeated
+rows are judged alike; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[a-z0-9]+"
+MOST_RULES = 200_000  # of a table; they are sent to every task
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,22 @@ def pattern_rule(verdict: str, name: str, pattern: str, literals: str) -> Rule:
     return Rule(name, verdict, pattern, tuple(re.findall(TOKEN, literals)), 0, False)
 
 
+def rules_from(table: DataFrame) -> list[Rule]:
+    """Rules of a table (verdict, rule, pattern, literals).
+
+    Without a pattern, rule is a ``host/path``; with one, it names the expression, and
+    literals holds text whose whole tokens every match contains (null: none, and the rule
+    is run on every URL). Repeated rows are one rule, and rules are in the order of their columns.
+    """
+    rows = table.select("verdict", "rule", "pattern", "literals").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    if bad := [r for r in rows if r.verdict not in ("block", "allow") or r.rule is None]:
+        raise ValueError(f"not a rule: {bad[0]}")
+    rows.sort(key=lambda r: tuple((x is not None, x or "") for x in r))
+    return [host_rule(r.verdict, r.rule) if r.pattern is None else pattern_rule(r.verdict, r.rule, r.pattern, r.literals or "") for r in rows]
+
+
 # The rules of the contract: fixed values.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # The method's own rules: link farms, gambling, adult and download traps. Fixed values.
@@ -73,7 +95,7 @@ class RuleIndex:
         self.by_token: dict[str, list[tuple[int, Rule, re.Pattern]]] = {}
         self.always: list[tuple[int, Rule, re.Pattern]] = []
         for k, r in enumerate(rules):
-            entry = (k, r, re.compile(r.pattern))
+            entry = (k, r, re.compile(r.pattern, re.ASCII))
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (frequency.get(t, 0), t)), []).append(entry)
             else:
@@ -84,7 +106,7 @@ class RuleIndex:
         if not host and not path:
             return None, None, 0
         url, best, run = f"{host}\n{path}", None, 0
-        low = f"{host}{path}{rest}".lower()
+        low = f"{host}{path}{rest}".translate(LOWER)
         found = {e[0]: e for t in set(re.findall(TOKEN, low)) for e in self.by_token.get(t, ())}
         for k, rule, pattern in (*found.values(), *self.always):
             run += 1
@@ -94,13 +116,12 @@ class RuleIndex:
 
 
 _URL = re.compile(r"\A.*?://([^/?#]*)([^?#]*)(.*)", re.DOTALL)
-_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def split_url(url: str | None) -> tuple[str, str, str]:
     """(host, path, rest) of a URL; empty ones if it has no ``://``."""
     m = _URL.match(url or "")
-    return (m[1].translate(_AZ), m[2], m[3]) if m else ("", "", "")
+    return (m[1].translate(LOWER), m[2], m[3]) if m else ("", "", "")
 
 
 def token_frequency(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, int]:
@@ -108,8 +129,10 @@ def token_frequency(pages: DataFrame, rules: list[Rule], url: str = "url") -> di
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(url)), F.lit(f"({TOKEN})")))).alias("t"))
-    return {r.t: r.n for r in tokens.where(F.col("t").isin(wanted)).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    low = F.translate(F.col(url).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({TOKEN})")))).alias("t"))
+    asked = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string"))  # the rules' tokens
+    return {r.t: r.n for r in tokens.join(asked, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -144,7 +167,7 @@ def _oracle() -> str:
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS after FROM pages
 ), h AS (
-  SELECT page_id, regexp_extract(after, '^[^/?#]*') AS raw, lower(after) AS low, after FROM u
+  SELECT page_id, regexp_extract(after, '^[^/?#]*') AS raw, translate(after, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, after FROM u
 ), p AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(after, length(raw) + 1), '^[^?#]*') AS path, low FROM h
 ), r AS (
