@@ -1,42 +1,63 @@
 """Substring dedup on a log-structured fingerprint index.
 
-Every window of ``window`` words has an anchor: the least hash of its short word runs, so
-equal windows have equal anchors, and neighbouring windows mostly share one. Batches of
-documents come one after the other. A batch's anchors, with the number of documents that
-hold each, are written as a sorted immutable run and merge-joined with the runs of earlier
-batches; when there are more than ``FAN_IN`` runs they are compacted into one. Anchors
-held by two documents or more only make candidates. Those are verified on the windows
-themselves: the candidates' full 64-bit fingerprints meet under their anchors (128 bits
-together), and all but the first occurrence are duplicates.
-
-The set of repeated anchors reaches the tasks as a bit filter of bounded size. A false
-positive costs a candidate that verification throws out, so results are exact at any
-size. Each piece of a task first drops its own later occurrences, so a passage in very
-many documents gives a row for each piece, not for each document; anchors held by very
-many documents are dealt by window instead of by anchor.
+The index holds the windows of all documents that were added to it, in sorted immutable
+runs, one for each batch. A window of ``window`` words has an anchor, the least hash of its
+short word runs: equal windows have equal anchors, and about six neighbouring windows share
+one, so a run has a row for each stretch of such windows: its anchor, its first place
+(doc, start), and 32 bits of each window's hash. Anchor and those bits are independent, 96
+bits together. A second sorted table of the run counts its anchors.
+
+A batch is tokenised once, into its run. Its counts are merge-joined with those of earlier
+runs, which tells the anchors that stand in more than one place by now. Only stretches
+under these, of the batch and of history, go on; they meet under their anchors, where
+window by window is verified, and every window of the batch but the first of its kind is a
+duplicate. Documents of earlier batches are never read again. ``FAN_IN`` runs of one level
+are compacted into one of the next, in which repeated stretches are kept once.
+
+Few repeated anchors reach the tasks as a bit filter, whose false positives only cost
+comparisons; more than it has room for are joined. Each piece of a task drops its own
+later occurrences first, so a passage in very many documents gives a row for each piece,
+not for each document; stretches under very frequent anchors are dealt window by window.
+
+Order: batches in the order in which they are added, then doc_id, then start. A single call
+cuts its documents into batches by doc_id, so there the order is that of the ids.
 
 Defined cases: null and empty texts have no words and lose nothing; rows that share a
-doc_id are one document, and the same start in them is one occurrence; a null doc_id
-comes after all others; an empty table gives no rows; other columns pass through.
+doc_id are one document, and the same start in them is one occurrence, also when it is
+added again; rows without doc_id come after all others, each a document of its own unless
+they have the same text; texts above ``LONG`` bytes are read in parts that overlap, with
+the same result; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import BitFilter, cut, drop_cut
+from talweg.llm._shared import BitFilter, cut, drop_cut, free_name
 from talweg.llm._text import U, Chunk, chunks, longs, mix, span_hashes
 
-WINDOW, RUN = 20, 10  # words of a window, and of the runs that anchors are chosen from
-FAN_IN = 4
-HOT = 256  # documents from which an anchor's windows are dealt one by one
-NULL_ID = (1 << 63) - 1
+WINDOW, RUN = 20, 10  # words of a window, and of the word runs that anchors are chosen from
+BATCHES = 3  # of a single call
+FAN_IN = 2
+HOT = 256  # stretches from which an anchor's windows are dealt one by one
+NO_ID = 1 << 62  # documents without an id are numbered from here
 PIECE = 1_000_000  # windows verified at a time
+MOST_FILTERED = 20_000_000  # entries of a bit filter; more are joined
+LONG = 8 << 20  # bytes of a text from which it is cut
+RUN_SCHEMA = "h long, doc long, start long, n long, hashes binary"
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The number that a row's document goes by."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
 
 
 def _anchors(c: Chunk, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,151 +75,220 @@ def _anchors(c: Chunk, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
     return at, low[at]
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _stretches(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Where windows ``at`` start anew: after a gap, or where one of ``same`` changes."""
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-def document_anchors(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(h, n): anchors, with the number of documents that hold them; a task's pieces count apart."""
+def _lengths(first: np.ndarray, end: int) -> np.ndarray:
+    return np.diff(np.append(first, end))
 
-    def collect(batches):
-        for c, _ in chunks(batches):
-            at, a = _anchors(c, window, run)
-            if not len(a):
-                continue
-            doc = c.word_doc[at]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-            a, doc = a[new], doc[new]
-            order = np.argsort(a, kind="stable")  # documents stay in order within an anchor
-            a, doc = a[order], doc[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-            a = a[new]
-            first = np.ones(len(a), bool)
-            first[1:] = a[1:] != a[:-1]
-            start = np.flatnonzero(first)
-            yield pa.RecordBatch.from_arrays([longs(a[start]), longs(np.diff(np.append(start, len(a))))], ["h", "n"])
 
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(collect, "h long, n long")
+def _blobs(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Each stretch's window hashes as bytes."""
+    off = pa.py_buffer((np.append(first, len(h)) * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, off, pa.py_buffer(np.ascontiguousarray(h))])
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (h, n) in the shared folder, oldest first."""
-
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
-        self.runs: list[DataFrame] = []
-
-    def history(self) -> DataFrame | None:
-        """All runs together, one row for each fingerprint."""
-        if not self.runs:
-            return None
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h").agg(F.sum("n").alias("n")) if len(self.runs) > 1 else out
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Writes the batch's run and gives its fingerprints that two documents or more hold by now, in it or before it."""
-        run = cut(batch.groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))
-        if (old := self.history()) is None:
-            repeated = run.where("n > 1")
-        else:
-            # the outer side is the batch: history is only looked up
-            joined = run.join(old.withColumnRenamed("n", "before").hint("merge"), "h", "left")
-            repeated = joined.select("h", (F.col("n") + F.coalesce("before", F.lit(0))).alias("n")).where("n > 1")
-        repeated = cut(repeated)
-        self.runs.append(run)
-        if len(self.runs) > self.fan_in:
-            self.compact()
-        return repeated
-
-    def compact(self) -> None:
-        """One sorted run in place of all."""
-        old, self.runs = self.runs, [cut(self.history().sortWithinPartitions("h"))]
-        for r in old:
-            drop_cut(r)
+_SPACE, _WORDS = re.compile(rb"[ \t-\r]"), {}
 
-    def clear(self) -> None:
-        for r in self.runs:
-            drop_cut(r)
-        self.runs = []
+
+def text_parts(raw: bytes, overlap: int):
+    """(number of the first word, bytes) of a text in parts of about LONG bytes, each with the next ``overlap`` words too."""
+    more = _WORDS.setdefault(overlap, re.compile(rb"(?:[ \t-\r]+[^ \t-\r]+){0,%d}" % overlap))
+    at = first = 0
+    while at + LONG < len(raw) and (border := _SPACE.search(raw, at + LONG)):
+        yield first, raw[at : more.match(raw, border.start()).end()]
+        first += len(raw[at : border.start()].split())
+        at = border.start()
+    yield first, raw[at:]
 
 
-def _candidates(c: Chunk, ids: np.ndarray, window: int, run: int, repeated: BitFilter, hot: BitFilter):
-    """Arrays (key, doc, start, n, first window, window hashes) of the piece's marks (hashes absent) and of its candidates."""
+def _bounded_rows(batches, overlap: int):
+    """Rows (doc, text) as (doc, text, number of the text's first word), long texts in parts."""
+    for b in batches:
+        size = pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        a = 0
+        for k in [*np.flatnonzero(size > LONG).tolist(), b.num_rows]:
+            if k > a:
+                yield pa.RecordBatch.from_arrays([*b.slice(a, k - a).columns, pa.array(np.zeros(k - a, np.int64))], ["doc", "text", "first"])
+            if k < b.num_rows:
+                for first, part in text_parts(b.column(1)[k].as_py(), overlap):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([part], pa.binary()), pa.array([first])], ["doc", "text", "first"])
+            a = k + 1
+
+
+def _run_rows(c: Chunk, keys: np.ndarray, first_word: np.ndarray, window: int, run: int):
+    """The piece's stretches, and those of windows that it holds earlier (without anchor and hashes)."""
     at, a = _anchors(c, window, run)
     if not len(at):
         return
-    h = c.windows(window)[1]
-    doc = c.word_doc[at]
-    # windows in the order of (doc_id, start); the first of each kind in the piece stays open
+    h, doc = c.windows(window)[1], c.word_doc[at]
+    start = at - c.wptr[doc] + first_word[doc]
+    # windows in the order of (document, start); the first of each kind in the piece stays open
     rank = np.empty(c.n, np.int64)
-    rank[np.argsort(ids, kind="stable")] = np.arange(c.n)
-    turn = np.argsort(rank[doc], kind="stable") if np.any(np.diff(ids) < 0) else np.arange(len(at))
+    rank[np.argsort(keys, kind="stable")] = np.arange(c.n)
+    turn = np.argsort(rank[doc], kind="stable") if np.any(np.diff(keys) < 0) else np.arange(len(at))
     order = turn[np.argsort(h[turn], kind="stable")]
-    hs, where, start = h[order], ids[doc[order]], at[order] - c.wptr[doc[order]]
+    hs, anchor, where, place = h[order], a[order], keys[doc[order]], start[order]
     first = np.ones(len(h), bool)
-    first[1:] = hs[1:] != hs[:-1]
+    first[1:] = (hs[1:] != hs[:-1]) | (anchor[1:] != anchor[:-1])
     head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    later = (where != where[head]) | (start != start[head])
-    later_at = np.zeros(len(h), bool)
-    later_at[order[later]] = True
-    # marks: runs of known duplicates
-    starts = at - c.wptr[doc]
-    if later_at.any():
-        i = np.flatnonzero(later_at)
-        new = np.ones(len(i), bool)
-        new[1:] = (at[i][1:] != at[i][:-1] + 1) | (doc[i][1:] != doc[i][:-1])
-        b = np.flatnonzero(new)
-        i0, n = i[b], np.diff(np.append(b, len(i)))
-        yield mix(ids[doc[i0]].astype(np.uint64)), ids[doc[i0]], starts[i0], n, None, None
-    # candidates: open windows under repeated anchors, in runs that share an anchor
-    turnover = np.ones(len(a), bool)
-    turnover[1:] = a[1:] != a[:-1]
-    runs = np.flatnonzero(turnover)
-    length = np.diff(np.append(runs, len(a)))
-    maybe, crowd = repeated.might_contain(a[runs]), hot.might_contain(a[runs])
-    i = np.flatnonzero(np.repeat(maybe, length) & ~later_at)
+    later = np.zeros(len(h), bool)
+    later[order[(where != where[head]) | (place != place[head])]] = True
+    names = ["h", "doc", "start", "n", "hashes"]
+    i = np.flatnonzero(later)
     if len(i):
-        single = np.repeat(crowd, length)[i]
-        new = np.ones(len(i), bool)
-        new[1:] = (at[i][1:] != at[i][:-1] + 1) | (a[i][1:] != a[i][:-1]) | (doc[i][1:] != doc[i][:-1]) | single[1:] | single[:-1]
-        b = np.flatnonzero(new)
-        i0, n = i[b], np.diff(np.append(b, len(i)))
-        key = np.where(single[b], mix(a[i0] ^ (h[i0] << U(1))), a[i0])
-        yield key, ids[doc[i0]], starts[i0], n, b, h[i]
+        b = _stretches(at[i], doc[i])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), longs(keys[doc[i[b]]]), longs(start[i[b]]), longs(_lengths(b, len(i))), pa.nulls(len(b), pa.binary())], names)
+    i = np.flatnonzero(~later)
+    if len(i):
+        b = _stretches(at[i], doc[i], a[i])
+        yield pa.RecordBatch.from_arrays([longs(a[i[b]]), longs(keys[doc[i[b]]]), longs(start[i[b]]), longs(_lengths(b, len(i))), _blobs((h[i] >> U(32)).astype(np.uint32), b)], names)
+
+
+def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """Rows of RUN_SCHEMA of docs (doc, text): sorted within each partition, those of windows that a piece repeats first, with a null anchor."""
+
+    def make(batches):
+        for c, rows in chunks(_bounded_rows(batches, window - 1)):
+            yield from _run_rows(c, *(rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)), window, run)
+
+    return docs.select("doc", "text").mapInArrow(make, RUN_SCHEMA).sortWithinPartitions("h")
+
+
+@dataclass(eq=False)
+class Run:
+    """Immutable sorted tables of one batch or of several: stretches (RUN_SCHEMA), and anchors with the number of stretches (h, n)."""
+
+    rows: DataFrame
+    counts: DataFrame
+    level: int = 0
+
+    def drop(self) -> None:
+        drop_cut(self.rows)
+        drop_cut(self.counts)
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+class FingerprintIndex:
+    """Runs in the shared folder, oldest first. add() gives what a batch repeats, of itself or of all that came before."""
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, run: int = RUN, fan_in: int | None = None):
+        self.spark, self.window, self.run, self.fan_in = spark, window, run, fan_in or FAN_IN
+        self.runs: list[Run] = []
+        self.compactions = 0
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(doc, a, b): word spans of docs (doc, text binary) that repeated windows cover, perhaps overlapping. The batch is in the index then."""
+        self._compact()
+        rows = cut(stretches(docs, self.window, self.run))
+        counts = cut(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("h"))
+        if self.runs:
+            before = _together([r.counts for r in self.runs]).groupBy("h").agg(F.sum("n").alias("before"))
+            # the outer side is the batch: history is only looked up
+            counted = counts.join(before.hint("merge"), "h", "left").select("h", (F.col("n") + F.coalesce("before", F.lit(0))).alias("n"))
+        else:
+            counted = counts
+        repeated = cut(counted.where("n > 1"))
+        spans = cut(self._spans(rows, repeated))
+        drop_cut(repeated)
+        self.runs.append(Run(rows, counts))
+        return spans
+
+    def _spans(self, rows: DataFrame, repeated: DataFrame) -> DataFrame:
+        window = self.window
+        every = rows.where("h is not null").withColumn("age", F.lit(1).cast("long"))
+        if self.runs:
+            every = every.unionByName(_together([r.rows for r in self.runs]).where("h is not null").withColumn("age", F.lit(0).cast("long")))
+        crowded = repeated.where(F.col("n") >= HOT)
+        n_repeated, n_crowded = repeated.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") >= HOT, 1))).first()
+        if n_repeated > MOST_FILTERED:
+            every = every.join(repeated.select("h").hint("merge"), "h", "left_semi")
+            many = None
+        else:
+            many = BitFilter.build(repeated, "h", n_repeated)
+        # frequent anchors beyond the filter's size only make more stretches go window by window
+        hot = BitFilter.build(crowded, "h", n_crowded, max_bytes=4 << 20)
+        sent = self.spark.sparkContext.broadcast((many, hot))
+        keyed = every.select("h", "age", "doc", "start", "n", "hashes").mapInArrow(lambda it: _keyed(it, *sent.value), "key long, age long, doc long, start long, n long, hashes binary")
+        found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _verified(it, window), "doc long, a long, b long")
+        own = rows.where("h is null").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + window).alias("b"))
+        return found.unionByName(own)
+
+    def _compact(self) -> None:
+        """Runs of one level, once there are ``fan_in`` of them, become one of the next: sorted, and each stretch at its first place."""
+        while len(last := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fan_in:
+            order = [r.rows.where("h is not null").withColumn("age", F.lit(k)) for k, r in enumerate(last)]
+            first = _together(order).groupBy("h", "hashes").agg(F.min(F.struct("age", "doc", "start")).alias("p"), F.first("n").alias("n"))
+            rows = cut(first.select("h", "p.doc", "p.start", "n", "hashes").sortWithinPartitions("h"))
+            counts = cut(_together([r.counts for r in last]).groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))
+            self.runs = [r for r in self.runs if r not in last] + [Run(rows, counts, last[0].level + 1)]
+            for r in last:
+                r.drop()
+            self.compactions += 1
+
+    def clear(self) -> None:
+        for r in self.runs:
+            r.drop()
+        self.runs = []
+
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """The window hashes of a column of blobs, end to end."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
 
-def _verify(rows: list[pa.RecordBatch], window: int):
-    """(doc, start, n) of the runs of windows that start earlier elsewhere; rows of a key must be together."""
+
+def _keyed(batches, many: BitFilter | None, hot: BitFilter):
+    """Stretches under repeated anchors, by anchor; those under frequent ones window by window, by anchor and window."""
+    names = ["key", "age", "doc", "start", "n", "hashes"]
+    for b in batches:
+        a = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        if many is not None:
+            keep = many.might_contain(a)
+            b, a = b.filter(pa.array(keep)), a[keep]
+        if not len(a):
+            continue
+        crowd = hot.might_contain(a)
+        if not crowd.all():
+            yield b.filter(pa.array(~crowd)).rename_columns(names)
+        if crowd.any():
+            b, a = b.filter(pa.array(crowd)), a[crowd]
+            n, h = b.column(4).to_numpy(), _flat(b.column(5))
+            row = np.repeat(np.arange(len(n)), n)
+            place = b.column(3).to_numpy()[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            key = mix(a[row] ^ (h.astype(np.uint64) << U(1)))
+            yield pa.RecordBatch.from_arrays([longs(key), b.column(1).take(pa.array(row)), longs(b.column(2).to_numpy()[row]), longs(place), longs(np.ones(len(h), np.int64)), _blobs(h, np.arange(len(h)))], names)
+
+
+def _verify(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
+    """(doc, a, b) of the batch's windows (age 1) that stand earlier elsewhere; rows of a key must be together."""
     t = pa.Table.from_batches(rows)
-    key, doc, start, n = (t.column(k).to_numpy() for k in range(4))
-    blob = t.column(4).combine_chunks()
-    blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
-    mark = blob.is_null().to_numpy(zero_copy_only=False)
-    out = [(doc[mark], start[mark], n[mark])]
-    key, doc, start, n = key[~mark], doc[~mark], start[~mark], n[~mark]
-    h = np.frombuffer(b"".join(blob.drop_null().to_pylist()), np.uint64)
-    if len(h):
-        row = np.repeat(np.arange(len(n)), n)
-        place = start[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((place, doc[row], key[row], h))
-        hs, ks, ds, ps = h[order], key[row][order], doc[row][order], place[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (hs[1:] != hs[:-1]) | (ks[1:] != ks[:-1])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        later = np.zeros(len(h), bool)
-        later[order] = (ds != ds[head]) | (ps != ps[head])
-        i = np.flatnonzero(later)
-        if len(i):
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1] + 1) | (row[i][1:] != row[i][:-1])
-            b = np.flatnonzero(new)
-            out.append((doc[row[i[b]]], place[i[b]], np.diff(np.append(b, len(i)))))
-    d, s, k = (np.concatenate([x[j] for x in out]) for j in range(3))
-    return pa.RecordBatch.from_arrays([longs(d), longs(s), longs(s + k - 1 + window)], ["doc", "a", "b"])
+    key, age, doc, start, n = (t.column(k).to_numpy() for k in range(5))
+    h = _flat(t.column(5))
+    row = np.repeat(np.arange(len(n)), n)
+    place = start[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((place, doc[row], age[row], key[row], h))
+    hs, ks, ds, ps = h[order], key[row][order], doc[row][order], place[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (hs[1:] != hs[:-1]) | (ks[1:] != ks[:-1])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    later = np.zeros(len(h), bool)
+    later[order] = ((ds != ds[head]) | (ps != ps[head])) & (age[row][order] == 1)
+    i = np.flatnonzero(later)
+    b = _stretches(i, row[i])
+    s = place[i[b]]
+    return pa.RecordBatch.from_arrays([longs(doc[row[i[b]]]), longs(s), longs(s + _lengths(b, len(i)) - 1 + window)], ["doc", "a", "b"])
 
 
 def _verified(batches, window: int):
@@ -207,7 +297,7 @@ def _verified(batches, window: int):
         if not b.num_rows:
             continue
         held.append(b)
-        size += int(b.column(3).to_numpy(zero_copy_only=False).sum())
+        size += int(b.column(4).to_numpy(zero_copy_only=False).sum())
         if size >= PIECE:
             t = pa.Table.from_batches(held)
             key = t.column(0).to_numpy()
@@ -215,50 +305,36 @@ def _verified(batches, window: int):
             if end:
                 yield _verify(t.slice(0, end).to_batches(), window)
             held = t.slice(end).to_batches()
-            size = int(t.slice(end).column(3).to_numpy().sum())
+            size = int(t.slice(end).column(4).to_numpy().sum())
     if held:
         yield _verify(held, window)
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """(doc, spans): for each document that repeats earlier windows, the word spans (a, b) that these cover, in any order, perhaps overlapping."""
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    own, index = index is None, index or FingerprintIndex(spark)
-    repeated = None
-    for k in range(batches):
-        batch = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
-        found = index.add(document_anchors(batch, window, run))
-        repeated = found if repeated is None else repeated.unionByName(found)
-    if own:
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return docs.select(document_key(F.col("doc_id"), text).alias("doc"), text.alias("text"))
+
+
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int | None = None, index: FingerprintIndex | None = None) -> DataFrame:
+    """(doc, spans): for each document that repeats earlier windows, the word spans (a, b) that these cover, in any order, perhaps overlapping.
+
+    Without an index, the documents go into one of their own in ``batches`` batches by
+    their ids. With one, they are its next batch, after all that it holds.
+    """
+    source = _keyed_texts(docs)
+    if index is not None:
+        found = index.add(source)
+    else:
+        index, batches = FingerprintIndex(docs.sparkSession, window, run), batches or BATCHES
+        borders = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 10_000).alias("b")).first()[0] if batches > 1 else None
+        edges = [None, *(sorted(set(borders)) if borders else []), None]
+        parts = []
+        for low, high in zip(edges[:-1], edges[1:]):
+            part = source if low is None else source.where(F.col("doc") > low)
+            parts.append(index.add(part if high is None else part.where(F.col("doc") <= high)))
+        found = _together(parts)
         index.clear()
-    crowded = repeated.where(F.col("n") >= HOT)
-    many = BitFilter.build(repeated, "h", repeated.count())
-    hot = BitFilter.build(crowded, "h", crowded.count(), max_bytes=4 << 20)
-    sent = spark.sparkContext.broadcast((many, hot))
-    names = ["key", "doc", "start", "n", "hashes"]
-
-    def candidates(rows):
-        for c, part in chunks(rows):
-            for key, doc, start, n, b, h in _candidates(c, _ids(part.column(0)), window, run, *sent.value):
-                if h is None:
-                    blob = pa.nulls(len(key), pa.binary())
-                else:
-                    off = (np.append(b, len(h)) * 8).astype(np.int32)
-                    blob = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(h))])
-                yield pa.RecordBatch.from_arrays([longs(key), longs(doc), longs(start), longs(n), blob], names)
-
-    rows = source.mapInArrow(candidates, "key long, doc long, start long, n long, hashes binary")
-    spans = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _verified(it, window), "doc long, a long, b long")
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def _with_spans(docs: DataFrame, window: int, run: int) -> DataFrame:
-    """docs with _doc_key and _spans."""
-    spans = duplicate_spans(docs, window, run)
-    keyed = docs.withColumn("_doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    flat = spans.select(F.col("doc").alias("_doc_key"), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias("_spans"))
-    return keyed.join(flat, "_doc_key", "left")
+    return found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def merged(flat: list[int] | None) -> list[tuple[int, int]]:
@@ -272,29 +348,70 @@ def merged(flat: list[int] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def report(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def _flat_spans(docs: DataFrame, window: int, run: int, index: FingerprintIndex | None, key: str, spans: str) -> DataFrame:
+    """(key, spans): the documents that lose words, with their flat spans; written, as it is read twice."""
+    got = duplicate_spans(docs, window, run, index=index)
+    return cut(got.select(F.col("doc").alias(key), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias(spans)))
+
+
+def _split(docs: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without spans, rows to be joined with them): of docs, whose last column is key. Rows that a bit filter rules out are not shuffled."""
+    n = found.count()
+    if n > MOST_FILTERED:
+        return docs.where("false"), docs
+    sent = docs.sparkSession.sparkContext.broadcast(BitFilter.build(found, key, n))
+
+    def pick(wanted: bool):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    maybe = sent.value.might_contain(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                    yield b.filter(pa.array(maybe == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return pick(False), pick(True)
+
+
+def _digest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
+    """Words, words in the disjoint sorted spans, and the digest of the others."""
+    n = kept = 0
+    sha = hashlib.sha256()
+    for first, part in text_parts(raw, 0):
+        words = part.split()
+        n = first + len(words)
+        for a, b in reversed(spans):
+            del words[max(0, a - first) : max(0, b - first)]
+        if words:
+            sha.update((b" " if kept else b"") + b" ".join(words))
+            kept += len(words)
+    return n, n - kept, sha.hexdigest()
+
+
+def report(docs: DataFrame, window: int = WINDOW, run: int = RUN, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def digest(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                ids, texts, spans = (batch.slice(at, 1000).column(k) for k in range(3))
+                part = batch.slice(at, 1000)
+                spans = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
                 n, gone, sha = [], [], []
-                for text, flat in zip(texts.to_pylist(), spans.to_pylist()):
-                    words = (text or b"").split()
-                    n.append(len(words))
-                    for a, b in reversed(merged(flat)):
-                        del words[a:b]
-                    gone.append(n[-1] - len(words))
-                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names)
+                for text, flat in zip(part.column(1), spans):
+                    for x, value in zip((n, gone, sha), _digest(text.as_py() or b"", merged(flat))):
+                        x.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names)
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), window, run)
-    return rows.select("doc_id", "text", "_spans").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    text = F.col("text").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), document_key(F.col("doc_id"), text).alias("doc"))
+    found = _flat_spans(docs, window, run, index, "doc", "spans")
+    clean, hit = _split(rows, found, "doc")
+    return clean.mapInArrow(digest, schema).unionByName(hit.join(found, "doc", "left").select("doc_id", "text", "doc", "spans").mapInArrow(digest, schema))
 
 
-def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN, index: FingerprintIndex | None = None) -> DataFrame:
     """docs without the words that repeated windows cover.
 
     Texts without such words stay as they are; a document of which no word is left goes;
@@ -305,6 +422,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN) ->
     at = docs.columns.index("text")
     fix = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema = docs.schema
+    key, name = free_name("_doc_key", docs.columns), free_name("_spans", docs.columns)
 
     def clean(batches):
         for batch in batches:
@@ -327,5 +445,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN) ->
                     columns[fix] = pa.array(sizes, rows.schema.field(fix).type)
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep))
 
-    rows = _with_spans(docs, window, run)
-    return rows.select(*docs.columns, "_spans").mapInArrow(clean, schema)
+    found = _flat_spans(docs, window, run, index, key, name)
+    untouched, hit = _split(docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), found, key)
+    cleaned = hit.join(found, key, "left").select(*docs.columns, name).mapInArrow(clean, schema)
+    return untouched.select(*docs.columns).unionByName(cleaned)

@@ -98,6 +98,20 @@ def test_token_counts(spark, corpus):
     for r in token_counts.quantiles(sums, [0.1, 0.5, 1.0]).collect():
         assert r.n_tokens == min(x for x in n if sum(y <= x for y in n) >= r.share * len(n))
     assert token_counts.suffix_sums(token_counts.length_histogram(empty(spark))).count() == 0
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        token_counts.length_histogram(frame(spark, corpus), vocabulary="/nowhere.tiktoken")
+
+
+def test_long_texts_encode_in_parts_like_the_whole(corpus, monkeypatch):
+    from pathlib import Path
+
+    ranks = Path(token_counts.VOCABULARY).read_bytes()
+    rnd = random.Random(31)
+    marks = ["  ", " ", "\n", " 12 ", "'s ", "é ", "² ", "_", " \u00a0", "don't "]
+    texts = [t for _, t in corpus] + ["".join(rnd.choice(marks) + prose(rnd, 2) + " ab cd" for _ in range(60)), "x" * 3000]
+    want = token_counts.encoded_lengths(texts, ranks)
+    monkeypatch.setattr(token_counts, "PART", 7)
+    assert token_counts.encoded_lengths(texts, ranks) == want and len(list(token_counts._parts(texts[-2]))) > 20
 
 
 # --- 2 ----------------------------------------------------------------------------
@@ -401,6 +415,31 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_of_a_table(spark):
+    """Thousands of rules, held against running every rule; words end at letters beyond ASCII as in the SQL."""
+    import duckdb
+
+    rnd = random.Random(8)
+    part = lambda: f"{rnd.choice('abcdefgh')}{rnd.randrange(40)}"
+    rows = [(rnd.choice(["block", "allow"]), f"{part()}.{part()}/" + rnd.choice(["", part()]), None, None) for _ in range(2500)]
+    rows += [("block", f"p{k}", rf"\b{part()}\b.*[-/]{(q := part())}\b", q) for k in range(1500)] + [("block", "no literal", "zz+top", None), rows[0]]
+    rules = url_filters.rules_from(spark.createDataFrame(rows, "verdict string, rule string, pattern string, literals string"))
+    assert len(rules) == len(set(rows))
+    urls = {k: f"http://{part()}.{part()}.{part()}/{part()}-{part()}/{part()}?{rnd.choice(['', 'zzztop', 'q=é'])}" for k in range(300)}
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(list(urls.items()), "page_id long, url string"), rules).collect()}
+    every = url_filters.RuleIndex([url_filters.Rule(r.name, r.verdict, r.pattern, (), r.weight, r.is_host) for r in rules], {})
+    for k, u in urls.items():
+        rule, verdict, run = every.judge(*url_filters.split_url(u))
+        assert (got[k].rule, got[k].verdict) == (rule, verdict or "allow") and got[k].n_run < 0.05 * run
+    assert sum(r.verdict == "block" for r in got.values()) > 20
+    with pytest.raises(ValueError):
+        url_filters.rules_from(spark.createDataFrame([("maybe", "a/", None, None)], "verdict string, rule string, pattern string, literals string"))
+    odd = spark.createDataFrame([(1, "http://casinoé.org/"), (2, "http://a.org/CASİNO"), (3, "http://a.org/Kasino/poKer"), (4, "http://a.org/poKer"), (5, None), (6, "http://ÀB.ORG/fr/" + "x" * 100000)], "page_id long, url string")
+    mine = {tuple(r) for r in url_filters.judge(odd).drop("n_run").collect()}
+    pages = odd.toPandas()  # noqa: F841
+    assert mine == set(duckdb.sql("WITH pages AS (SELECT * FROM pages) " + url_filters.ORACLE.strip().replace("WITH u AS", ", u AS", 1)).fetchall())
+
+
 # --- 7 ----------------------------------------------------------------------------
 
 
@@ -429,6 +468,24 @@ def test_mixing(spark, corpus):
     assert source_mixing.report(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_mixing_many_sources_without_and_with_a_broadcast(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BROADCAST_SOURCES", broadcast)
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, 20), None if i % 9 == 0 else f"s{i % 9}", i, "kept", 5) for i in range(1800)] + [(5000, None, "s1", 5000, "kept", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long, _mix_rate string, Copy_ long").repartition(5)
+    out = source_mixing.emit(df)
+    assert out.columns == [*df.columns, "copy__"] and out.where("_mix_rate <> 'kept' or Copy_ <> 5").isEmpty() and all(r["copy"] == r.doc_id for r in out.collect())
+    want = brute.level_targets({f"s{k}" if k else None: 4000 for k in range(9)})
+    words = {r.source: r.n * 20 for r in out.groupBy("source").agg(F.count("text").alias("n")).collect()}
+    assert all(abs(words[s] - want[s]) < 0.25 * want[s] for s in want), (words, want)
+    got = {r.doc_id: r for r in source_mixing.report(df).collect()}
+    n = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.max("copy__").alias("n")).collect()}
+    assert all(r.taken == r.size * n.get(i, 0) and r.target == pytest.approx(want[rows[i][2]]) for i, r in got.items() if i < 5000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (broadcast == 0)
+
+
 # --- 8 ----------------------------------------------------------------------------
 
 
@@ -481,11 +538,14 @@ def test_trees_tell_junk_and_keep_their_direction(spark):
 # --- 9 ----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("window,run,hot,fan,batches", [(20, 10, 256, 4, 2), (4, 2, 1, 1, 3), (3, 3, 256, 4, 1), (5, 1, 2, 1, 4)])
+@pytest.mark.parametrize("window,run,hot,fan,batches", [(20, 10, 256, 2, 3), (4, 2, 1, 2, 3), (3, 3, 256, 4, 1), (5, 1, 2, 2, 4)])
 def test_substring_dedup(spark, corpus, window, run, hot, fan, batches, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup.duplicate_spans, "__defaults__", (20, 10, batches, None))
-    monkeypatch.setattr(substring_dedup.FingerprintIndex.__init__, "__defaults__", (fan,))
+    monkeypatch.setattr(substring_dedup, "BATCHES", batches)
+    monkeypatch.setattr(substring_dedup, "FAN_IN", fan)
+    if batches == 3:  # repeated anchors and documents by joins in place of bit filters; long texts in parts
+        monkeypatch.setattr(substring_dedup, "MOST_FILTERED", 0)
+        monkeypatch.setattr(substring_dedup, "LONG", 40)
     rnd = random.Random(window)
     docs = corpus if window == 20 else [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30)))) for i in range(150)] + [(500, None), (501, ""), (502, "a b " * 40)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(frame(spark, docs, 6), window, run).collect()}
@@ -493,12 +553,50 @@ def test_substring_dedup(spark, corpus, window, run, hot, fan, batches, monkeypa
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
-def test_index_keeps_history(spark):
-    index = substring_dedup.FingerprintIndex(spark, fan_in=2)
-    batch = lambda *h: spark.createDataFrame([(x, 1) for x in h], "h long, n long")
-    seen = [{r.h: r.n for r in index.add(batch(*h)).collect()} for h in ((1, 2, 2), (2, 3), (3, 4, 1), (5, 4, 9), (9, 2))]
-    assert seen == [{2: 2}, {2: 3}, {3: 2, 1: 2}, {4: 2}, {9: 2, 2: 4}]
-    assert len(index.runs) <= 2 and {r.h: r.n for r in index.history().collect()} == {1: 2, 2: 4, 3: 2, 4: 2, 5: 1, 9: 2}
+@pytest.mark.parametrize("fan", [2, 3, 9])
+def test_batches_on_one_index_are_like_all_at_once(spark, corpus, fan):
+    docs = sorted(corpus)
+    p = " ".join(f"p{k}" for k in range(30))
+    docs += [(1000, f"a {p} b"), (1001, "q " * 50), (2000, p), (2001, f"x y {p}"), (2002, "q " * 30)]
+    want = brute.substring(docs, 20)
+    index = substring_dedup.FingerprintIndex(spark, fan_in=fan)
+    parts = [docs[k : k + 40] for k in range(0, len(docs), 40)]
+    assert len(parts) >= 4
+    for part in parts:
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(frame(spark, part), index=index).collect()}
+        assert got == {i: want[i] for i, _ in part}
+    assert (index.compactions > 0) == (fan < len(parts)) and len(index.runs) <= fan + 1
+    if fan == 2:  # sorted runs that count each anchor once
+        for r in index.runs:
+            rows = r.counts.groupBy("h").count().where("count > 1")
+            assert rows.isEmpty() and r.rows.where("h is not null").agg(F.countDistinct("h")).first()[0] == r.counts.count()
+    # the same documents again: each place has been seen, and is no repeat of itself
+    again = {r.doc_id: r.n_removed for r in substring_dedup.report(frame(spark, parts[-1]), index=index).collect()}
+    assert again == {i: want[i][1] for i, _ in parts[-1]}
+    # copies under new ids are repeats of history as a whole
+    copies = {r.doc_id: r.n_removed for r in substring_dedup.report(frame(spark, [(i + 5000, t) for i, t in parts[-1]]), index=index).collect()}
+    assert all(copies[i + 5000] == (want[i][0] if want[i][0] >= 20 else 0) for i, _ in parts[-1])
+    index.clear()
+
+
+def test_text_parts_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LONG", 13)
+    rnd = random.Random(2)
+    for text in ["", " ", "x" * 90, " a  b\tcc " * 9, prose(rnd, 60), "word " + "y" * 50 + " end"]:
+        words, seen = text.encode().split(), {}
+        for first, part in substring_dedup.text_parts(text.encode(), 2):
+            got = part.split()
+            for k in range(len(got) - 2):
+                assert first + k not in seen
+                seen[first + k] = got[k : k + 3]
+        assert seen == {k: words[k : k + 3] for k in range(len(words) - 2)}
+
+
+def test_documents_without_an_id_are_told_apart(spark):
+    p = " ".join(f"p{k}" for k in range(25))
+    rows = [(1, p), (None, f"one {p}"), (None, f"two {p}"), (None, None), (None, ""), (None, " ".join(f"z{k}" for k in range(25)))]
+    got = sorted((r.n_words, r.n_removed) for r in substring_dedup.report(frame(spark, rows)).collect())
+    assert got == [(0, 0), (0, 0), (25, 0), (25, 0), (26, 25), (26, 25)]
 
 
 def test_remove_duplicates(spark):
