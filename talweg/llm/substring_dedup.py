@@ -261,7 +261,7 @@ def _keyed(batches, many: BitFilter | None, hot: BitFilter):
             continue
         crowd = hot.might_contain(a)
         if not crowd.all():
-            yield b.filter(pa.array(~crowd)).rename_columns(names)
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(~crowd)).columns, names)  # fields like those below
         if crowd.any():
             b, a = b.filter(pa.array(crowd)), a[crowd]
             n, h = b.column(4).to_numpy(), _flat(b.column(5))
