@@ -12,7 +12,7 @@ runs, which tells the anchors that stand in more than one place by now. Only str
 under these, of the batch and of history, go on; they meet under their anchors, where
 window by window is verified, and every window of the batch but the first of its kind is a
 duplicate. Documents of earlier batches are never read again. ``FAN_IN`` runs of one level
-are compacted into one of the next, in which repeated stretches are kept once.
+are compacted into one of the next, of fewer and longer sorted files.
 
 Few repeated anchors reach the tasks as a bit filter, whose false positives only cost
 comparisons; more than it has room for are joined. Each piece of a task drops its own
@@ -52,6 +52,7 @@ NO_ID = 1 << 62  # documents without an id are numbered from here
 PIECE = 1_000_000  # windows verified at a time
 MOST_FILTERED = 20_000_000  # entries of a bit filter; more are joined
 LONG = 8 << 20  # bytes of a text from which it is cut
+TEXT = 1 << 20  # bytes of text whose windows are found at once
 RUN_SCHEMA = "h long, doc long, start long, n long, hashes binary"
 
 
@@ -155,7 +156,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFram
     """Rows of RUN_SCHEMA of docs (doc, text): sorted within each partition, those of windows that a piece repeats first, with a null anchor."""
 
     def make(batches):
-        for c, rows in chunks(_bounded_rows(batches, window - 1)):
+        for c, rows in chunks(_bounded_rows(batches, window - 1), size=TEXT):
             yield from _run_rows(c, *(rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 2)), window, run)
 
     return docs.select("doc", "text").mapInArrow(make, RUN_SCHEMA).sortWithinPartitions("h")
@@ -227,11 +228,11 @@ class FingerprintIndex:
         return found.unionByName(own)
 
     def _compact(self) -> None:
-        """Runs of one level, once there are ``fan_in`` of them, become one of the next: sorted, and each stretch at its first place."""
+        """Runs of one level, once there are ``fan_in`` of them, become one of the next: fewer and longer sorted files, and one count for each anchor."""
         while len(last := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fan_in:
-            order = [r.rows.where("h is not null").withColumn("age", F.lit(k)) for k, r in enumerate(last)]
-            first = _together(order).groupBy("h", "hashes").agg(F.min(F.struct("age", "doc", "start")).alias("p"), F.first("n").alias("n"))
-            rows = cut(first.select("h", "p.doc", "p.start", "n", "hashes").sortWithinPartitions("h"))
+            # one scan of all their files, which Spark deals to tasks by size: nothing is shuffled
+            rows = self.spark.read.schema(RUN_SCHEMA).parquet(*(r.rows._talweg_path for r in last))
+            rows = cut(rows.where("h is not null").sortWithinPartitions("h"))
             counts = cut(_together([r.counts for r in last]).groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))
             self.runs = [r for r in self.runs if r not in last] + [Run(rows, counts, last[0].level + 1)]
             for r in last:
