@@ -14,13 +14,13 @@ pairs are shuffled to the pieces: the score is a sum in which each
 pair has its own term. Pairs that make up more than one in ``most_frequent`` of all tokens
 are known everywhere, so that none of the rest is asked for by very many documents. Either
 way the documents are read as often, whatever their number. Exact word counts, for the base score, are broadcast while there
-are at most ``max_words`` of them, and joined by a shuffle beyond. Where a filter of words
-would pass ``max_bytes``, there is none, and the exact counts give the words' levels: those
-broadcast, or beyond ``max_words`` those that each row gets by a shuffle.
+are at most ``max_words`` of them; beyond, those of frequent words are, and a row gets its other words' counts by a shuffle.
+Where a filter of words would pass ``max_bytes``, there is none, and the exact counts give the words' levels.
 
 Defined cases: a null text is empty and has one token, its end; a null doc_id belongs to
 the training documents; rows that share a doc_id are scored row by row; an empty table
-gives no rows; without training documents every count is zero; other columns are ignored.
+gives no rows; without training documents every count is zero; other columns are ignored;
+a very long text is one piece of its task, some 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ MOST_FREQUENT = 1 << 20  # pairs with a larger share of all tokens than one in s
 SAMPLE = 64  # one pair of so many tells how many there are
 MAX_WORDS = 8_000_000  # of a broadcast table of word counts, 16 bytes each
 PROBES, BITS = 4, 9  # bits for each distinct n-gram level
-PIECE_ENTRIES = 1_500_000  # of one piece of the filter, about
+PIECE_ENTRIES = 600_000  # of one piece of the filter, about: what a task sorts at once
 SCORED = 1 << 19  # bytes of text scored at once; the filters take the memory that larger pieces would need
+COUNTED = 1 << 20  # bytes of text whose pairs are counted at once
 END = U(0x1D8E4E27C47D124F)  # hash of the end of a document
 _GOLD, _WORD, _PAIR = 0x9E3779B97F4A7C15, U(0x2545F4914F6CDD1D), U(0x5851F42D4C957F2D)
 _LEVELS = 96
@@ -92,7 +93,7 @@ def _tally(docs: DataFrame) -> DataFrame:
     """(pair, h, n): counts of all tokens, and of the pairs whose hash is a multiple of SAMPLE, from which the number of all pairs is told."""
 
     def count(batches):
-        for c, _ in chunks(batches, SPACE, lower=True):
+        for c, _ in chunks(batches, SPACE, lower=True, size=COUNTED):
             token, before, _ = _tokens(c)
             pairs = pair_key(before, token)
             for pair, h in ((False, token), (True, pairs[pairs % U(SAMPLE) == 0])):
@@ -121,7 +122,7 @@ def _pair_counts(docs: DataFrame, pieces: int) -> DataFrame:
     """(piece, h, n): packed counts of the pairs; a task's pieces of text count apart."""
 
     def count(batches):
-        for c, _ in chunks(batches, SPACE, lower=True):
+        for c, _ in chunks(batches, SPACE, lower=True, size=COUNTED):
             token, before, _ = _tokens(c)
             yield _packed(*np.unique(pair_key(before, token), return_counts=True), pieces)
 
@@ -239,26 +240,6 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, n[at], 0)
 
 
-def _base_by_join(source: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """row, n_known and base_score without a broadcast: each row's distinct tokens meet their counts in a shuffle."""
-
-    def explode(batches):
-        for c, rows in chunks(batches, SPACE, lower=True):
-            token, _, start = _tokens(c)
-            doc = np.repeat(np.arange(c.n), np.diff(np.append(start, len(token))))
-            order = np.lexsort((token, doc))
-            t, d = token[order], doc[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(d[at])), longs(t[at]), longs(np.diff(np.append(at, len(t))))], ["row", "h", "tf"])
-
-    tokens = source.mapInArrow(explode, "row long, h long, tf long")
-    value = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    met = tokens.join(counts.select("h", "n"), "h", "left")
-    return met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * value).alias("base_score"))
-
-
 def _with_counts(numbered: DataFrame, counts: DataFrame, frequent) -> DataFrame:
     """numbered with the counts (h, n) of each row's tokens that are not frequent: the distinct ones meet their counts in a shuffle, and go back to their row."""
 
@@ -302,16 +283,15 @@ def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_
     broadcast_pairs = pair_levels * BITS // 8 <= max_bytes
     uniform = float(total + distinct + 1)
     broadcast_words = distinct <= max_words
-    counts_by_row = words is None and not broadcast_words
-    broadcast_counts = counts if broadcast_words else counts.where(F.col("n") > total // most_frequent) if counts_by_row else None
-    table = spark.sparkContext.broadcast(None if broadcast_counts is None else _word_table(broadcast_counts))
+    # beyond max_words the frequent words alone are sent: the rest meet their rows in a shuffle, in which no word has very many
+    table = spark.sparkContext.broadcast(_word_table(counts if broadcast_words else counts.where(F.col("n") > total // most_frequent)))
     word_filter = spark.sparkContext.broadcast(words)
     numbered = source if broadcast_words and broadcast_pairs else source.withColumn("row", F.monotonically_increasing_id())
     if "row" in numbered.columns:
         numbered = cut(numbered.select("doc_id", "text", "row", "held_out"))  # the numbers must stay the same in every scan
     else:
         numbered = numbered.select("doc_id", "text", F.lit(0).cast("long").alias("row"), "held_out")
-    if counts_by_row:
+    if not broadcast_words:
         numbered = cut(_with_counts(numbered, counts, table))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -326,10 +306,8 @@ def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_
         pairs = spark.sparkContext.broadcast(_sorted_table(bits.where(F.length("h") > 0).select("h", "n")))
 
     def exact_counts(kinds, rows):
-        if table.value is None:
-            return np.zeros(len(kinds), np.int64)
         n = _look_up(table.value, kinds)
-        return np.where(n > 0, n, _look_up(_row_counts(rows), kinds)) if counts_by_row else n
+        return n if broadcast_words else np.where(n > 0, n, _look_up(_row_counts(rows), kinds))
 
     def levels_of(kinds, rows):
         return level(exact_counts(kinds, rows)) if word_filter.value is None else word_filter.value.levels(word_key(kinds))
@@ -356,8 +334,6 @@ def score(docs: DataFrame, held_out: Column | None = None, max_bytes: int = MAX_
     if not broadcast_pairs:
         gains = _gains_by_shuffle(numbered, bits, pieces, levels_of, pairs, uniform, pair_weight)
         parts = parts.join(gains, "row", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0))).drop("gain")
-    if not broadcast_words and not counts_by_row:
-        parts = parts.drop("n_known", "base_score").join(_base_by_join(numbered, counts, total, distinct), "row")
     return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
