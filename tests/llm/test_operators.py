@@ -538,7 +538,7 @@ def test_trees_tell_junk_and_keep_their_direction(spark):
 # --- 9 ----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("window,run,hot,fan,batches", [(20, 10, 256, 2, 3), (4, 2, 1, 2, 3), (3, 3, 256, 4, 1), (5, 1, 2, 2, 4)])
+@pytest.mark.parametrize("window,run,hot,fan,batches", [(20, 10, 4, 2, 3), (4, 2, 1, 2, 3), (3, 3, 256, 4, 1), (5, 1, 2, 2, 4)])
 def test_substring_dedup(spark, corpus, window, run, hot, fan, batches, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "BATCHES", batches)
@@ -553,15 +553,15 @@ def test_substring_dedup(spark, corpus, window, run, hot, fan, batches, monkeypa
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
-@pytest.mark.parametrize("fan", [2, 3, 9])
+@pytest.mark.parametrize("fan", [2, 9])
 def test_batches_on_one_index_are_like_all_at_once(spark, corpus, fan):
     docs = sorted(corpus)
     p = " ".join(f"p{k}" for k in range(30))
     docs += [(1000, f"a {p} b"), (1001, "q " * 50), (2000, p), (2001, f"x y {p}"), (2002, "q " * 30)]
     want = brute.substring(docs, 20)
     index = substring_dedup.FingerprintIndex(spark, fan_in=fan)
-    parts = [docs[k : k + 40] for k in range(0, len(docs), 40)]
-    assert len(parts) >= 4
+    parts = [docs[k : k + 50] for k in range(0, len(docs), 50)]
+    assert len(parts) >= 3
     for part in parts:
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(frame(spark, part), index=index).collect()}
         assert got == {i: want[i] for i, _ in part}
@@ -651,14 +651,104 @@ def test_items_without_an_id_are_cut(spark):
     assert [r.text for r in out.collect()] == [long]
 
 
+def plain_looks(rows, looks):
+    """Features of both views of (text, source, lang, n_chars), one document at a time."""
+    place = {int(h): k for k, h in enumerate(looks.words)}
+    out = []
+    for text, *meta in rows:
+        chunk = next(chunks([pa_batch(text)], quality_classifier.ALNUM, lower=True))[0]
+        words = {place[int(h)] for h in chunk.word_hash if int(h) in place}
+        n, chars, symbols, dup, repeat = brute.statistics(text)
+        raw = text or ""
+        w, t, lines = max(1, n), max(1, len(raw)), max(1, sum(bool(line.split()) for line in raw.encode().split(b"\n")))
+        share = lambda kind: sum(c in kind for c in raw) / t
+        stats = [np.log1p(n), chars / w, symbols / t, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("!?"), dup / lines, repeat / w, len(set(raw.encode().split())) / w, w / lines]
+        base, bins = len(looks.words), []
+        for e, x in zip(looks.edges, stats):
+            bins.append(base + sum(x > b for b in e))
+            base += len(e) + 1
+        out.append((sorted(words) + bins, stats, quality_classifier.metadata_features(*([x] for x in meta))[0].tolist()))
+    return out
+
+
+def pa_batch(text):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([None if text is None else text.encode()], pa.binary())], ["id", "text"])
+
+
+def plain_logit(view, features, stats):
+    m, told = view.model, sum(view.told[f] for f in features)
+    dense = [min(8, max(-8, (x - a) / b)) * w for x, a, b, w in zip([*stats, told], m.mean, m.scale, m.dense)]
+    return sum(m.weight[f] for f in features) + sum(dense) + m.bias
+
+
+def test_classifier_is_that_of_plain_python(spark):
+    """The sums that views tell each other, and all scores, against one document at a time."""
+    docs, labels, _ = junk_corpus(400)
+    docs += [(900, None), (901, " "), (None, "w1 w2 scum"), (None, "W3!! W4!!")]
+    df, lab = frame(spark, docs, 7), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, every = quality_classifier.train(df, lab)
+    rows = {(r.doc_id, r.text): (r.text, r.source, r.lang, r.n_chars) for r in df.collect()}
+    keys, seen = list(rows), plain_looks(rows.values(), model.looks)
+    known = {i for i, _, _ in labels}
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    want = {"text": np.zeros((len(model.views["text"].told) + 1, 2)), "meta": np.zeros((quality_classifier.META + 1, 2))}
+    scores = {}
+    for key, (features, stats, meta) in zip(keys, seen):
+        a, b = plain_logit(model.views["text"], features, stats), plain_logit(model.views["meta"], meta, [])
+        p = sigmoid(np.clip(a, -12, 12) * model.mix[0] + np.clip(b, -12, 12) * model.mix[1] + model.mix[2])
+        scores[key] = (p if (key[1] or "").split() else 0.0, sigmoid(a), sigmoid(b))
+        if key[0] in known:
+            continue
+        for z, other, its in ((a, "meta", meta), (b, "text", features)):
+            for k, sure in enumerate((sigmoid(z) >= quality_classifier.CONFIDENT, sigmoid(z) <= 1 - quality_classifier.CONFIDENT)):
+                if sure:
+                    for f in [*its, -1]:
+                        want[other][f, k] += 1
+    free = every.join(lab.select("doc_id"), "doc_id", "left_anti").select("words", "stats", "meta")
+    got = quality_classifier._teach(free, model.looks, model.views)
+    assert all(np.array_equal(got[v], want[v]) for v in want) and got["meta"][-1].min() > 10
+    table = np.array([[12.0, 1], [0, 3], [20, 9]])
+    assert np.allclose(quality_classifier.log_odds(table), [np.log(13 / 22) - np.log(2 / 11), np.log(1 / 22) - np.log(4 / 11)])
+    assert not quality_classifier.log_odds(np.array([[3.0, 0], [5, 0]])).any()
+    by = {}
+    for r in quality_classifier.score(df, lab).collect():
+        by.setdefault(r.doc_id, []).append((r.score, r.text_score, r.meta_score, r.kept))
+    for key, s in scores.items():
+        assert any(s == pytest.approx(g[:3], abs=1e-6) and g[3] == (bool((key[1] or "").split()) and s[0] >= model.threshold) for g in by[key[0]])
+
+
+def test_words_are_chosen_without_the_rows_for_calibration(spark):
+    """A word that tells the label among calibration rows alone is not looked at."""
+    docs, labels, _ = junk_corpus(900)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in quality_classifier._labelled(lab, 12_000).where("calibrate").collect()}
+    assert 100 < len(held) < 300
+    kind = {i: q for i, q, _ in labels}
+    marked = [(i, t + (" leaked" if i in held and kind[i] else " honest" if i not in held and kind.get(i) else "")) for i, t in docs]
+    model, _ = quality_classifier.train(frame(spark, marked), lab)
+    seen = lambda w: int(next(chunks([pa_batch(w)], quality_classifier.ALNUM, lower=True))[0].word_hash[0]) in {int(h) for h in model.looks.words}
+    assert seen("honest") and not seen("leaked")
+
+
 def test_views_teach_each_other():
-    """Two views that each tell the label: with few labels, the pool helps."""
+    """With few labels, what one view is sure of helps the other: its words are known only from unlabelled rows."""
     rng = np.random.default_rng(1)
-    n = 3000
+    n, words = 4000, 40
     y = (rng.random(n) < 0.5).astype(float)
-    none = np.zeros(0, np.int64)
-    view = lambda s: quality_classifier.Sparse(none, np.zeros(n, np.int64), (y * 2 - 1)[:, None] * s + rng.normal(size=(n, 2)), 0)
-    labelled = np.arange(n) < 60
-    text, meta, mix, threshold = quality_classifier.cotrain(view(2.0), view(2.0), y, labelled, labelled & (np.arange(n) % 3 == 0))
-    assert mix[0] > 0 and mix[1] > 0 and 0 <= threshold <= 0.5
-    assert np.all(text.dense > 0) and np.all(meta.dense > 0)
+    # each text has three of twenty words of its kind; metadata tell the label by a number
+    word = rng.integers(0, words // 2, (n, 3)) + (y[:, None] > 0) * (words // 2)
+    word = np.where(rng.random((n, 3)) < 0.1, rng.integers(0, words, (n, 3)), word)
+    text = quality_classifier.Sparse(word.ravel(), np.full(n, 3), np.zeros((n, 0)), words)
+    size = np.clip(np.round(y * 6 + rng.normal(size=n)), -3, 9).astype(np.int64) + 3
+    meta = quality_classifier.Sparse(size, np.ones(n, np.int64), np.zeros((n, 0)), 13)
+    first = np.arange(n) < 40
+    calibrate, free = np.arange(40) % 4 == 0, ~first
+    teach = lambda views: quality_classifier.lessons(views, text.take(free), meta.take(free))
+    right = {}
+    for rounds in (0, 3):
+        views, mix, threshold = quality_classifier.cotrain(text.take(first), meta.take(first), y[first], calibrate, teach, rounds)
+        right[rounds] = np.mean((views["text"].logit(text.take(free)) > 0) == (y[free] > 0))
+        assert mix[0] > 0 and mix[1] > 0 and 0 <= threshold <= 0.5
+    assert right[3] > right[0] + 0.01 and right[3] > 0.97
