@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.functions import jobs
 from talweg.functions.lineage import cut
 from talweg.operators import catchments, masks, routing, streams
-from talweg.sources.grid import Grid, TerrainError, is_valid
+from talweg.sources.grid import BuildError, Cancelled, Grid, TerrainError, is_valid
 
 MIN_ACC = 10_000  # cells from which paths are shown
 MIN_AREA = 100_000.0  # square metres of a subcatchment
@@ -18,15 +20,39 @@ MIN_AREA = 100_000.0  # square metres of a subcatchment
 class Terrain:
     """cells (cell_id, z) of a grid, perhaps behind a mask.
 
-    receivers: ``exact`` floods the DEM in one task and settles pits and ties; ``lowest``
-    is one distributed aggregate, and raises where a pit or tie makes the two differ.
+    receivers: ``lowest`` is one distributed aggregate, and raises where a pit or tied lowest
+    neighbours make the exact receivers another; ``exact`` floods the DEM in one task and
+    settles pits and ties; ``auto`` takes the first unless it raises. Steps that are written
+    call ``progress`` with their name and run under the job tag ``tag``; cancel(), from
+    another thread, stops them, and they raise Cancelled.
     """
 
-    def __init__(self, grid: Grid, cells: DataFrame, mask: list[masks.Ring] | None = None, receivers: str = "exact"):
-        if receivers not in ("exact", "lowest"):
-            raise TerrainError("receivers: exact or lowest")
+    def __init__(self, grid: Grid, cells: DataFrame, mask: list[masks.Ring] | None = None, receivers: str = "auto", mask_crs: str = "", progress: Callable[[str], None] | None = None, tag: str = "talweg"):
+        if receivers not in ("auto", "exact", "lowest"):
+            raise TerrainError("receivers: auto, exact or lowest")
+        if mask:
+            masks.same_system(grid, mask_crs)
         self.grid, self.mask, self.how = grid, mask, receivers
         self.all_cells = cells
+        self.progress, self.tag, self.stopped = progress, tag, False
+
+    def cancel(self) -> None:
+        """Stops the running step and all later ones."""
+        self.stopped = True
+        jobs.cancel(self.all_cells.sparkSession, self.tag)
+
+    def _step(self, name: str, source: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if self.stopped:
+            raise Cancelled(name)
+        if self.progress:
+            self.progress(name)
+        try:
+            with jobs.tagged(self.all_cells.sparkSession, self.tag):
+                return cut(make(source))
+        except Exception as e:
+            if self.stopped:
+                raise Cancelled(name) from e
+            raise
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -35,30 +61,36 @@ class Terrain:
             got = masks.mask_filter(self.all_cells, self.grid, self.mask)
         else:
             got = self.all_cells.where(is_valid(F.col("z"), self.grid.nodata)).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("z").cast("double").alias("z"))
-        got = cut(got)
+        got = self._step("cells", got, lambda got: got)
         if got.isEmpty():
-            raise TerrainError("no valid cell")
+            raise BuildError("no valid cell")
         return got
 
     @cached_property
     def receivers(self) -> DataFrame:
         """(cell_id, down_id)."""
-        if self.how == "lowest":
-            return routing.receivers_by_lowest(self.cells, self.grid)
+        if self.how != "exact":
+            try:
+                return self._step("receivers", self.cells, lambda cells: routing.receivers_by_lowest(cells, self.grid))
+            except Cancelled:
+                raise
+            except TerrainError:
+                if self.how == "lowest":
+                    raise
         return self.flood.select("cell_id", "down_id")
 
     @cached_property
     def flood(self) -> DataFrame:
-        return cut(routing.flood(self.cells, self.grid))
+        return self._step("flood", self.cells, lambda cells: routing.flood(cells, self.grid))
 
     @cached_property
     def tree(self) -> DataFrame:
         """(cell_id, down_id, acc)."""
-        return cut(streams.accumulation(self.receivers, self.grid))
+        return self._step("accumulation", self.receivers, lambda receivers: streams.accumulation(receivers, self.grid))
 
     @cached_property
     def cell_strahler(self) -> DataFrame:
-        return cut(streams.strahler(self.tree, self.grid))
+        return self._step("orders", self.tree, lambda tree: streams.strahler(tree, self.grid))
 
     def filled(self) -> DataFrame:
         return routing.filled_surface(self.cells, self.grid)
@@ -67,7 +99,7 @@ class Terrain:
         """The flow path layer, kept for each threshold."""
         kept = self.__dict__.setdefault("_paths", {})
         if min_acc not in kept:
-            kept[min_acc] = cut(streams.flow_paths(self.tree, self.grid, min_acc))
+            kept[min_acc] = self._step("flow paths", self.tree, lambda tree: streams.flow_paths(tree, self.grid, min_acc))
         return kept[min_acc]
 
     def reaches(self, min_acc: int = MIN_ACC, paths: DataFrame | None = None) -> DataFrame:

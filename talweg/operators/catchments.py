@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import geometry as G
 from talweg.functions.lineage import cut
-from talweg.operators.trees import first_stop, fold
+from talweg.operators.trees import OpenCells, first_stop, fold
 from talweg.sources.grid import Grid, TerrainError
 
 Point = tuple[float, float]
@@ -105,11 +105,7 @@ def greedy_outlets(tree: DataFrame, grid: Grid, min_cells: int, domain: DataFram
     inside = cut(inside)
     below = inside.select(F.col("cell_id").alias("down_id"), F.lit(True).alias("_in"))
     linked = cut(inside.join(below, "down_id", "left").select("cell_id", F.when(F.col("_in"), F.col("down_id")).otherwise(-1).alias("down_id"), "acc"))
-
-    def step(values: list[int]) -> int:
-        return 1 + sum(v for v in values if v < m)
-
-    opened = fold(linked, grid, step)
+    opened = fold(linked, grid, lambda n: OpenCells(n, m))
     got = linked.join(opened, "cell_id")
     chosen = (F.col("value") >= m) | (F.lit(bool(residual)) & (F.col("down_id") < 0))
     return got.where(chosen).select("cell_id", F.col("value").alias("open_cells"))

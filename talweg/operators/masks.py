@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions import geometry as G
+from talweg.operators.dissolve import dissolve
 from talweg.sources.grid import Grid, TerrainError, is_valid
 
 Ring = list[tuple[float, float]]
@@ -91,11 +92,28 @@ def nodata_cells(cells: DataFrame, grid: Grid, rings: list[Ring] | None = None)
 LARGE_LAYER = 750_000
 
 
-def validate(cells: DataFrame, grid: Grid, rings: list[Ring] | None = None, min_acc: int = 10_000, crs_is_projected: bool | None = None) -> list[tuple[str, str]]:
-    """(code, message) of everything a user should know before a run; errors raise."""
+def nodata_areas(cells: DataFrame, grid: Grid, rings: list[Ring] | None = None) -> DataFrame:
+    """(group_id, wkb, area, warning): the outline of the cells without data, in the mask if there is one, as one MultiPolygon; no row without such cells."""
+    bad = nodata_cells(cells, grid, rings).select(F.lit(0).cast("long").alias("group_id"), F.col("cell_id").cast("long").alias("cell_id"))
+    return dissolve(bad, grid).withColumn("warning", F.lit("cells without data in the mask" if rings else "cells without data"))
+
+
+def same_system(grid: Grid, crs: str) -> None:
+    """Raises where a drawing's reference system is stated and is not the grid's: nothing is converted here."""
+    if crs and grid.crs and crs.strip().upper() != grid.crs.strip().upper():
+        raise TerrainError(f"the mask is in {crs} and the grid in {grid.crs}: convert one of them")
+
+
+def validate(cells: DataFrame, grid: Grid, rings: list[Ring] | None = None, min_acc: int = 10_000, crs_is_projected: bool | None = None, mask_crs: str = "") -> list[tuple[str, str]]:
+    """(code, message) of everything a user should know before a run; errors raise. The grid's own reference system tells whether it is projected, unless the caller does."""
     out = []
-    if crs_is_projected is False:
-        out.append(("geographic_crs", "the grid is not in a projected reference system: lengths and areas are in its own units"))
+    if rings:
+        same_system(grid, mask_crs)
+    projected = grid.projected if crs_is_projected is None else crs_is_projected
+    if projected is False:
+        out.append(("geographic_crs", f"the grid is not in a projected reference system ({grid.crs or 'not named'}): lengths and areas are in its own units"))
+    elif projected is None and grid.crs:
+        out.append(("unknown_crs", f"whether {grid.crs} is a projected reference system is not known here: lengths and areas are in its units"))
     if rings and extent_misses(grid, rings):
         raise TerrainError("the mask lies outside the grid")
     q = mask_quality(cells, grid, rings).first()

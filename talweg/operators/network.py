@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.lineage import cut
+from talweg.functions.ordering import numbered
 from talweg.sources.grid import TerrainError
 
 
@@ -33,8 +34,7 @@ def with_depth(links: DataFrame) -> DataFrame:
 def depth_order(links: DataFrame, tree: DataFrame) -> DataFrame:
     """(outlet_id, ds_id, acc, depth, position): upstream first; position counts by depth, accumulation and id. A row for each subcatchment."""
     got = with_depth(links).join(tree.select(F.col("cell_id").alias("outlet_id"), "acc"), "outlet_id")
-    place = F.row_number().over(Window.orderBy(F.desc("depth"), "acc", "outlet_id")).cast("long")
-    return got.select("outlet_id", "ds_id", "acc", "depth", place.alias("position"))
+    return numbered(got, "position", F.desc("depth"), "acc", "outlet_id").select("outlet_id", "ds_id", "acc", "depth", "position")
 
 
 def require_one_terminal(links: DataFrame) -> None:

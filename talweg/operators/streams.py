@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions import geometry as G
-from talweg.operators.trees import first_stop, fold, upstream_sums
+from talweg.functions.ordering import numbered
+from talweg.operators.trees import Strahler, first_stop, fold, upstream_sums
 from talweg.sources.grid import Grid
 
 
-def strahler_step(orders: list[int]) -> int:
-    """Order of a cell from those of the cells that drain into it: the largest, or one more if it occurs twice."""
-    if not orders:
-        return 1
-    top = max(orders)
-    return top + (orders.count(top) > 1)
-
-
 def accumulation(receivers: DataFrame, grid: Grid, **kw) -> DataFrame:
     """(cell_id, down_id, acc): cells that drain through each cell, itself included."""
     return upstream_sums(receivers.select("cell_id", "down_id", F.lit(1).cast("long").alias("w")), grid, **kw).withColumnRenamed("total", "acc")
@@ -25,7 +18,7 @@ def accumulation(receivers: DataFrame, grid: Grid, **kw) -> DataFrame:
 
 def strahler(tree: DataFrame, grid: Grid, **kw) -> DataFrame:
     """(cell_id, strahler) of all cells of tree (cell_id, down_id, acc)."""
-    return fold(tree, grid, strahler_step, **kw).select("cell_id", F.col("value").cast("int").alias("strahler"))
+    return fold(tree, grid, Strahler, **kw).select("cell_id", F.col("value").cast("int").alias("strahler"))
 
 
 def displayed(tree: DataFrame, min_acc: int) -> DataFrame:
@@ -98,8 +91,7 @@ def reaches(paths: DataFrame, grid: Grid, recompute_order: bool = True) -> DataF
         F.first("strahler").alias("strahler"),
         F.round(F.sum(G.segment_length(grid, F.col("cell_id"), F.col("down_id"))), 2).alias("length_m"),
     )
-    number = F.row_number().over(Window.orderBy("strahler", "from_acc", "start_cell")).cast("long")
-    return made.select(number.alias("reach_id"), "start_cell", F.col("_end").alias("end_cell"), "cell_count", "from_acc", "to_acc", "strahler", "length_m")
+    return numbered(made, "reach_id", "strahler", "from_acc", "start_cell").select("reach_id", "start_cell", F.col("_end").alias("end_cell"), "cell_count", "from_acc", "to_acc", "strahler", "length_m")
 
 
 def reach_lines(paths: DataFrame, grid: Grid, reach_layer: DataFrame) -> DataFrame:

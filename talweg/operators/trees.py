@@ -125,8 +125,55 @@ def first_stop(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> Da
     return done.unionByName(rest).withColumnRenamed("node", "cell_id")
 
 
-def fold(tree: DataFrame, grid: Grid, step: Callable[[list[int]], int], band: int = BAND, tile_cells: int = TILE_CELLS) -> DataFrame:
-    """(cell_id, value): value = step(values of the cells that drain into it), for tree (cell_id, down_id, acc) in which acc rises downstream.
+class Strahler:
+    """The largest of the values given to a cell, or one more if it was given twice; 1 without any."""
+
+    def __init__(self, n: int):
+        self.top, self.times = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def give(self, at: np.ndarray, v: np.ndarray) -> None:
+        before = self.top[at]
+        np.maximum.at(self.top, at, v)
+        self.times[at[self.top[at] > before]] = 0
+        np.add.at(self.times, at, v == self.top[at])
+
+    def value(self, at: np.ndarray) -> np.ndarray:
+        return np.where(self.top[at] > 0, self.top[at] + (self.times[at] > 1), 1)
+
+
+class OpenCells:
+    """One more than the sum of the values given to a cell that are below ``least``."""
+
+    def __init__(self, n: int, least: int):
+        self.sum, self.least = np.zeros(n, np.int64), least
+
+    def give(self, at: np.ndarray, v: np.ndarray) -> None:
+        np.add.at(self.sum, at, np.where(v < self.least, v, 0))
+
+    def value(self, at: np.ndarray) -> np.ndarray:
+        return self.sum[at] + 1
+
+
+def fold_arrays(nxt: np.ndarray, state) -> np.ndarray:
+    """Values of all cells from the leaves on; nxt: each cell's place to drain to, or -1. All cells whose feeders are done are taken together."""
+    out, waiting = np.zeros(len(nxt), np.int64), np.bincount(nxt[nxt >= 0], minlength=len(nxt))
+    ready = np.flatnonzero(waiting == 0)
+    while len(ready):
+        out[ready] = state.value(ready)
+        on = ready[nxt[ready] >= 0]
+        to = nxt[on]
+        state.give(to, out[on])
+        np.subtract.at(waiting, to, 1)
+        to = np.unique(to)
+        ready = to[waiting[to] == 0]
+    return out
+
+
+def fold(tree: DataFrame, grid: Grid, start: Callable[[int], object], band: int = BAND, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """(cell_id, value): each cell's value from those of the cells that drain into it, for tree (cell_id, down_id, acc) in which acc rises downstream.
+
+    start(n) makes the state of n cells, such as Strahler or OpenCells: give() hands values
+    on to cells, value() tells those of cells that have been given all of theirs.
 
     Cells are dealt into bands by acc. A band's cells form small trees with roots of their
     own, which are folded side by side in tasks of many trees; what a band hands on are
@@ -142,14 +189,13 @@ def fold(tree: DataFrame, grid: Grid, step: Callable[[list[int]], int], band: in
     done: DataFrame | None = None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["acc", "cell_id"])
-        value, waiting = [], {c: list(v) if v is not None else [] for c, v in zip(pdf.cell_id, pdf.given)}
-        for c, d in zip(pdf.cell_id.tolist(), pdf.down_id.tolist()):
-            v = step(waiting[c])
-            value.append(v)
-            if d in waiting:
-                waiting[d].append(v)
-        return pd.DataFrame({"cell_id": pdf.cell_id, "down_id": pdf.down_id, "value": value})
+        pdf = pdf.sort_values("cell_id")
+        cell, down = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy()
+        state, given = start(len(cell)), pdf.given.to_numpy()
+        some = np.flatnonzero([g is not None for g in given])
+        if len(some):
+            state.give(np.repeat(some, [len(given[k]) for k in some]), np.concatenate([given[k] for k in some]))
+        return pd.DataFrame({"cell_id": cell, "down_id": down, "value": fold_arrays(_places(cell, down), state)})
 
     counts = {r.band: r.n for r in tree.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     bands = sorted(counts)

@@ -144,8 +144,7 @@ def model_outlet(s, d):
 def min_cells(s, d):
     """Least cells of each order's price read as an area."""
     t = terrain(s, d)
-    area = F.col("o_totalprice") - 1000.0
-    return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.greatest(F.lit(1), F.ceil(area / t.grid.cell_area)).cast("long").alias("min_cells"))
+    return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", t.grid.min_cells_of(F.col("o_totalprice") - 1000.0).alias("min_cells"))
 
 
 def greedy_outlets(s, d):

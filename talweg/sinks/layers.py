@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from talweg.operators.dissolve import dissolve, line_wkb, read_multipolygon, ring_area
-from talweg.sources.grid import Grid, TerrainError
+from talweg.sources.grid import Grid, TerrainError, TuflowError
 
 
 def write_parquet(layer: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -211,7 +211,7 @@ def write_tuflow(assigned: DataFrame, grid: Grid, folder: str, wkt: str = "", ov
     out = Path(folder)
     files = [out / f"{name}.shp" for name, _, _ in TUFLOW_LAYERS]
     if not overwrite and any(f.exists() for f in files):
-        raise TerrainError("the folder has these layers: pass overwrite")
+        raise TuflowError("the folder has these layers: pass overwrite")
     out.mkdir(parents=True, exist_ok=True)
     outline = read_multipolygon(bytes(whole.wkb))
     for file, (_, fields, values) in zip(files, TUFLOW_LAYERS):

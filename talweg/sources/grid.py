@@ -13,6 +13,38 @@ class TerrainError(Exception):
     """An input or a network that the engine cannot work on."""
 
 
+class BuildError(TerrainError):
+    """No drainage network can be built."""
+
+
+class Cancelled(TerrainError):
+    """The run was stopped."""
+
+
+class CatgError(TerrainError):
+    """A ``.catg`` file that cannot be read."""
+
+
+class ExportError(TerrainError):
+    """A file that cannot be written."""
+
+
+class RorbError(ExportError):
+    """A RORB export."""
+
+
+class WbnmError(ExportError):
+    """A WBNM export."""
+
+
+class RaftsError(ExportError):
+    """An XP-RAFTS export."""
+
+
+class TuflowError(ExportError):
+    """A TUFLOW export."""
+
+
 @dataclass(frozen=True)
 class Grid:
     """Header of a north-up grid, in the order of a geotransform."""
@@ -44,6 +76,28 @@ class Grid:
     def cell_area(self) -> float:
         return self.cell_width * self.cell_height
 
+    @property
+    def projected(self) -> bool | None:
+        """Whether the reference system is a projected one; None where its name does not tell."""
+        name = self.crs.strip().upper()
+        if name.startswith(("PROJCS", "PROJCRS")):
+            return True
+        if name.startswith(("GEOGCS", "GEOGCRS", "GEODCRS", "GEOCCS")):
+            return False
+        code = name.removeprefix("EPSG:")
+        if not name.startswith("EPSG:") or not code.isdigit():
+            return None
+        # blocks of the EPSG register that hold systems of one kind: fixed values
+        if any(a <= int(code) <= b for a, b in ((4001, 4329), (4600, 4646), (4657, 4824), (7843, 7844))):
+            return False
+        return True if any(a <= int(code) <= b for a, b in ((2000, 3999), (7845, 7859), (20000, 32766))) else None
+
+    def min_cells_of(self, area_m2: Column) -> Column:
+        """min_cells() of a column of areas."""
+        area = area_m2.try_cast("double")
+        whole = F.ceil(area / F.lit(self.cell_area)) if self.cell_area > 0 else F.lit(1)
+        return F.when((area > 0) & ~F.isnan(area), F.greatest(F.lit(1).cast("long"), whole)).otherwise(1).cast("long")
+
     def min_cells(self, area_m2) -> int:
         """Least number of cells of an area; 1 for what is no positive number."""
         try:

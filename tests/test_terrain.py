@@ -3,6 +3,7 @@ import random
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from talweg.engine import Terrain
 from talweg.operators import catchments, dissolve, masks, network, routing, streams, trees
 from talweg.sinks import layers, models
 from talweg.sources import catg
-from talweg.sources.grid import Grid, TerrainError, read_ascii_grid
+from talweg.sources.grid import Cancelled, Grid, RaftsError, RorbError, TerrainError, WbnmError, read_ascii_grid
 
 # A 7 x 7 surface with one pit; ids are 7 * row + column.
 ROWS7 = ["9999999", "9876789", "9765679", "9852589", "9754579", "9863689", "9991999"]
@@ -402,3 +403,95 @@ def test_stream_of_dems(spark, tmp_path):
     out = str(tmp_path / "out")
     flood_stream(read_cell_stream(spark, str(tmp_path / "in")), G7, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "cp")).awaitTermination(120)
     assert {r.cell_id: r.down_id for r in spark.read.parquet(f"{out}/0").collect()} == scalar.flood(Z7, 7, 7)[0]
+
+
+# --- folds, numbers, systems, exports and stops ------------------------------------
+
+
+def test_folds_on_arrays_follow_the_scalar_rule():
+    from talweg.operators import trees
+
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 50, 400):
+        nxt = np.array([rnd.integers(k + 1, min(n, k + 9)) if k + 1 < n and rnd.random() < 0.95 else -1 for k in range(n)])
+        given: dict[int, list[int]] = {k: [] for k in range(n)}
+        orders, opened = [], []
+        for k in range(n):
+            top = max(given[k], default=0)
+            orders.append(top + (given[k].count(top) > 1) if given[k] else 1)
+            if nxt[k] >= 0:
+                given[nxt[k]].append(orders[-1])
+        feeders: dict[int, list[int]] = {k: [] for k in range(n)}
+        for k in range(n):
+            opened.append(1 + sum(v for v in feeders[k] if v < 7))
+            if nxt[k] >= 0:
+                feeders[nxt[k]].append(opened[-1])
+        assert trees.fold_arrays(nxt, trees.Strahler(n)).tolist() == orders
+        assert trees.fold_arrays(nxt, trees.OpenCells(n, 7)).tolist() == opened
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    from talweg.functions.ordering import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 13).alias("a"), F.col("id").alias("b")).repartition(6)
+    got = [(r.a, r.b) for r in numbered(rows, "k", F.desc("a"), "b").orderBy("k").collect()]
+    assert got == sorted(((i * 7919 % 13, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert numbered(rows, "k", "b").agg(F.countDistinct("k"), F.min("k"), F.max("k")).first()[:] == (1000, 1, 1000)
+    assert numbered(rows.where("false"), "k", "b").count() == 0
+
+
+def test_least_cells_of_a_column(spark):
+    values = [None, -3.0, 0.0, 1.0, 100.0, 100.1, 250.0, float("nan"), 1e9]
+    g = Grid(5, 5)
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, a double").select("k", g.min_cells_of(F.col("a")).alias("n"))
+    assert {r.k: r.n for r in got.collect()} == {k: g.min_cells(v) for k, v in enumerate(values)}
+
+
+def test_reference_systems():
+    kind = lambda crs: Grid(2, 2, crs=crs).projected
+    assert kind("EPSG:28355") and kind("epsg:7855") and kind("EPSG:3857") and kind('PROJCS["x"]') and kind("EPSG:32633")
+    assert kind("EPSG:4326") is False and kind("EPSG:4283") is False and kind("EPSG:7844") is False and kind('GEOGCS["x"]') is False
+    assert kind("") is None and kind("local") is None and kind("EPSG:9001") is None
+
+
+def test_systems_and_areas_without_data(spark):
+    from talweg.operators import masks
+
+    z = [[1.0] * 6 for _ in range(5)]
+    z[1][1] = z[1][2] = z[3][4] = None
+    cells = spark.createDataFrame([(r * 6 + c, z[r][c]) for r in range(5) for c in range(6)], "cell_id long, z double")
+    g = Grid(5, 6, 0.0, 10.0, 0.0, 0.0, 0.0, -10.0, crs="EPSG:4326")
+    ring = [[(0.0, 0.0), (45.0, 0.0), (45.0, -45.0), (0.0, -45.0)]]
+    assert [c for c, _ in masks.validate(cells, g, ring)] == ["geographic_crs", "mask_nodata"]
+    with pytest.raises(TerrainError, match="EPSG:28355"):
+        masks.validate(cells, g, ring, mask_crs="EPSG:28355")
+    with pytest.raises(TerrainError):
+        Terrain(g, cells, mask=ring, mask_crs="EPSG:28355")
+    every, inside = masks.nodata_areas(cells, g).first(), masks.nodata_areas(cells, g, [[(0.0, 0.0), (38.0, 0.0), (38.0, -28.0), (0.0, -28.0)]]).first()
+    assert every.area == 300.0 and inside.area == 200.0 and "mask" in inside.warning and "mask" not in every.warning
+    assert masks.nodata_areas(cells.where("z is not null"), g).count() == 0
+
+
+def test_impervious_shares_and_overwriting(spark, tmp_path, seven, model):
+    outlets = sorted(r.outlet_id for r in model.select("outlet_id").distinct().collect())
+    shares = spark.createDataFrame([(outlets[0], "40"), (outlets[1], "n/a"), (9999, "1")], "outlet_id long, impervious string")
+    nodes, _ = models.rorb_network(model, seven.tree, G7, impervious=0.25, shares=shares)
+    assert sorted(n.impervious for n in nodes.values()) == [0.0, 0.25, 0.25, 0.4]  # the outlet node has none
+    path = str(tmp_path / "a")
+    for write, error in ((models.write_rorb, RorbError), (models.write_wbnm, WbnmError), (models.write_xprafts, RaftsError)):
+        out = write(model, seven.tree, G7, path)[0]
+        before = open(out).read()
+        with pytest.raises(error, match="overwrite"):
+            write(model, seven.tree, G7, path)
+        write(model, seven.tree, G7, path, overwrite=True)
+        assert open(out).read() == before
+
+
+def test_receivers_fall_back_and_steps_can_be_stopped(spark, seven):
+    seen = []
+    t = Terrain(G7, seven.all_cells, progress=seen.append)
+    assert {(r.cell_id, r.down_id) for r in t.tree.select("cell_id", "down_id").collect()} == {(r.cell_id, r.down_id) for r in seven.tree.select("cell_id", "down_id").collect()}
+    assert seen == ["cells", "receivers", "flood", "accumulation"]  # the surface has a pit
+    t.cancel()
+    with pytest.raises(Cancelled):
+        t.flow_paths(2)
