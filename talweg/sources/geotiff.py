@@ -1,8 +1,9 @@
 """Reader of GeoTIFF elevation tiles.
 
-A folder of tiles is read in parallel, a file to a task: Spark fetches the bytes from any
-store, and the first band's strips or blocks are decoded one after the other. North-up
-tiles, plain or deflated, with or without the horizontal predictor.
+Spark fetches the files' bytes from any store. A file's strips or blocks are cut out of it
+and dealt to all tasks, which unpack the first band. North-up tiles of TIFF and BigTIFF,
+plain, deflated, LZW or Zstandard, without a predictor or with the horizontal or the
+floating-point one. A file must fit a binary value, 2 GB.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,24 @@ _SAMPLES = {1: "u", 2: "i", 3: "f"}
 
 
 def tags(raw: bytes) -> tuple[str, dict[int, tuple | str]]:
-    """Byte order, and the tags of the first image."""
+    """Byte order, and the tags of the first image, of a TIFF or a BigTIFF."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(order + "H", raw, 2)[0] != 42:
+    magic = struct.unpack_from(order + "H", raw, 2)[0] if order and len(raw) >= 16 else 0
+    if magic not in (42, 43):
         raise TerrainError("not a TIFF file")
-    at = struct.unpack_from(order + "I", raw, 4)[0]
+    big = magic == 43
+    place, counted, head = ("Q", 8, "HHQ") if big else ("I", 2, "HHI")
+    room, entry = (8, 20) if big else (4, 12)
+    at = struct.unpack_from(order + place, raw, 8 if big else 4)[0]
     out: dict[int, tuple | str] = {}
-    for k in range(struct.unpack_from(order + "H", raw, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
+    for k in range(struct.unpack_from(order + ("Q" if big else "H"), raw, at)[0]):
+        here = at + counted + entry * k
+        tag, kind, count = struct.unpack_from(order + head, raw, here)
         if kind not in _TYPES:
             continue
         code, size = _TYPES[kind]
-        where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * k)[0]
+        inline = here + entry - room
+        where = inline if size * count <= room else struct.unpack_from(order + place, raw, inline)[0]
         if kind == 2:
             out[tag] = raw[where : where + count].split(b"\0")[0].decode("latin-1")
         else:
@@ -43,6 +51,14 @@ def tags(raw: bytes) -> tuple[str, dict[int, tuple | str]]:
     return order, out
 
 
+def system(t: dict[int, tuple | str]) -> str:
+    """``EPSG:n`` of the geo keys, or an empty string."""
+    keys = t.get(34735, ())
+    held = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    code = held.get(3072) or held.get(2048) or 0
+    return f"EPSG:{code}" if 0 < code < 32767 else ""
+
+
 def header(raw: bytes) -> Grid:
     """The tile's grid."""
     _, t = tags(raw)
@@ -59,56 +75,122 @@ def header(raw: bytes) -> Grid:
         nodata = float(t[42113]) if 42113 in t else None
     except ValueError:
         nodata = None
-    return Grid(height, width, x0, dx, rx, y0, ry, dy, nodata)
+    return Grid(height, width, x0, dx, rx, y0, ry, dy, nodata, system(t))
 
 
-def blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, first column, values) of each strip or block of the first band."""
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's variable-width codes: the widest bit first, 256 clears the table, 257 ends."""
+    table, width, last, out = [], 9, b"", []
+    held = n = 0
+    for byte in data:
+        held, n = (held << 8 | byte) & 0xFFFFFF, n + 8
+        if n < width:
+            continue
+        n -= width
+        code = held >> n & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + word[:1])
+        out.append(word)
+        last = word
+        if len(table) >= (1 << width) - 1 and width < 12:
+            width += 1
+    return b"".join(out)
+
+
+def unpack(data: bytes, compression: int) -> bytes:
+    if compression == 1:
+        return data
+    if compression in (8, 32946):
+        return zlib.decompress(data)
+    if compression == 5:
+        return unpack_lzw(data)
+    if compression == 50000:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    raise TerrainError(f"TIFF compression {compression} is not supported")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How the blocks of a file's first band are stored."""
+
+    kind: str
+    compression: int
+    predictor: int
+    mixed: int  # samples of a pixel that lie together
+    width: int  # of a block
+
+    def values(self, data: bytes, rows: int) -> np.ndarray:
+        kind, raw = np.dtype(self.kind), unpack(data, self.compression)
+        if self.predictor == 3:  # differences of bytes, which lie by significance within a row
+            planes = np.frombuffer(raw, np.uint8, rows * self.width * self.mixed * kind.itemsize).reshape(rows, -1, self.mixed)
+            planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, -1)
+            return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, self.width, self.mixed)[:, :, 0]
+        block = np.frombuffer(raw, kind, rows * self.width * self.mixed).reshape(rows, self.width, self.mixed)
+        return (np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if self.predictor == 2 else block)[:, :, 0]
+
+
+def blocks(raw: bytes) -> Iterator[tuple[int, int, int, int, Layout, bytes]]:
+    """(first row, first column, rows inside the grid, rows stored, layout, packed bytes) of each strip or block of the first band."""
     order, t = tags(raw)
     one = lambda tag, default: t.get(tag, (default,))[0]
     width, height, bands = t[256][0], t[257][0], one(277, 1)
-    kind = np.dtype(f"{order}{_SAMPLES[one(339, 1)]}{t[258][0] // 8}")
-    compression, predictor = one(259, 1), one(317, 1)
-    if compression not in (1, 8, 32946) or predictor not in (1, 2) or (bands > 1 and one(284, 1) == 1 and predictor == 2):
-        raise TerrainError(f"TIFF compression {compression} with predictor {predictor} is not supported")
+    if one(317, 1) not in (1, 2, 3):
+        raise TerrainError(f"TIFF predictor {one(317, 1)} is not supported")
     tiled = 322 in t
     bw, bh = (t[322][0], t[323][0]) if tiled else (width, min(one(278, height), height))
+    layout = Layout(f"{order}{_SAMPLES[one(339, 1)]}{t[258][0] // 8}", one(259, 1), one(317, 1), bands if one(284, 1) == 1 else 1, bw)
     offsets, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    mixed = bands if one(284, 1) == 1 else 1
     across = -(-width // bw)
     for k in range(across * -(-height // bh)):
-        data = raw[offsets[k] : offsets[k] + sizes[k]]
-        data = zlib.decompress(data) if compression != 1 else data
         r, c = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, height - r)
-        block = np.frombuffer(data, kind, rows * bw * mixed).reshape(rows, bw, mixed)[:, :, 0]
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        yield r, c, block[: height - r, : width - c].astype(np.float64)
+        inside = min(bh, height - r)
+        yield r, c, inside, bh if tiled else inside, layout, raw[offsets[k] : offsets[k] + sizes[k]]
 
 
 def read_geotiffs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """grids (dem_id and the header's fields) and cells (dem_id, cell_id, r, c, z) of a tile or a folder of tiles; dem_id is the file's path."""
+    """grids (dem_id and the header's fields) and cells (dem_id, cell_id, r, c, z) of a tile or a folder of tiles; dem_id is the file's path.
+
+    A file's packed blocks are cut out by one task and dealt to all, which unpack them.
+    """
     files = spark.read.format("binaryFile").load(clean_path(path)).select("path", "content")
-    fields = "rows long, cols long, x0 double, dx double, rx double, y0 double, ry double, dy double, nodata double"
-    names = [x.split()[0] for x in fields.split(", ")]
+    fields = "rows long, cols long, x0 double, dx double, rx double, y0 double, ry double, dy double, nodata double, crs string"
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names = [x.split() for x in fields.split(", ")]
+    packed = "dem_id string, cols long, r long, c long, inside long, stored long, kind string, compression int, predictor int, mixed int, width int, data binary"
 
     def heads(batches):
         for b in batches:
             for k in range(b.num_rows):
                 g = header(b.column(1)[k].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *(pa.array([getattr(g, n)], pa.int64() if n in ("rows", "cols") else pa.float64()) for n in names)], ["dem_id", *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *(pa.array([getattr(g, n)], kinds[t]) for n, t in names)], ["dem_id", *(n for n, _ in names)])
 
-    def cells(batches):
+    def cut_out(batches):
         for b in batches:
             for k in range(b.num_rows):
                 raw = b.column(1)[k].as_py()
                 cols = header(raw).cols
-                for r0, c0, block in blocks(raw):
-                    r, c = np.indices(block.shape).reshape(2, -1) + [[r0], [c0]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(r)), *(pa.array(x) for x in (r * cols + c, r, c, block.ravel()))], ["dem_id", "cell_id", "r", "c", "z"])
+                for r, c, inside, stored, x, data in blocks(raw):
+                    row = (b.column(0)[k].as_py(), cols, r, c, inside, stored, x.kind, x.compression, x.predictor, x.mixed, x.width, data)
+                    types = (pa.string(), *[pa.int64()] * 5, pa.string(), *[pa.int32()] * 4, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [f.split()[0] for f in packed.split(", ")])
+
+    def cells(batches):
+        for b in batches:
+            for dem, cols, r0, c0, inside, stored, *layout, data in zip(*(x.to_pylist() for x in b.columns)):
+                block = Layout(*layout).values(data, stored)[:inside, : cols - c0].astype(np.float64)
+                r, c = np.indices(block.shape).reshape(2, -1) + [[r0], [c0]]
+                yield pa.RecordBatch.from_arrays([pa.array([dem] * len(r)), *(pa.array(x) for x in (r * cols + c, r, c, block.ravel()))], ["dem_id", "cell_id", "r", "c", "z"])
 
-    return files.mapInArrow(heads, f"dem_id string, {fields}"), files.mapInArrow(cells, "dem_id string, cell_id long, r long, c long, z double")
+    parts = files.mapInArrow(cut_out, packed).repartition("dem_id", "r", "c")
+    return files.mapInArrow(heads, f"dem_id string, {fields}"), parts.mapInArrow(cells, "dem_id string, cell_id long, r long, c long, z double")
 
 
 def read_geotiff(spark: SparkSession, path: str) -> tuple[Grid, DataFrame]:
@@ -118,4 +200,4 @@ def read_geotiff(spark: SparkSession, path: str) -> tuple[Grid, DataFrame]:
     if len(head) != 1:
         raise TerrainError(f"{path} holds {'no' if not head else 'several'} tiles")
     r = head[0]
-    return Grid(r.rows, r.cols, r.x0, r.dx, r.rx, r.y0, r.ry, r.dy, r.nodata), cells.withColumn("z", F.col("z").cast("double")).drop("dem_id")
+    return Grid(r.rows, r.cols, r.x0, r.dx, r.rx, r.y0, r.ry, r.dy, r.nodata, r.crs), cells.withColumn("z", F.col("z").cast("double")).drop("dem_id")

@@ -342,12 +342,44 @@ def test_ascii_grid(spark, tmp_path):
     assert (g.min_cells(9), g.min_cells(0), g.min_cells(None)) == (3, 1, 1)
 
 
-def tiff(values, kind, deflate, tile=0, predictor=False):
-    """A small GeoTIFF: origin (100, 50), cells of 2 by 3, nodata -9999."""
+def lzw(data):
+    """TIFF's LZW, written from the codes' definition: a table of words by code, one code for the longest known word."""
+    bits, table, word = [], None, b""
+
+    def put(code, width):
+        bits.extend(int(x) for x in f"{code:0{width}b}")
+
+    put(256, 9)
+    table, width = {bytes([k]): k for k in range(256)}, 9
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word], width)
+        table[longer] = len(table) + 2
+        if len(table) + 2 > 4093:
+            put(256, width)
+            table, width = {bytes([k]): k for k in range(256)}, 9
+        elif len(table) + 2 >= 1 << width:
+            width += 1
+        word = data[k : k + 1]
+    if word:
+        put(table[word], width)
+        if len(table) + 3 >= 1 << width and width < 12:
+            width += 1
+    put(257, width)
+    bits += [0] * (-len(bits) % 8)
+    return bytes(int("".join(map(str, bits[k : k + 8])), 2) for k in range(0, len(bits), 8))
+
+
+def tiff(values, kind, packing=1, tile=0, predictor=1, big=False, bands=1):
+    """A small GeoTIFF: origin (100, 50), cells of 2 by 3, nodata -9999, EPSG:28355; further bands hold zeros."""
     import zlib
 
-    import numpy as np
+    import zstandard
 
+    pack = {1: bytes, 8: zlib.compress, 5: lzw, 50000: zstandard.ZstdCompressor().compress}[packing]
     v = np.asarray(values, dtype=kind)
     h, w = v.shape
     step = tile or 2
@@ -357,45 +389,76 @@ def tiff(values, kind, deflate, tile=0, predictor=False):
             b = v[r : r + step, c : c + (tile or w)]
             if tile:
                 b = np.pad(b, ((0, tile - b.shape[0]), (0, tile - b.shape[1])))
-            if predictor:
+            b = np.stack([b] + [np.zeros_like(b)] * (bands - 1), 2)
+            if predictor == 2:
                 b = np.concatenate([b[:, :1], np.diff(b, axis=1)], 1)
             raw = np.ascontiguousarray(b).tobytes()
-            parts.append(zlib.compress(raw) if deflate else raw)
-    offsets, data, at = [], b"", 8
-    for p in parts:
-        offsets.append(at + len(data))
-        data += p
+            if predictor == 3:
+                n = v.itemsize
+                planes = np.ascontiguousarray(b.astype(b.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(b), -1, n).transpose(0, 2, 1).reshape(len(b), -1, bands)
+                raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], 1).astype(np.uint8).tobytes()
+            parts.append(pack(raw))
+    head = 16 if big else 8
+    offsets, data = [], b""
+    for x in parts:
+        offsets.append(head + len(data))
+        data += x
     form = {"u": 1, "i": 2, "f": 3}[np.dtype(kind).kind]
-    entries = [(256, "I", [w]), (257, "I", [h]), (258, "H", [v.itemsize * 8]), (259, "H", [8 if deflate else 1]), (277, "H", [1]), (317, "H", [2 if predictor else 1]), (339, "H", [form]), (33550, "d", [2.0, 3.0, 0.0]), (33922, "d", [0.0, 0.0, 0.0, 100.0, 50.0, 0.0]), (42113, "s", b"-9999\0")]
-    entries += [(322, "I", [tile]), (323, "I", [tile]), (324, "I", offsets), (325, "I", [len(p) for p in parts])] if tile else [(273, "I", offsets), (278, "I", [step]), (279, "I", [len(p) for p in parts])]
+    entries = [(256, "I", [w]), (257, "I", [h]), (258, "H", [v.itemsize * 8] * bands), (259, "H", [packing]), (277, "H", [bands]), (317, "H", [predictor]), (339, "H", [form] * bands), (33550, "d", [2.0, 3.0, 0.0]), (33922, "d", [0.0, 0.0, 0.0, 100.0, 50.0, 0.0]), (42113, "s", b"-9999\0"), (34735, "H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 28355])]
+    place = "Q" if big else "I"
+    entries += [(322, "I", [tile]), (323, "I", [tile]), (324, place, offsets), (325, place, [len(x) for x in parts])] if tile else [(273, place, offsets), (278, "I", [step]), (279, place, [len(x) for x in parts])]
     entries.sort()
-    extra, at, out = b"", 8 + len(data), b""
-    base = at + 2 + 12 * len(entries) + 4
-    for tag, code, values in entries:
-        body = values if code == "s" else struct.pack("<" + code * len(values), *values)
-        kind_no = {"H": 3, "I": 4, "d": 12, "s": 2}[code]
-        out += struct.pack("<HHI", tag, kind_no, len(values))
-        if len(body) <= 4:
-            out += body.ljust(4, b"\0")
+    room, at = (8, 16 + len(data)) if big else (4, 8 + len(data))
+    extra, out, base = b"", b"", at + (8 + 20 * len(entries) + 8 if big else 2 + 12 * len(entries) + 4)
+    for tag, code, held in entries:
+        body = held if code == "s" else struct.pack("<" + code * len(held), *held)
+        out += struct.pack("<HH" + place, tag, {"H": 3, "I": 4, "d": 12, "s": 2, "Q": 16}[code], len(held))
+        if len(body) <= room:
+            out += body.ljust(room, b"\0")
         else:
-            out += struct.pack("<I", base + len(extra))
+            out += struct.pack("<" + place, base + len(extra))
             extra += body
+    if big:
+        return struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) + data + struct.pack("<Q", len(entries)) + out + b"\0" * 8 + extra
     return struct.pack("<2sHI", b"II", 42, at) + data + struct.pack("<H", len(entries)) + out + b"\0" * 4 + extra
 
 
-@pytest.mark.parametrize("kind,deflate,tile,predictor", [("<f4", False, 0, False), ("<i2", True, 0, True), ("<f8", True, 4, False), ("<u2", False, 4, True)])
-def test_geotiff(spark, tmp_path, kind, deflate, tile, predictor):
+@pytest.mark.parametrize("kind,packing,tile,predictor,big,bands", [("<f4", 1, 0, 1, False, 1), ("<i2", 8, 0, 2, False, 2), ("<f8", 8, 4, 1, True, 1), ("<f4", 5, 0, 3, False, 1), ("<f8", 50000, 4, 3, True, 2)])
+def test_geotiff(spark, tmp_path, kind, packing, tile, predictor, big, bands):
     from talweg.sources.geotiff import read_geotiff
 
     values = [[7 * r + c for c in range(7)] for r in range(5)]
-    (tmp_path / "a.tif").write_bytes(tiff(values, kind, deflate, tile, predictor))
+    (tmp_path / "a.tif").write_bytes(tiff(values, kind, packing, tile, predictor, big, bands))
     g, cells = read_geotiff(spark, str(tmp_path / "a.tif"))
-    assert (g.rows, g.cols, g.x0, g.dx, g.y0, g.dy, g.nodata) == (5, 7, 100.0, 2.0, 50.0, -3.0, -9999.0)
+    assert (g.rows, g.cols, g.x0, g.dx, g.y0, g.dy, g.nodata, g.crs) == (5, 7, 100.0, 2.0, 50.0, -3.0, -9999.0, "EPSG:28355")
     assert {r.cell_id: r.z for r in cells.collect()} == {i: float(i) for i in range(35)}
     with pytest.raises(Exception):
         read_geotiff(spark, str(tmp_path / "none.tif"))
 
 
+def test_lzw_codes_of_every_width():
+    from talweg.sources.geotiff import unpack_lzw
+
+    rnd = random.Random(5)
+    for data in (b"", b"a", b"aaaaaaa" * 40, bytes(rnd.randrange(256) for _ in range(30_000)), bytes(rnd.randrange(3) for _ in range(60_000))):
+        assert unpack_lzw(lzw(data)) == data
+
+
+@pytest.mark.parametrize("kind,packing,predictor", [("<f4", 5, 3), ("<f8", 50000, 3), (">i2", 8, 2), ("<u2", 5, 2), ("<f4", 8, 1)])
+@pytest.mark.parametrize("tile", [0, 4])
+def test_geotiff_layouts(kind, packing, predictor, tile):
+    from talweg.sources import geotiff
+
+    rnd = np.random.default_rng(6)
+    values = (rnd.normal(size=(9, 11)) * 300).astype(kind.replace(">", "<"))
+    raw = tiff(values, kind.replace(">", "<"), packing, tile, predictor, tile == 4, 1)
+    got = np.zeros((9, 11))
+    for r, c, inside, stored, layout, data in geotiff.blocks(raw):
+        block = layout.values(data, stored)[:inside, : 11 - c]
+        got[r : r + len(block), c : c + block.shape[1]] = block
+    assert np.array_equal(got, values.astype(float))
+
+
 def test_stream_of_dems(spark, tmp_path):
     from talweg.streaming import flood_stream, read_cell_stream
 
