@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -355,23 +356,21 @@ def _flat_spans(docs: DataFrame, window: int, run: int, index: FingerprintIndex
     return cut(got.select(F.col("doc").alias(key), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias(spans)))
 
 
-def _split(docs: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows without spans, rows to be joined with them): of docs, whose last column is key. Rows that a bit filter rules out are not shuffled."""
+def _picker(found: DataFrame, key: str) -> Callable[[bool], Callable]:
+    """Filters of batches whose last column is the document's key: pick(True) keeps those that may be in found, pick(False) the others. One bit filter tells; beyond its size all are kept by pick(True)."""
     n = found.count()
-    if n > MOST_FILTERED:
-        return docs.where("false"), docs
-    sent = docs.sparkSession.sparkContext.broadcast(BitFilter.build(found, key, n))
+    sent = found.sparkSession.sparkContext.broadcast(BitFilter.build(found, key, n) if n <= MOST_FILTERED else None)
 
     def pick(wanted: bool):
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    maybe = sent.value.might_contain(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                    maybe = np.ones(b.num_rows, bool) if sent.value is None else sent.value.might_contain(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
                     yield b.filter(pa.array(maybe == wanted))
 
-        return docs.mapInArrow(run, docs.schema)
+        return run
 
-    return pick(False), pick(True)
+    return pick
 
 
 def _digest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -408,8 +407,11 @@ def report(docs: DataFrame, window: int = WINDOW, run: int = RUN, index: Fingerp
     text = F.col("text").cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), document_key(F.col("doc_id"), text).alias("doc"))
     found = _flat_spans(docs, window, run, index, "doc", "spans")
-    clean, hit = _split(rows, found, "doc")
-    return clean.mapInArrow(digest, schema).unionByName(hit.join(found, "doc", "left").select("doc_id", "text", "doc", "spans").mapInArrow(digest, schema))
+    # rows that lose nothing are digested where they are read: only the others are shuffled
+    pick = _picker(found, "doc")
+    whole, hit = pick(False), rows.mapInArrow(pick(True), rows.schema)
+    cut_rows = hit.join(found, "doc", "left").select("doc_id", "text", "doc", "spans")
+    return rows.mapInArrow(lambda it: digest(whole(it)), schema).unionByName(cut_rows.mapInArrow(digest, schema))
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN, index: FingerprintIndex | None = None) -> DataFrame:
@@ -447,6 +449,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN, ind
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep))
 
     found = _flat_spans(docs, window, run, index, key, name)
-    untouched, hit = _split(docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), found, key)
+    rows, pick = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), _picker(found, key)
+    untouched, hit = (rows.mapInArrow(pick(x), rows.schema) for x in (False, True))
     cleaned = hit.join(found, key, "left").select(*docs.columns, name).mapInArrow(clean, schema)
     return untouched.select(*docs.columns).unionByName(cleaned)
