@@ -3,7 +3,9 @@
 Each task first joins its own links by union-find, which leaves one link for each node
 of a local tree. Then large-star and small-star rounds follow until nothing changes; each
 works on sums by node that Spark combines before it shuffles, so a node with very many
-links is no bottleneck. Between rounds the links are written to the shared folder.
+links is no bottleneck. Between rounds the links are written to the shared folder. Once no
+more than ``SMALL`` links are left, one task joins them by union-find, which is as much as
+any task takes at once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from talweg.llm._shared import cut, drop_cut
 from talweg.llm._text import longs
 
 
+SMALL = 500_000  # links that one task joins
+
+
 def union_find(a: list[int], b: list[int]) -> dict[int, int]:
     """Each node's least reachable one."""
     parent: dict[int, int] = {}
@@ -36,21 +41,34 @@ def union_find(a: list[int], b: list[int]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
-def _local(batches, piece: int = 1 << 19):
-    """Links of one task, replaced by (node, least node of its local tree)."""
+def _local(batches):
+    """Links of one task, replaced by (node, least node of its local tree); SMALL of them or so at a time."""
+    held, n = [], 0
+
+    def joined():
+        t = pa.Table.from_batches(held)
+        tree = union_find(t.column(0).to_pylist(), t.column(1).to_pylist())
+        pairs = [(u, v) for u, v in tree.items() if u != v]
+        return pa.RecordBatch.from_arrays([longs(np.array([p[k] for p in pairs], np.int64)) for k in range(2)], ["u", "v"])
+
     for b in batches:
-        for at in range(0, b.num_rows, piece):
-            part = b.slice(at, piece)
-            tree = union_find(part.column(0).to_pylist(), part.column(1).to_pylist())
-            pairs = [(u, v) for u, v in tree.items() if u != v]
-            yield pa.RecordBatch.from_arrays([longs(np.array([p[k] for p in pairs], np.int64)) for k in range(2)], ["u", "v"])
+        for at in range(0, b.num_rows, SMALL):
+            held.append(b.slice(at, SMALL))
+            n += held[-1].num_rows
+            if n > SMALL:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that links lead to, for every node of links (u, v)."""
     edges = cut(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").mapInArrow(_local, "u long, v long").distinct())
-    before = None
-    while True:
+    before, left = None, edges.count()
+    if left <= SMALL:
+        edges = cut(edges.coalesce(1).mapInArrow(_local, "u long, v long"))
+    while left > SMALL:
         # large star: every larger neighbour of u hangs on u's least neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -66,6 +84,8 @@ def components(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, left = state, state[0]
+        if left <= SMALL:
+            edges = cut(edges.coalesce(1).mapInArrow(_local, "u long, v long"))
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

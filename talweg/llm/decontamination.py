@@ -3,12 +3,16 @@
 The items' words build the automaton; every document's words then walk it, which tells
 the longest match that ends at each word. Matches of ``window`` words or more, and whole
 items that are shorter, are hits. Items go into blocks of a bounded number of words, each
-with its own automaton, so that what is broadcast stays small however large the test set:
-the documents are read once for each block. Blocks' hits are put together before anything
-is counted or cut.
+with its own automaton, so that what is built and broadcast stays small however large the
+test set: the documents are read once for each block, and its hits are written before the
+next one. Blocks' hits are put together before anything is counted or cut.
 
 Defined cases: null and empty texts have no words and are never hit; items without words
-are ignored; items without an item_id are not reported, but cut like others; every text is cut by its own hits, whatever rows share its doc_id; an item_id on several rows has all their windows.
+are ignored; items without an item_id are not reported, but cut like others; every text is
+judged and cut by its own hits, whatever rows share its doc_id; an item_id on several rows
+has all their windows; without items nothing is hit; an empty table gives no rows; other
+columns are ignored by the report and pass through the cut, whatever their names; a very
+long text is walked whole, and a task holds its words.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.llm._shared import cut, free_name
 from talweg.llm._text import ALNUM, Chunk, chunks, longs
 
 BLOCK_WORDS = 200_000
@@ -150,14 +155,19 @@ def _segments(items: DataFrame, window: int, id_col: str, text: str) -> DataFram
     return items.select(F.col(id_col).cast("long").alias("item"), F.col(text).cast("binary").alias("text")).where("item is not null").mapInArrow(split, "item long, words binary, n long")
 
 
-def automata(items: DataFrame, window: int, id_col: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS):
-    """The blocks' automata, one after the other; each block has about block_words words at most."""
+def _blocks(items: DataFrame, window: int, id_col: str = "item_id", text: str = "text", block_words: int | None = None) -> list[DataFrame]:
+    """The items' segments in blocks of about block_words words at most, dealt by a hash."""
+    block_words = block_words or BLOCK_WORDS
     segments = _segments(items, window, id_col, text).dropDuplicates(["item", "words"])
     total = segments.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total * 2 // block_words) if total > block_words else 1
-    for b in range(blocks):
-        part = segments.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else segments
-        yield Automaton([(r.item, bytes(r.words).split(b" ")) for r in part.toLocalIterator()], window)
+    if total <= block_words:
+        return [segments]
+    segments, n = cut(segments), -(-total * 2 // block_words)
+    return [segments.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) for b in range(n)]
+
+
+def _automaton(block: DataFrame, window: int) -> Automaton:
+    return Automaton([(r.item, bytes(r.words).split(b" ")) for r in block.toLocalIterator()], window)
 
 
 def _scan(c: Chunk, auto: Automaton):
@@ -169,34 +179,56 @@ def _scan(c: Chunk, auto: Automaton):
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document row: doc_id, n_words, spans (flat first and end words of the hit spans), items (sorted ids as strings), n_hit."""
-    spark = docs.sparkSession
-    schema = f"{id_col} long, row_hash binary, n_words long, spans array<long>, items array<long>"
+    """One row for each document row: its id, n_words, spans (flat first and end words of the hit spans) and items (sorted ids)."""
+    schema = f"{id_col} long, n_words long, spans array<long>, items array<long>"
+    names = [id_col, "n_words", "spans", "items"]
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("binary").alias("text"))
-    parts = []
-    for auto in automata(items, window):
-        sent = spark.sparkContext.broadcast(auto)
+    blocks = _blocks(items, window)
+    only = docs.sparkSession.sparkContext.broadcast(_automaton(blocks[0], window)) if len(blocks) == 1 else None
+    if only is None:
+        key = F.sha2("text", 256)
+        hits = _hits_by_text(source.select(key.alias("_key"), "text"), blocks, window)
+        source = source.withColumn("_key", key).join(hits, "_key", "left").select(id_col, "text", "_spans", "_items")
+
+    def scan(batches):
+        for c, rows in chunks(batches, ALNUM, lower=True):
+            if only is None:
+                spans, found = rows.column(2), rows.column(3)
+            else:
+                spans, found = [None] * c.n, [None] * c.n
+                for d, s, f in _scan(c, only.value):
+                    spans[d], found[d] = [x for pair in s for x in pair], sorted(f)
+                spans, found = (pa.array(x, pa.list_(pa.int64())) for x in (spans, found))
+            yield pa.RecordBatch.from_arrays([rows.column(0), longs(c.n_words), spans, found], names)
+
+    return source.mapInArrow(scan, schema)
+
+
+def _hits_by_text(texts: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """(_key, _spans, _items): the hit spans, flat, and the items of all blocks in each text that any of them hits; rows of one key have one text.
+
+    One block after the other is built, sent, walked by all texts and given up again, so that
+    neither driver nor executors hold more than one automaton; its hits are written.
+    """
+    sc, parts = texts.sparkSession.sparkContext, []
+    for k, block in enumerate(blocks):
+        sent = sc.broadcast(_automaton(block, window))
 
         def scan(batches, sent=sent):
             for c, rows in chunks(batches, ALNUM, lower=True):
-                spans, found, keys = [None] * c.n, [None] * c.n, [None] * c.n
-                for d, s, f in _scan(c, sent.value):
-                    spans[d], found[d] = [x for pair in s for x in pair], sorted(f)
-                if several:
-                    keys = [hashlib.md5(c.text(d)).digest() for d in range(c.n)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), longs(c.n_words), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], [id_col, "row_hash", "n_words", "spans", "items"])
-
-        parts.append(scan)
-    several = len(parts) > 1
-    out = source.mapInArrow(parts[0], schema)
-    if several:
-        for scan in parts[1:]:
-            out = out.unionByName(source.mapInArrow(scan, schema))
-        # repeated rows (same id and text) were hit alike in every block: count them
-        out = out.groupBy(id_col, "row_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count(F.lit(1)).alias("seen"))
-        out = out.withColumn("again", F.explode(F.sequence(F.lit(1), (F.col("seen") / len(parts)).cast("int"))))
-        out = out.select(id_col, "n_words", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), F.when(F.size("items") > 0, F.col("items")).alias("items"))
-    return out.drop("row_hash")
+                hit = [(d, [x for pair in spans for x in pair], sorted(items)) for d, spans, items in _scan(c, sent.value)]
+                types = (pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([x[0] for x in hit], pa.int64())), *(pa.array([x[j] for x in hit], t) for j, t in enumerate(types, 1))], ["_key", "_spans", "_items"])
+
+        found = texts.mapInArrow(scan, "_key string, _spans array<long>, _items array<long>")
+        parts.append(cut(found.withColumn("block", F.lit(k))))
+        sent.destroy()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    # equal texts have equal hits in a block: one of each is enough
+    each = found.groupBy("_key", "block").agg(F.first("_spans").alias("_spans"), F.first("_items").alias("_items"))
+    return each.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
 
 
 def _joined(flat: list[int] | None) -> list[tuple[int, int]]:
@@ -232,16 +264,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     judged and cut, so the number of blocks makes no difference.
     Clean rows stay as they are, in all columns; n_chars, where there is one, follows the text.
     """
-    spark = docs.sparkSession
     at = docs.columns.index(text)
     fix = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")  # which item hits is not asked
-    autos = [spark.sparkContext.broadcast(auto) for auto in automata(items, window)]
-    only = autos[0] if len(autos) == 1 else None
+    blocks = _blocks(items, window)
+    only = docs.sparkSession.sparkContext.broadcast(_automaton(blocks[0], window)) if len(blocks) == 1 else None
     source, schema, names = docs, docs.schema, docs.columns
     if only is None:
-        key = F.sha2(F.col(text).cast("binary"), 256)
-        source = docs.withColumn("_key", key).join(_spans_by_text(docs.select(key.alias("_key"), F.col(text).cast("binary").alias(text)), autos, text), "_key", "left").select(*names, "_spans")
+        key, by, spans = F.sha2(F.col(text).cast("binary"), 256), free_name("_key", names), free_name("_spans", names)
+        hits = _hits_by_text(docs.select(key.alias("_key"), F.col(text).cast("binary").alias("text")), blocks, window)
+        source = docs.withColumn(by, key).join(hits.select(F.col("_key").alias(by), F.col("_spans").alias(spans)), by, "left").select(*names, spans)
 
     def clean(batches):
         for b in batches:
@@ -271,25 +303,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     return source.mapInArrow(clean, schema)
 
 
-def _spans_by_text(texts: DataFrame, autos: list, text: str) -> DataFrame:
-    """(_key, _spans): the hit spans of all blocks in each text that any of them hits, flat; rows of one key have one text."""
-    parts = []
-    for sent in autos:
-
-        def scan(batches, sent=sent):
-            for c, rows in chunks(batches, ALNUM, lower=True, text=text):
-                hit = [(d, [x for pair in spans for x in pair]) for d, spans, _ in _scan(c, sent.value)]
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([d for d, _ in hit], pa.int64())), pa.array([x for _, x in hit], pa.list_(pa.int64()))], ["_key", "_spans"])
-
-        parts.append(texts.mapInArrow(scan, "_key string, _spans array<long>"))
-    # equal texts have equal spans in a block: one of each is enough
-    found = parts[0].withColumn("block", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        found = found.unionByName(part.withColumn("block", F.lit(k)))
-    each = found.groupBy("_key", "block").agg(F.first("_spans").alias("_spans"))
-    return each.groupBy("_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
-
-
 def _unchanged(c: Chunk, new: list) -> list[bool]:
     return [t is None or len(t) == c.off[d + 1] - c.off[d] for d, t in enumerate(new)]
 

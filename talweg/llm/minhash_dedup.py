@@ -22,7 +22,8 @@ With bands of ``rows`` places, a pair of similarity s shares no bucket with prob
 Defined cases: null texts and texts without words have an empty set, are linked with
 nothing and kept; fewer words than a shingle make one shingle; rows that share a doc_id
 are one node, compared by the least of their sets; a row without doc_id is linked with nothing, kept, and has no component;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; other columns pass through, whatever their names; a very long
+text is one piece of its task, and its set is signed in parts.
 """
 
 from __future__ import annotations
@@ -46,8 +47,21 @@ def _draw(h: np.ndarray, j: int) -> np.ndarray:
     return mix(h + U((j + 1) * _GOLD % (1 << 64)))
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, docs: int, places: int = PLACES) -> np.ndarray:
-    """SuperMinHash signatures of ``docs`` sets; h: the sets' distinct hashes, doc: whose they are. Sets without elements keep the largest value everywhere."""
+def signatures(h: np.ndarray, doc: np.ndarray, docs: int, places: int = PLACES, most: int = 1 << 19) -> np.ndarray:
+    """SuperMinHash signatures of ``docs`` sets; h: the sets' distinct hashes, doc: whose they are, in order. Sets without elements keep the largest value everywhere.
+
+    Every element's permutation is its own, so a signature is the least of those of parts
+    of a set: ``most`` elements at a time bound the memory, however large a set is.
+    """
+    out = np.full((docs, places), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), most):
+        part = doc[a : a + most]
+        first, last = int(part[0]), int(part[-1]) + 1
+        out[first:last] = np.minimum(out[first:last], _signatures(h[a : a + most], part - first, last - first, places))
+    return out
+
+
+def _signatures(h: np.ndarray, doc: np.ndarray, docs: int, places: int) -> np.ndarray:
     sig = np.full(docs * places, np.iinfo(np.uint64).max, np.uint64)
     perm = swapped = None
     for j in range(places):

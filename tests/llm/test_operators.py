@@ -77,6 +77,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    """Star rounds alone, and rounds that end in one task, give what union-find gives."""
+    rnd = random.Random(3)
+    links = [(k, k + 1) for k in range(0, 20)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(80)]
+    want = components.union_find([a for a, _ in links], [b for _, b in links])
+    df = spark.createDataFrame(links, "u long, v long").repartition(3)
+    for small in (0, 60):
+        monkeypatch.setattr(components, "SMALL", small)
+        got = {r.node: r.component for r in components.components(df).collect()}
+        assert got == {n: r for n, r in want.items() if n in got} and {n for n in want if want[n] != n} <= set(got)
+
+
 # --- 1 ----------------------------------------------------------------------------
 
 
@@ -127,7 +139,7 @@ def items(corpus):
 
 @pytest.mark.parametrize("block", [200_000, 40])
 def test_decontamination_report(spark, corpus, items, block, monkeypatch):
-    monkeypatch.setattr(decontamination.automata, "__defaults__", ("item_id", "text", block))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.report(frame(spark, corpus), bench).collect()}
     want = brute.contaminated(corpus, items)
@@ -161,7 +173,7 @@ def test_decontaminate_cuts_and_drops(spark):
 @pytest.mark.parametrize("block", [200_000, 40, 15])
 def test_decontaminate_is_the_same_by_blocks(spark, block, monkeypatch):
     """Coverage is judged once for all blocks, overlapping items are cut whole, and no passage arises by cutting."""
-    monkeypatch.setattr(decontamination.automata, "__defaults__", ("item_id", "text", block))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     run = lambda k, n: [f"w{i}" for i in range(k, k + n)]
     rare = lambda k, n: [f"x{i}" for i in range(k, k + n)]
     items = [run(k, 14) for k in range(0, 200, 7)] + [[*rare(5 * k, 5), *rare(1000 + 5 * k, 5)] for k in range(12)]
@@ -198,6 +210,9 @@ def test_superminhash_estimates_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.05
     one = minhash_dedup.signatures(h[:5], np.zeros(5, int), 1, 16)
     assert len(set(one[0].tolist())) == 16  # five elements fill sixteen places, each step once
+    doc = np.sort(np.random.default_rng(0).integers(0, 6, 3000))
+    whole = minhash_dedup.signatures(h, doc, 7)
+    assert all(np.array_equal(whole, minhash_dedup.signatures(h, doc, 7, most=n)) for n in (1, 100, 700, 2999))
 
 
 @pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80), (1, 60)])
