@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What cut() writes inside is deleted at the end, but for the tables that are put into the list."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_talweg_path", None) for df in kept}
+        for df in _open.pop():
+            if df._talweg_path in stay:
+                if _open:
+                    _open[-1].append(df)
+            else:
+                drop_cut(df)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +58,8 @@ def cut(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._talweg_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 

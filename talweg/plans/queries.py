@@ -30,6 +30,14 @@ def terrain(spark: SparkSession, sf_dir: str, name: str = "branching") -> Terrai
     return _made[key]
 
 
+def forget(*keep: str) -> None:
+    """Drops what the session's terrains have written, but for the steps named in keep: for timing a query by itself."""
+    for t in _made.values():
+        for name in [n for n in t.__dict__ if n.startswith("_") or n in ("cells", "receivers", "flood", "tree", "cell_strahler")]:
+            if name not in keep:
+                del t.__dict__[name]
+
+
 def _once(t: Terrain, name: str, make) -> DataFrame:
     if name not in t.__dict__:
         t.__dict__[name] = cut(make())

@@ -29,3 +29,19 @@ def test_query_equals_its_sql(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_scratch_tables_are_deleted_but_for_those_kept(spark):
+    import os
+
+    from talweg.functions.lineage import cut, scratch
+
+    where = lambda df: df._talweg_path.removeprefix("file://")
+    with scratch() as kept:
+        one, two = cut(spark.range(3)), cut(spark.range(4))
+        with scratch() as inner:
+            three, four = cut(spark.range(5)), cut(spark.range(6))
+            inner.append(three)
+        assert os.path.exists(where(three)) and not os.path.exists(where(four))
+        kept.append(two)
+    assert [os.path.exists(where(x)) for x in (one, two, three)] == [False, True, False] and two.count() == 4
