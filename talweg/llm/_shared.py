@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions.lineage import cut, drop_cut
+from talweg.functions.lineage import cut, drop_cut, scratch
 from talweg.llm._text import U, mix
 
 _GOLD = U(0x9E3779B97F4A7C15)
@@ -80,4 +80,4 @@ class BitFilter:
         return cls(bits, pieces)
 
 
-__all__ = ["BitFilter", "cut", "drop_cut", "free_name"]
+__all__ = ["BitFilter", "cut", "drop_cut", "free_name", "scratch"]

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -67,6 +68,47 @@ def test_each_stage_on_its_own_input(spark, folder, tmp_path):
     assert all(not v[1] for v in brute.contaminated(list(after.items()), [(1, item)]).values())
     before, after, n = rows["source mixing"]
     assert set(after) <= set(before) and all(after[i] == before[i] for i in after)
+    # each source's words come near its level, and every copy is numbered
+    words = lambda t: len(brute.words(t))
+    source = {i: f"s{i % 4}" for i in kind}
+    size, taken, copies = {}, {}, {}
+    for i, t in before.items():
+        size[source[i]] = size.get(source[i], 0) + words(t)
+    for r in docs.collect():
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + words(r.text)
+        copies.setdefault(r.doc_id, []).append(r["copy"])
+    want = brute.level_targets(size)
+    assert all(abs(taken[s] - want[s]) < 0.2 * want[s] for s in want)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) and len(c) in (int(want[source[i]] / size[source[i]]), int(want[source[i]] / size[source[i]]) + 1) for i, c in copies.items())
+
+
+def test_stages_take_odd_rows(spark, folder):
+    """Null, empty and repeated rows, rows without an id, and columns whose names the stages use themselves."""
+    path, kind, item, _ = folder
+    plain = spark.read.parquet(f"{path}/documents.parquet")
+    good = plain.where("doc_id = 3").first().text
+    odd = [(None, None), (None, ""), (9000, None), (9001, " "), (None, good), (None, good), (9002, f"{good} one"), (9002, f"{good} one"), (None, item), (9003, "x" * 50000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in odd], schema)
+    names = ("copy", "key", "doc", "h", "_key", "_spans", "_doc_key", "_source", "component_id", "kept", "row")
+    docs = plain.unionByName(extra).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and rows, name
+        assert all(r[n] == k for r in rows for k, n in enumerate(names)), name
+        texts = [(r.doc_id, r.text) for r in rows if r.doc_id is None or r.doc_id >= 9000]
+        if name == "quality classifier":
+            assert not any(t is None or not t.split() for _, t in texts) and texts.count((None, good)) == 2
+        elif name == "MinHash near-dedup":
+            assert texts.count((None, good)) == 2 and (9002, odd[6][1]) not in texts and {(None, None), (None, ""), (9000, None), (9001, " ")} <= set(texts)
+        elif name == "substring dedup":
+            assert (None, good) not in texts and {(None, None), (9000, None), odd[9]} <= set(texts)
+        elif name == "benchmark decontamination":
+            assert (None, item) not in texts and texts.count((None, good)) == 2 and len(texts) == len(odd) - 1
+        else:
+            assert out.columns[-1] == "copy_" and all(r["copy_"] >= 1 for r in rows)
+        assert stage(spark, docs.where("false"), path).count() == 0, name
 
 
 def test_run_goes_through_all_stages(spark, folder):
