@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 U = np.uint64
 _B, _C1, _C2, _GOLD = U(0x5851F42D4C957F2D), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
 _INV_B = U(pow(int(_B), -1, 1 << 64))

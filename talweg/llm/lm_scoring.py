@@ -42,7 +42,7 @@ SAMPLE = 64  # one pair of so many tells how many there are
 MAX_WORDS = 8_000_000  # of a broadcast table of word counts, 16 bytes each
 PROBES, BITS = 4, 9  # bits for each distinct n-gram level
 PIECE_ENTRIES = 600_000  # of one piece of the filter, about: what a task sorts at once
-SCORED = 1 << 19  # bytes of text scored at once; the filters take the memory that larger pieces would need
+SCORED = 1 << 19  # bytes of text scored at once
 COUNTED = 1 << 20  # bytes of text whose pairs are counted at once
 END = U(0x1D8E4E27C47D124F)  # hash of the end of a document
 _GOLD, _WORD, _PAIR = 0x9E3779B97F4A7C15, U(0x2545F4914F6CDD1D), U(0x5851F42D4C957F2D)
