@@ -14,17 +14,17 @@ Point = tuple[float, float]
 
 
 def line_crossing(paths: DataFrame, grid: Grid, line: list[Point]) -> DataFrame:
-    """(cell_id, acc_cells) of flow segments that meet the line. The line's own pieces are few, so they are expressions, and the box test comes first."""
+    """(cell_id, acc_cells) of flow segments that meet the line. The line's pieces are one array, so the plan does not grow with them, and the box test comes first."""
     if len(line) < 2:
         raise TerrainError("an outlet line needs two points")
     cell, down = F.col("cell_id"), F.col("down_id")
     a, b = (G.centre_x(grid, cell), G.centre_y(grid, cell)), (G.centre_x(grid, down), G.centre_y(grid, down))
-    meets = F.lit(False)
-    for (x0, y0), (x1, y1) in zip(line, line[1:]):
-        meets = meets | G.segments_meet(a, b, (F.lit(float(x0)), F.lit(float(y0))), (F.lit(float(x1)), F.lit(float(y1))))
+    pieces = [tuple(map(float, (*p, *q))) for p, q in zip(line, line[1:])]
+    drawn = paths.sparkSession.createDataFrame([(pieces,)], "_line array<struct<x0:double,y0:double,x1:double,y1:double>>")
     xs, ys = [p[0] for p in line], [p[1] for p in line]
     near = (F.greatest(a[0], b[0]) >= min(xs)) & (F.least(a[0], b[0]) <= max(xs)) & (F.greatest(a[1], b[1]) >= min(ys)) & (F.least(a[1], b[1]) <= max(ys))
-    return paths.where(near).where(meets).select("cell_id", "acc_cells").dropDuplicates(["cell_id"])
+    meets = F.exists("_line", lambda s: G.segments_meet(a, b, (s["x0"], s["y0"]), (s["x1"], s["y1"])))
+    return paths.where(near).crossJoin(F.broadcast(drawn)).where(meets).select("cell_id", "acc_cells").dropDuplicates(["cell_id"])  # drawn: one row
 
 
 def crossing_order(crossed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,20 @@ def closed(ring: Ring) -> Ring:
     return ring if ring[0] == ring[-1] else [*ring, ring[0]]
 
 
-def _edges(ring: Ring) -> Column:
-    """The ring's edges as one array literal, so that the test of a cell does not grow with the drawing."""
-    pairs = list(zip(ring, ring[1:]))
-    return F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*p, *q)))) for p, q in pairs))
+def _edges_by_row(cells: DataFrame, grid: Grid, rings: list[Ring]) -> DataFrame:
+    """(_row, _rings): for each grid row, the edges of each polygon that reach its band. A drawing has few edges; rows get theirs in Spark."""
+    out = []
+    for k, ring in enumerate(map(closed, rings)):
+        for (xa, ya), (xb, yb) in zip(ring, ring[1:]):
+            low, high = sorted(((ya - grid.y0) / grid.dy, (yb - grid.y0) / grid.dy))
+            # a row more on both sides: an edge on the line between two rows touches both
+            first, last = max(0, math.floor(low) - 1), min(grid.rows - 1, math.floor(high) + 1)
+            if first <= last:
+                out.append((k, first, last, xa, ya, xb, yb))
+    spark = cells.sparkSession
+    edges = spark.createDataFrame(out, "k int, first long, last long, x0 double, y0 double, x1 double, y1 double")
+    each = edges.select("k", F.explode(F.sequence("first", "last")).alias("_row"), F.struct("x0", "y0", "x1", "y1").alias("e")).groupBy("_row", "k").agg(F.collect_list("e").alias("edges"))
+    return each.groupBy("_row").agg(F.collect_list("edges").alias("_rings"))
 
 
 def _inside(x: Column, y: Column, edges: Column) -> Column:
@@ -48,14 +60,12 @@ def _touches(box: tuple[Column, Column, Column, Column], edges: Column) -> Colum
     return F.exists(edges, meets)
 
 
-def in_mask(grid: Grid, rings: list[Ring], cell: Column | None = None) -> Column:
-    """Whether a cell is touched by any of the polygons. The rings are the user's drawing: a list of vertices in the driver program."""
-    cell = F.col("cell_id") if cell is None else cell
+def in_mask(cells: DataFrame, grid: Grid, rings: list[Ring]) -> DataFrame:
+    """The cells that any of the polygons touches. A cell is tested against the edges that reach its row, not against the whole drawing."""
+    cell = F.col("cell_id")
     box, x, y = G.cell_box(grid, cell), G.centre_x(grid, cell), G.centre_y(grid, cell)
-    out = F.lit(False)
-    for edges in map(_edges, map(closed, rings)):
-        out = out | _inside(x, y, edges) | _touches(box, edges)
-    return out
+    met = cells.withColumn("_row", G.row_of(grid, cell)).join(_edges_by_row(cells, grid, rings), "_row")
+    return met.where(F.exists("_rings", lambda edges: _inside(x, y, edges) | _touches(box, edges))).select(*cells.columns)
 
 
 def extent_misses(grid: Grid, rings: list[Ring]) -> bool:
@@ -67,7 +77,7 @@ def extent_misses(grid: Grid, rings: list[Ring]) -> bool:
 
 def mask_cells(cells: DataFrame, grid: Grid, rings: list[Ring]) -> DataFrame:
     """cells (a row for every cell of the grid) that the mask touches, with ``valid``."""
-    return cells.where(in_mask(grid, rings)).withColumn("valid", is_valid(F.col("z"), grid.nodata))
+    return in_mask(cells, grid, rings).withColumn("valid", is_valid(F.col("z"), grid.nodata))
 
 
 def mask_filter(cells: DataFrame, grid: Grid, rings: list[Ring]) -> DataFrame:
@@ -85,7 +95,7 @@ def mask_quality(cells: DataFrame, grid: Grid, rings: list[Ring] | None) -> Data
 
 def nodata_cells(cells: DataFrame, grid: Grid, rings: list[Ring] | None = None) -> DataFrame:
     """(cell_id) of invalid cells, in the mask if there is one."""
-    inside = cells if not rings else cells.where(in_mask(grid, rings))
+    inside = cells if not rings else in_mask(cells, grid, rings)
     return inside.where(~is_valid(F.col("z"), grid.nodata)).select("cell_id")
 
 
