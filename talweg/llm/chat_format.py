@@ -16,12 +16,14 @@ counts as rewritten; a task then holds one window of turns.
 
 Defined cases: a null text or role is an empty string; null conv_ids form one conversation;
 equal turn numbers are ordered by role, then text; repeated rows are turns of their own; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names; very long texts
+are rendered whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -87,36 +89,30 @@ class Incremental:
         self.turns: list[Turn] = []
         self.output, self.count = "", 0
 
-    def _after(self, before: list[Turn], turn: Turn) -> str | None:
-        """What the turn adds to the output of those before it; None if it changes that."""
-        old, new = self.render(before), self.render([*before, turn])
-        return new[len(old) :] if new.startswith(old) else None
-
     def add(self, turn: Turn) -> tuple[str, int, int, bool]:
-        """The turn's span of output, where its text starts and ends in it, and whether history was rewritten."""
+        """The turn's span of output, where its text starts and ends in it, and whether history was rewritten.
+
+        The span is what follows the earlier output, or, where that was rewritten, what follows the part of it that still stands.
+        """
         short = not self.local or self.count < self.whole
         before = self.turns if short else self.turns[-self.context :]
-        if short:
-            new = self.render([*before, turn])
-            delta = new[len(self.output) :] if new.startswith(self.output) else None
-            self.output = new
-        else:
-            self.output = ""
-            delta = self._after(before, turn)
-            if delta is not None and self._after(self.turns, turn) != delta:
-                delta = None
-        rewritten = delta is None
-        if delta is None:
-            delta = self.render([turn])
-            before = []
-        marked = self._after(before, (turn[0], MARK))
-        head, found, foot = (marked or "").partition(MARK)
-        a, b = (len(head), len(delta) - len(foot)) if found and delta.startswith(head) and delta.endswith(foot) and len(head) + len(foot) <= len(delta) else (0, len(delta))
+        old = self.output if short else self.render(before)
+        new = self.render([*before, turn])
+        rewritten = not new.startswith(old)
+        keep = len(os.path.commonprefix([old, new])) if rewritten else len(old)
+        span = new[keep:]
+        if not short and not rewritten:  # the same after twice as many turns
+            longer = self.render(self.turns)
+            rewritten = self.render([*self.turns, turn]) != longer + span
+        marked = self.render([*before, (turn[0], MARK)])
+        head, found, foot = (marked[keep:] if marked[:keep] == new[:keep] else "").partition(MARK)
+        a, b = (len(head), len(span) - len(foot)) if found and span.startswith(head) and span.endswith(foot) and len(head) + len(foot) <= len(span) else (0, len(span))
+        self.output = new if short else ""
         self.count += 1
         self.turns.append(turn)
         if self.local and self.count >= self.whole:
             del self.turns[: -2 * self.context]
-        return delta, a, b, rewritten
+        return span, a, b, rewritten
 
 
 def turn_spans(conversations: DataFrame, render: Callable[[list[Turn]], str] = inst_template, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:

@@ -312,6 +312,31 @@ def test_templates_are_judged_on_whole_prefixes_of_long_conversations(spark):
     assert [r.span[r.text_start : r.text_end] for r in rows[1:]] == [t for _, t in turns[1:]]
 
 
+@pytest.mark.parametrize("n", [40, 200])
+def test_templates_that_check_roles_or_forget(n):
+    """Spans of every prefix against rendering all prefixes, for templates that raise unless roles alternate, number turns, or forget old ones."""
+    turns = [(("user", "assistant")[k % 2], f"text {k} \\ </s>") for k in range(n)]
+
+    def strict(ts):
+        if any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(ts)):
+            raise ValueError("roles must alternate, the user first")
+        return "".join(f"<{r}>{t}</{r}>" for r, t in ts)
+
+    def forgets(ts):
+        strict(ts)
+        return "".join(f"[{k}:{t}]" for k, (_, t) in list(enumerate(ts))[-20:])
+
+    for render, rewrites in ((strict, lambda k: False), (forgets, lambda k: k >= 20)):
+        state, out = chat_format.Incremental(render), ""
+        for k, turn in enumerate(turns):
+            span, a, b, rewritten = state.add(turn)
+            whole = render(turns[: k + 1])
+            assert rewritten == rewrites(k) == (not whole.startswith(out)) and whole.endswith(span)
+            if not rewritten:
+                assert out + span == whole and span[a:b] == turn[1]
+            out = whole
+
+
 # --- 5 ----------------------------------------------------------------------------
 
 
@@ -628,6 +653,23 @@ def test_remove_duplicates(spark):
 # --- 10 ---------------------------------------------------------------------------
 
 
+def test_flat_trees_are_those_of_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=600) > 0.3).astype(float)
+    t = quality_rules.fit(x, y, [1, 0, 0], trees=12)
+
+    def walk(row):
+        total = t.base
+        for at in t.roots:
+            while t.left[at] != at:
+                at = t.left[at] if row[t.feature[at]] <= t.threshold[at] else t.right[at]
+            total += t.value[at]
+        return total
+
+    assert np.allclose(t.score(x), [walk(r) for r in x]) and np.mean((t.score(x) > 0) == (y > 0)) > 0.85
+
+
 def test_quality_classifier(spark):
     docs, labels, truth = junk_corpus(900)
     docs = docs + [(5000, None), (5001, " "), (None, next(t for i, t in docs if truth[i] == (1, 0)))]
