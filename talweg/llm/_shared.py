@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,4 +82,27 @@ class BitFilter:
         return cls(bits, pieces)
 
 
-__all__ = ["BitFilter", "cut", "drop_cut", "free_name", "scratch"]
+MOST_FILTERED = 20_000_000  # entries of a bit filter of rows
+
+
+def picker(found: DataFrame, key: str) -> Callable[[bool], Callable]:
+    """Filters of batches whose last column is a row's key (long): pick(True) keeps those that may be in found, pick(False) the others.
+
+    One bit filter of a bounded size tells; with more than MOST_FILTERED entries all are kept by pick(True).
+    """
+    n = found.count()
+    sent = found.sparkSession.sparkContext.broadcast(BitFilter.build(found, key, n) if n <= MOST_FILTERED else None)
+
+    def pick(wanted: bool):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    maybe = np.ones(b.num_rows, bool) if sent.value is None else sent.value.might_contain(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                    yield b.filter(pa.array(maybe == wanted))
+
+        return run
+
+    return pick
+
+
+__all__ = ["BitFilter", "cut", "drop_cut", "free_name", "picker", "scratch"]

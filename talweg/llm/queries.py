@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import chat_format, decontamination, lm_scoring, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from talweg.llm import chat_format, decontamination, embedding_whitening, line_dedup, lm_scoring, merkle_manifest, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +79,9 @@ QUERIES = {
         op8_quality_rules,
         op9_substring_dedup,
         op10_quality_classifier,
+        op11_line_dedup,
+        op12_merkle_manifest,
+        op13_embedding_whitening,
     )
 }
-ORACLES = {"op6_url_filters": url_filters.ORACLE, "op7_source_mixing": source_mixing.ORACLE}
+ORACLES = {"op6_url_filters": url_filters.ORACLE, "op7_source_mixing": source_mixing.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE}
