@@ -123,3 +123,59 @@ def level_targets(sizes, weights=(5, 2, 1), most=3):
             open_.discard(s)
         if not open_:
             return target
+
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def line_dedup(docs, length=40, least=5):
+    """doc rows (id, text) -> rows (id, lines, dropped, kept text); rows without id are documents of their own by text, before all ids"""
+    name = lambda i, t: (1, i) if i is not None else (0, t or "")
+    key = lambda line: line.strip(WHITE).translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= length:
+                holders.setdefault(key(line), set()).add(name(i, t))
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        # which of several rows without id is the last is not stated; such cases are left to the caller
+        stay = [len(h := holders.get(key(x), ())) < least or name(i, t) == max(h) for x in lines]
+        out.append((i, len(lines), len(lines) - sum(stay), "\n".join(x for x, s in zip(lines, stay) if s)))
+    return out
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def manifest(rows):
+    """rows (doc_id, source, lang, n_chars, text) -> rows (doc_id, leaf, subroot, root, proof, folded, verified), in any order"""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = lambda t: None if t is None else t.translate({c: c + 32 for c in range(65, 91)})
+    leaf = lambda r, t: h(*map(field, (r[0], r[1], r[2], r[3], t)))
+    touched = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h(*levels[-1][k : k + 8]) for k in range(0, len(levels[-1]), 8)])
+        return levels
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    ordered = {g: sorted((r for r in rows if r[2] == g), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4]))) for g in langs}
+    trees = {g: tree([leaf(r, r[4]) for r in ordered[g]]) for g in langs}
+    top = tree([trees[g][-1][0] for g in langs])
+    out = []
+    for g in langs:
+        for p, r in enumerate(ordered[g]):
+            proof, now = "", leaf(r, low(r[4]) if touched(r) else r[4])
+            for levels, at in ((trees[g], p), (top, langs.index(g))):
+                for nodes in levels[:-1]:
+                    run, o = nodes[at // 8 * 8 : at // 8 * 8 + 8], at % 8
+                    proof += "".join(run[:o] + run[o + 1 :])
+                    now = h(*run[:o], now, *run[o + 1 :])
+                    at //= 8
+            out.append((r[0], trees[g][0][p], trees[g][-1][0], top[-1][0], h(proof), now, now == top[-1][0]))
+    return out
