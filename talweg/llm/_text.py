@@ -14,7 +14,6 @@ import pyarrow as pa
 CHUNK = 1 << 19
 U = np.uint64
 _B, _C1, _C2, _GOLD = U(0x5851F42D4C957F2D), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
-_INV_B = U(pow(int(_B), -1, 1 << 64))
 
 SPACE = np.ones(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = False  # True: byte of a word [^\x20\x09-\x0D]
@@ -34,23 +33,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_pow: dict[str, np.ndarray] = {"b": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
+PLACES = 32  # of bytes in a span, that are looked up
+_A, _D = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    if len(_pow[kind]) < n:
-        full = np.full(max(n, 1 << 16), _B if kind == "b" else _INV_B, np.uint64)
-        full[0] = 1
-        _pow[kind] = np.multiply.accumulate(full)
-    return _pow[kind][:n]
+def _placed(byte: np.ndarray, place: np.ndarray, family: int) -> np.ndarray:
+    """What a byte at a place of its span adds: each pair is mixed by itself, so no pattern of letters cancels out."""
+    return mix((byte.astype(np.uint64) + U(1 + 256 * family)) * _A + (place.astype(np.uint64) + U(1)) * _D)
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span, from one prefix sum."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers("b", len(values)), out=total[1:])
-    return mix((total[end] - total[start]) * _powers("i", len(values) + 1)[start] + (end - start).astype(np.uint64) * _GOLD)
+_TABLES = [_placed(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256), f) for f in (0, 1)]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes data[start:end] of each span; spans are in order and do not overlap. The two families are independent."""
+    size = end - start
+    off = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    place = np.arange(off[-1]) - np.repeat(off[:-1], size)
+    byte = data[place + np.repeat(start, size)]
+    far = np.flatnonzero(place >= PLACES)
+    value = _TABLES[family][(np.minimum(place, PLACES - 1) << 8) | byte]
+    if len(far):
+        value[far] = _placed(byte[far], place[far], family)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[off[1:]] - total[off[:-1]] + size.astype(np.uint64) * _GOLD)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _A + mix(right + _GOLD) * _B)
+
+
+def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k neighbouring values, put together from halves; none if there are fewer."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, part, width = None, 0, values, 1
+    while at < k:
+        if k & width:
+            here = part[at : at + n]
+            out = here.copy() if out is None else _joined(out, here)
+            at += width
+        if at < k:
+            part = _joined(part[:-width], part[width:])
+            width *= 2
+    return mix(out + U(k * int(_GOLD) % (1 << 64)))
 
 
 class Chunk:
@@ -76,7 +105,7 @@ class Chunk:
         else:
             self.ws = self.we = np.zeros(0, np.int64)
         self.wptr = np.searchsorted(self.ws, off)
-        self._wh = None
+        self._wh: dict[int, np.ndarray] = {}
 
     @property
     def n_words(self) -> np.ndarray:
@@ -88,18 +117,25 @@ class Chunk:
 
     @property
     def word_hash(self) -> np.ndarray:
-        if self._wh is None:
-            self._wh = span_hashes(_BYTE[self.data], self.ws, self.we)
-        return self._wh
+        return self.word_hashes(0)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of all runs of k words that lie in one document."""
+    def word_hashes(self, family: int) -> np.ndarray:
+        if family not in self._wh:
+            self._wh[family] = span_hashes(self.data, self.ws, self.we, family)
+        return self._wh[family]
+
+    def window_starts(self, k: int) -> np.ndarray:
+        """First words of all runs of k words that lie in one document."""
         n = len(self.ws)
         if n < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         at = np.arange(n - k + 1)
-        at = at[at + k <= self.wptr[1:][self.word_doc[: n - k + 1]]]
-        return at, span_hashes(self.word_hash, at, at + k)
+        return at[at + k <= self.wptr[1:][self.word_doc[: n - k + 1]]]
+
+    def windows(self, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of all runs of k words that lie in one document."""
+        at = self.window_starts(k)
+        return at, run_hashes(self.word_hashes(family), k)[at]
 
     def words(self, d: int) -> list[bytes]:
         span = slice(self.wptr[d], self.wptr[d + 1])

@@ -4,11 +4,13 @@ The items' words build the automaton; every document's words then walk it, which
 the longest match that ends at each word. Matches of ``window`` words or more, and whole
 items that are shorter, are hits. Items go into blocks of a bounded number of words, each
 with its own automaton, so that what is built and broadcast stays small however large the
-test set: the documents are read once for each block, and its hits are written before the
-next one. Blocks' hits are put together before anything is counted or cut.
+test set. With several blocks, one scan of the documents asks a bit filter of the items' window
+hashes; only documents that may hold a window are written, walk the automata block after
+block, and are joined with their hits, which are put together before anything is counted or
+cut. All other documents stay where they are.
 
 Defined cases: null and empty texts have no words and are never hit; items without words
-are ignored; items without an item_id are not reported, but cut like others; every text is
+are ignored; items without an item_id hit and cut like others, but are not among the items reported; every text is
 judged and cut by its own hits, whatever rows share its doc_id; an item_id on several rows
 has all their windows; without items nothing is hit; an empty table gives no rows; other
 columns are ignored by the report and pass through the cut, whatever their names; a very
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import cut, free_name
-from talweg.llm._text import ALNUM, Chunk, chunks, longs
+from talweg.llm._shared import BitFilter, cut, free_name
+from talweg.llm._text import ALNUM, Chunk, chunks, longs, run_hashes
 
 BLOCK_WORDS = 200_000
+NO_ITEM = -(1 << 63)  # stands for items without an item_id
 
 
 class Automaton:
@@ -152,7 +155,7 @@ def _segments(items: DataFrame, window: int, id_col: str, text: str) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["item", "words", "n"])
 
-    return items.select(F.col(id_col).cast("long").alias("item"), F.col(text).cast("binary").alias("text")).where("item is not null").mapInArrow(split, "item long, words binary, n long")
+    return items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ITEM)).alias("item"), F.col(text).cast("binary").alias("text")).mapInArrow(split, "item long, words binary, n long")
 
 
 def _blocks(items: DataFrame, window: int, id_col: str = "item_id", text: str = "text", block_words: int | None = None) -> list[DataFrame]:
@@ -178,6 +181,55 @@ def _scan(c: Chunk, auto: Automaton):
             yield d, spans, found
 
 
+def _window_hashes(c: Chunk, window: int, sizes: list[int]):
+    """(size, first words, hashes) of the chunk's runs of ``window`` words and of the other sizes."""
+    for k in sorted({window, *sizes}):
+        yield k, *c.windows(k)
+
+
+def _maybe_hit(segments: DataFrame, window: int):
+    """A test of chunks for documents that may hold a window of the segments: one bit filter of all windows' hashes, broadcast."""
+
+    def hashes(batches):
+        for c, _ in chunks(batches, ALNUM, text="words"):
+            short = np.flatnonzero(c.n_words < window).tolist()
+            whole = [run_hashes(c.word_hash[c.wptr[d] : c.wptr[d + 1]], int(c.n_words[d])) for d in short]
+            h = np.concatenate([c.windows(window)[1], *whole]) if short else c.windows(window)[1]
+            yield pa.RecordBatch.from_arrays([longs(h)], ["h"])
+
+    found = cut(segments.select("words").mapInArrow(hashes, "h long").distinct())
+    sizes = [r.n for r in segments.where(F.col("n") < window).select("n").distinct().collect()]
+    sent = segments.sparkSession.sparkContext.broadcast((BitFilter.build(found, "h", found.count()), sizes))
+
+    def test(c: Chunk) -> np.ndarray:
+        known, sizes = sent.value
+        out = np.zeros(c.n, bool)
+        for _, at, h in _window_hashes(c, window, sizes):
+            out[c.word_doc[at[known.might_contain(h)]]] = True
+        return out
+
+    return test
+
+
+def _candidates(rows: DataFrame, text: str, maybe) -> tuple[DataFrame, DataFrame]:
+    """rows that hold no window, and those that may."""
+
+    at = rows.columns.index(text)
+
+    def only(wanted: bool):
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                raw = b.set_column(at, pa.field(text, pa.binary()), b.column(at).cast(pa.binary()))
+                keep = np.concatenate([maybe(c) for c, _ in chunks([raw], ALNUM, lower=True, text=text)])
+                yield b.filter(pa.array(keep == wanted))
+
+        return run
+
+    return rows.mapInArrow(only(False), rows.schema), rows.mapInArrow(only(True), rows.schema)
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document row: its id, n_words, spans (flat first and end words of the hit spans) and items (sorted ids)."""
     schema = f"{id_col} long, n_words long, spans array<long>, items array<long>"
@@ -185,23 +237,33 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str =
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("binary").alias("text"))
     blocks = _blocks(items, window)
     only = docs.sparkSession.sparkContext.broadcast(_automaton(blocks[0], window)) if len(blocks) == 1 else None
-    if only is None:
-        key = F.sha2("text", 256)
-        hits = _hits_by_text(source.select(key.alias("_key"), "text"), blocks, window)
-        source = source.withColumn("_key", key).join(hits, "_key", "left").select(id_col, "text", "_spans", "_items")
+    lists = pa.list_(pa.int64())
 
     def scan(batches):
         for c, rows in chunks(batches, ALNUM, lower=True):
             if only is None:
-                spans, found = rows.column(2), rows.column(3)
+                spans, found = (rows.column(k) if rows.num_columns > 2 else pa.nulls(c.n, lists) for k in (2, 3))
             else:
                 spans, found = [None] * c.n, [None] * c.n
                 for d, s, f in _scan(c, only.value):
-                    spans[d], found[d] = [x for pair in s for x in pair], sorted(f)
-                spans, found = (pa.array(x, pa.list_(pa.int64())) for x in (spans, found))
+                    spans[d], found[d] = [x for pair in s for x in pair], sorted(f - {NO_ITEM})
+                spans, found = (pa.array(x, lists) for x in (spans, found))
             yield pa.RecordBatch.from_arrays([rows.column(0), longs(c.n_words), spans, found], names)
 
-    return source.mapInArrow(scan, schema)
+    if only is not None:
+        return source.mapInArrow(scan, schema)
+    clean, some = _candidates(source, "text", _maybe_hit(_all(blocks), window))
+    some = cut(some.withColumn("_key", F.sha2("text", 256)))
+    hits = _hits_by_text(some.select("_key", "text"), blocks, window)
+    some = some.join(hits, "_key", "left").select(id_col, "text", "_spans", "_items")
+    return clean.mapInArrow(scan, schema).unionByName(some.mapInArrow(scan, schema))
+
+
+def _all(blocks: list[DataFrame]) -> DataFrame:
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
 
 
 def _hits_by_text(texts: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
@@ -216,7 +278,7 @@ def _hits_by_text(texts: DataFrame, blocks: list[DataFrame], window: int) -> Dat
 
         def scan(batches, sent=sent):
             for c, rows in chunks(batches, ALNUM, lower=True):
-                hit = [(d, [x for pair in spans for x in pair], sorted(items)) for d, spans, items in _scan(c, sent.value)]
+                hit = [(d, [x for pair in spans for x in pair], sorted(items - {NO_ITEM})) for d, spans, items in _scan(c, sent.value)]
                 types = (pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([x[0] for x in hit], pa.int64())), *(pa.array([x[j] for x in hit], t) for j, t in enumerate(types, 1))], ["_key", "_spans", "_items"])
 
@@ -266,14 +328,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     """
     at = docs.columns.index(text)
     fix = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")  # which item hits is not asked
     blocks = _blocks(items, window)
     only = docs.sparkSession.sparkContext.broadcast(_automaton(blocks[0], window)) if len(blocks) == 1 else None
     source, schema, names = docs, docs.schema, docs.columns
     if only is None:
-        key, by, spans = F.sha2(F.col(text).cast("binary"), 256), free_name("_key", names), free_name("_spans", names)
-        hits = _hits_by_text(docs.select(key.alias("_key"), F.col(text).cast("binary").alias("text")), blocks, window)
-        source = docs.withColumn(by, key).join(hits.select(F.col("_key").alias(by), F.col("_spans").alias(spans)), by, "left").select(*names, spans)
+        by, spans = free_name("_key", names), free_name("_spans", names)
+        untouched, some = _candidates(docs, text, _maybe_hit(_all(blocks), window))
+        some = cut(some.withColumn(by, F.sha2(F.col(text).cast("binary"), 256)))
+        hits = _hits_by_text(some.select(F.col(by).alias("_key"), F.col(text).cast("binary").alias("text")), blocks, window)
+        source = some.join(hits.select(F.col("_key").alias(by), F.col("_spans").alias(spans)), by, "left").select(*names, spans)
 
     def clean(batches):
         for b in batches:
@@ -300,7 +363,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                     rows = rows.set_column(at, pa.field(text, pa.string()), rows.column(at).cast(pa.string()))
                 yield rows
 
-    return source.mapInArrow(clean, schema)
+    cleaned = source.mapInArrow(clean, schema)
+    return cleaned if only is not None else untouched.unionByName(cleaned)
 
 
 def _unchanged(c: Chunk, new: list) -> list[bool]:

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import BitFilter, cut, drop_cut
-from talweg.llm._text import SPACE, U, Chunk, chunks, lists, longs, mix, span_hashes
+from talweg.llm._shared import BitFilter, cut, drop_cut, free_name, picker
+from talweg.llm._text import SPACE, U, Chunk, chunks, lists, longs, mix, run_hashes
 from talweg.llm.components import components
 
 PLACES, BANDS = 100, 20
@@ -94,7 +94,7 @@ def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     at, h = c.windows(k)
     n = c.n_words
     first = np.searchsorted(at, c.wptr)
-    short = {d: span_hashes(c.word_hash, c.wptr[d : d + 1], c.wptr[d + 1 : d + 2]) for d in np.flatnonzero((n > 0) & (n < k)).tolist()}
+    short = {d: run_hashes(c.word_hash[c.wptr[d] : c.wptr[d + 1]], int(n[d])) for d in np.flatnonzero((n > 0) & (n < k)).tolist()}
     sets = [short[d] if d in short else np.unique(h[first[d] : first[d + 1]]) for d in range(c.n)]
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64)
 
@@ -262,6 +262,12 @@ def _repeats(sk: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the least doc_id."""
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each near-duplicate group, that of the least doc_id; only rows that may go are joined, the others stay where they are."""
+    gone = cut(near_duplicates(docs.select("doc_id", "text"), shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    key = free_name("_doc_key", docs.columns)
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    pick = picker(gone, "_gone")
+    stay, some = (rows.mapInArrow(pick(x), rows.schema).select(*docs.columns) for x in (False, True))
+    alone = some.where("doc_id is null")
+    some = some.where("doc_id is not null")
+    return stay.unionByName(alone).unionByName(some.join(gone, some["doc_id"].cast("long") == gone["_gone"], "left_anti"))

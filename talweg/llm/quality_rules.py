@@ -72,7 +72,7 @@ def statistics(c: Chunk) -> dict[str, np.ndarray]:
     first = np.searchsorted(c.ws, starts)
     full = (np.searchsorted(c.ws, ends) > first) & (ends > starts)
     starts, ends, line_doc = starts[full], ends[full], line_doc[full]
-    again, _ = _found_before(line_doc, span_hashes(data.astype(np.uint64) + U(1), starts, ends))
+    again, _ = _found_before(line_doc, span_hashes(data, starts, ends))
     out["n_dup_lines"] = np.bincount(line_doc[again], minlength=c.n)
     at, h = c.windows(3)
     _, twice = _found_before(doc[at], h)

@@ -52,9 +52,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", "weight", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
-    """floor(rate), and one more with probability of the fraction, decided by the id."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def drawn_by(doc_id: Column, text: Column) -> Column:
+    """What a row's draw is made from: its id, or its text where it has none, so that rows without ids do not share one draw."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary"))), F.lit(""))
+
+
+def copies(rate: Column, drawn: Column, seed: str = SEED) -> Column:
+    """floor(rate), and one more with probability of the fraction, decided by ``drawn``."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), drawn)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -84,20 +89,20 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     plan = _plan(docs.select("source", word_count(F.col("text")).alias("size")), weights, most)
     rate, times, copy = (free_name(x, docs.columns) for x in ("_mix_rate", "_mix_copies", "copy"))
     out = _with_rates(docs, plan, [F.col("doc_id"), F.length("text")], {"rate": rate})
-    out = out.withColumn(times, copies(F.col(rate), F.col("doc_id"), seed)).where(F.col(times) > 0)
+    out = out.withColumn(times, copies(F.col(rate), drawn_by(F.col("doc_id"), F.col("text")), seed)).where(F.col(times) > 0)
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns, copy)
 
 
 def report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target (of the source), taken (words that the mixture reads); texts are counted once."""
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), drawn_by(F.col("doc_id"), F.col("text")).alias("drawn")))
     m = _with_rates(sized, _plan(sized, weights, most), [F.col("doc_id"), F.col("size")], {k: k for k in ("source_size", "target", "rate")})
-    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"))
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("drawn"), seed)).alias("taken"))
 
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, 'text:' || md5(text), '') AS drawn FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight
@@ -114,7 +119,7 @@ WITH d AS (
   SELECT source, source_size, least(lim::DOUBLE, level * weight) AS target FROM c, l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)!r}::DOUBLE AS draw
+         ('0x' || substr(md5('{SEED}:' || d.drawn), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)!r}::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r

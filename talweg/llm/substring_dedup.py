@@ -4,8 +4,8 @@ The index holds the windows of all documents that were added to it, in sorted im
 runs, one for each batch. A window of ``window`` words has an anchor, the least hash of its
 short word runs: equal windows have equal anchors, and about six neighbouring windows share
 one, so a run has a row for each stretch of such windows: its anchor, its first place
-(doc, start), and 32 bits of each window's hash. Anchor and those bits are independent, 96
-bits together. A second sorted table of the run counts its anchors.
+(doc, start), and 48 bits of each window's hash. Anchors and those bits come from two
+independent hash families. A second sorted table of the run counts its anchors.
 
 A batch is tokenised once, into its run. Its counts are merge-joined with those of earlier
 runs, which tells the anchors that stand in more than one place by now. Only stretches
@@ -14,10 +14,19 @@ window by window is verified, and every window of the batch but the first of its
 duplicate. Documents of earlier batches are never read again. ``FAN_IN`` runs of one level
 are compacted into one of the next, of fewer and longer sorted files.
 
+Two windows count as equal if their anchors (64 bits) and their own 48 bits agree. Windows
+that differ but share an anchor share ten words, so the 48 bits tell them apart: among m
+different windows about one anchor the chance of any error is m * m / 2**49, for a million
+0.002. Windows that share no words must agree in all 112 bits.
+
+An index with a path outlives its session: a manifest beside the runs names them, and is
+swapped by one rename after each batch, so a batch is in the index whole or not at all.
+
 Few repeated anchors reach the tasks as a bit filter, whose false positives only cost
 comparisons; more than it has room for are joined. Each piece of a task drops its own
 later occurrences first, so a passage in very many documents gives a row for each piece,
-not for each document; stretches under very frequent anchors are dealt window by window.
+not for each document; stretches under very frequent anchors are dealt window by window,
+where the rows of a window come sorted and only its first is held.
 
 Order: batches in the order in which they are added, then doc_id, then start. A single call
 cuts its documents into batches by doc_id, so there the order is that of the ids.
@@ -32,8 +41,9 @@ the same result; an empty table gives no rows; other columns pass through, whate
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,18 +52,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import BitFilter, cut, drop_cut, free_name
-from talweg.llm._text import U, Chunk, chunks, longs, mix, span_hashes
+from talweg.llm._shared import MOST_FILTERED, BitFilter, cut, drop_cut, free_name, picker
+from talweg.llm._text import U, Chunk, chunks, longs, mix, run_hashes
 
 WINDOW, RUN = 20, 10  # words of a window, and of the word runs that anchors are chosen from
 BATCHES = 3  # of a single call
 FAN_IN = 2
 HOT = 256  # stretches from which an anchor's windows are dealt one by one
 NO_ID = 1 << 62  # documents without an id are numbered from here
-PIECE = 1_000_000  # windows verified at a time
-MOST_FILTERED = 20_000_000  # entries of a bit filter; more are joined
+PIECE = 300_000  # windows verified at a time
+MANIFEST = "manifest.json"
 LONG = 8 << 20  # bytes of a text from which it is cut
-TEXT = 1 << 20  # bytes of text whose windows are found at once
+TEXT = 1 << 19  # bytes of text whose windows are found at once
+BYTES = 6  # of a window's hash in a run
 RUN_SCHEMA = "h long, doc long, start long, n long, hashes binary"
 
 
@@ -65,11 +76,10 @@ def document_key(doc_id: Column, text: Column) -> Column:
 def _anchors(c: Chunk, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of the chunk's windows and their anchors."""
     run = min(run, window)
-    at, n = c.windows(window)[0], len(c.ws)
+    at = c.window_starts(window)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    pos = np.arange(n - run + 1)
-    low, have, want = span_hashes(c.word_hash, pos, pos + run), 1, window - run + 1
+    low, have, want = run_hashes(c.word_hash, run), 1, window - run + 1
     while have < want:  # least of ``have`` neighbours, doubled
         step = min(have, want - have)
         low = np.minimum(low[:-step], low[step:])
@@ -91,9 +101,10 @@ def _lengths(first: np.ndarray, end: int) -> np.ndarray:
 
 
 def _blobs(h: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Each stretch's window hashes as bytes."""
-    off = pa.py_buffer((np.append(first, len(h)) * 4).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, off, pa.py_buffer(np.ascontiguousarray(h))])
+    """BYTES bytes of each stretch's window hashes as bytes."""
+    off = pa.py_buffer((np.append(first, len(h)) * BYTES).astype(np.int32))
+    low = np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :BYTES])
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, off, pa.py_buffer(low)])
 
 
 _SPACE, _WORDS = re.compile(rb"[ \t-\r]"), {}
@@ -129,7 +140,7 @@ def _run_rows(c: Chunk, keys: np.ndarray, first_word: np.ndarray, window: int, r
     at, a = _anchors(c, window, run)
     if not len(at):
         return
-    h, doc = c.windows(window)[1], c.word_doc[at]
+    h, doc = c.windows(window, 1)[1], c.word_doc[at]
     start = at - c.wptr[doc] + first_word[doc]
     # windows in the order of (document, start); the first of each kind in the piece stays open
     rank = np.empty(c.n, np.int64)
@@ -150,7 +161,7 @@ def _run_rows(c: Chunk, keys: np.ndarray, first_word: np.ndarray, window: int, r
     i = np.flatnonzero(~later)
     if len(i):
         b = _stretches(at[i], doc[i], a[i])
-        yield pa.RecordBatch.from_arrays([longs(a[i[b]]), longs(keys[doc[i[b]]]), longs(start[i[b]]), longs(_lengths(b, len(i))), _blobs((h[i] >> U(32)).astype(np.uint32), b)], names)
+        yield pa.RecordBatch.from_arrays([longs(a[i[b]]), longs(keys[doc[i[b]]]), longs(start[i[b]]), longs(_lengths(b, len(i))), _blobs(h[i], b)], names)
 
 
 def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -183,19 +194,63 @@ def _together(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+COUNT_SCHEMA = "h long, n long"
+
+
 class FingerprintIndex:
-    """Runs in the shared folder, oldest first. add() gives what a batch repeats, of itself or of all that came before."""
+    """Runs, oldest first. add() gives what a batch repeats, of itself or of all that came before.
+
+    With a path (a folder that all executors share) the index stays there, and open() finds
+    it again in another session; one writer at a time. Without, it ends with the session.
+    """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, run: int = RUN, fan_in: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, run: int = RUN, fan_in: int | None = None, path: str | None = None):
         self.spark, self.window, self.run, self.fan_in = spark, window, run, fan_in or FAN_IN
+        self.path = path.rstrip("/") if path else None
         self.runs: list[Run] = []
         self.compactions = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "FingerprintIndex":
+        """The index that an earlier session left at the path."""
+        told = json.loads(spark.read.text(f"{path.rstrip('/')}/{MANIFEST}", wholetext=True).first()[0])
+        out = cls(spark, told["window"], told["run"], told["fan_in"], path)
+        out.runs = [Run(out._read(r["rows"], RUN_SCHEMA), out._read(r["counts"], COUNT_SCHEMA), r["level"]) for r in told["runs"]]
+        return out
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        df._talweg_path = f"{self.path}/{name}"
+        return df
+
+    def _keep(self, df: DataFrame, schema: str) -> DataFrame:
+        """df as a table of the index."""
+        if not self.path:
+            return cut(df)
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{name}")
+        return self._read(name, schema)
+
+    def _tell(self) -> None:
+        """Swaps the manifest for one that names the present runs."""
+        if not self.path:
+            return
+        name = lambda df: df._talweg_path.rpartition("/")[2]
+        told = {"window": self.window, "run": self.run, "fan_in": self.fan_in, "runs": [{"rows": name(r.rows), "counts": name(r.counts), "level": r.level} for r in self.runs]}
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        new, old = (hadoop.Path(f"{self.path}/{x}") for x in (f"{MANIFEST}-{uuid.uuid4().hex}", MANIFEST))
+        out = new.getFileSystem(conf).create(new)
+        out.write(json.dumps(told).encode())
+        out.close()
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(old.toUri(), conf).rename(new, old, how)
+
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc, a, b): word spans of docs (doc, text binary) that repeated windows cover, perhaps overlapping. The batch is in the index then."""
         self._compact()
-        rows = cut(stretches(docs, self.window, self.run))
-        counts = cut(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("h"))
+        rows = self._keep(stretches(docs, self.window, self.run), RUN_SCHEMA)
+        counts = self._keep(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("h"), COUNT_SCHEMA)
         if self.runs:
             before = _together([r.counts for r in self.runs]).groupBy("h").agg(F.sum("n").alias("before"))
             # the outer side is the batch: history is only looked up
@@ -206,6 +261,7 @@ class FingerprintIndex:
         spans = cut(self._spans(rows, repeated))
         drop_cut(repeated)
         self.runs.append(Run(rows, counts))
+        self._tell()
         return spans
 
     def _spans(self, rows: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -224,7 +280,7 @@ class FingerprintIndex:
         hot = BitFilter.build(crowded, "h", n_crowded, max_bytes=4 << 20)
         sent = self.spark.sparkContext.broadcast((many, hot))
         keyed = every.select("h", "age", "doc", "start", "n", "hashes").mapInArrow(lambda it: _keyed(it, *sent.value), "key long, age long, doc long, start long, n long, hashes binary")
-        found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _verified(it, window), "doc long, a long, b long")
+        found = keyed.repartition("key").sortWithinPartitions("key", "age", "doc", "start").mapInArrow(lambda it: _verified(it, window), "doc long, a long, b long")
         own = rows.where("h is null").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + window).alias("b"))
         return found.unionByName(own)
 
@@ -233,9 +289,10 @@ class FingerprintIndex:
         while len(last := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fan_in:
             # one scan of all their files, which Spark deals to tasks by size: nothing is shuffled
             rows = self.spark.read.schema(RUN_SCHEMA).parquet(*(r.rows._talweg_path for r in last))
-            rows = cut(rows.where("h is not null").sortWithinPartitions("h"))
-            counts = cut(_together([r.counts for r in last]).groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))
+            rows = self._keep(rows.where("h is not null").sortWithinPartitions("h"), RUN_SCHEMA)
+            counts = self._keep(_together([r.counts for r in last]).groupBy("h").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), COUNT_SCHEMA)
             self.runs = [r for r in self.runs if r not in last] + [Run(rows, counts, last[0].level + 1)]
+            self._tell()
             for r in last:
                 r.drop()
             self.compactions += 1
@@ -244,11 +301,19 @@ class FingerprintIndex:
         for r in self.runs:
             r.drop()
         self.runs = []
+        self._tell()
 
 
 def _flat(column: pa.Array) -> np.ndarray:
     """The window hashes of a column of blobs, end to end."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
+    out = []
+    for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        off = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+        raw = np.zeros(((off[-1] - off[0]) // BYTES, 8), np.uint8)
+        if len(raw):
+            raw[:, :BYTES] = np.frombuffer(part.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, BYTES)
+        out.append(raw.view(np.uint64).ravel())
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _keyed(batches, many: BitFilter | None, hot: BitFilter):
@@ -269,7 +334,7 @@ def _keyed(batches, many: BitFilter | None, hot: BitFilter):
             n, h = b.column(4).to_numpy(), _flat(b.column(5))
             row = np.repeat(np.arange(len(n)), n)
             place = b.column(3).to_numpy()[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            key = mix(a[row] ^ (h.astype(np.uint64) << U(1)))
+            key = mix(a[row] ^ mix(h))
             yield pa.RecordBatch.from_arrays([longs(key), b.column(1).take(pa.array(row)), longs(b.column(2).to_numpy()[row]), longs(place), longs(np.ones(len(h), np.int64)), _blobs(h, np.arange(len(h)))], names)
 
 
@@ -294,6 +359,7 @@ def _verify(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
 
 
 def _verified(batches, window: int):
+    """Rows come sorted by key, age, doc and start. A key of more windows than PIECE is one window's, so its first row stands for those seen."""
     held, size = [], 0
     for b in batches:
         if not b.num_rows:
@@ -304,10 +370,9 @@ def _verified(batches, window: int):
             t = pa.Table.from_batches(held)
             key = t.column(0).to_numpy()
             end = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if end:
-                yield _verify(t.slice(0, end).to_batches(), window)
-            held = t.slice(end).to_batches()
-            size = int(t.slice(end).column(4).to_numpy().sum())
+            yield _verify((t.slice(0, end) if end else t).to_batches(), window)
+            rest = t.slice(end) if end else t.slice(0, 1)
+            held, size = rest.to_batches(), int(rest.column(4).to_numpy().sum())
     if held:
         yield _verify(held, window)
 
@@ -356,23 +421,6 @@ def _flat_spans(docs: DataFrame, window: int, run: int, index: FingerprintIndex
     return cut(got.select(F.col("doc").alias(key), F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"]))).alias(spans)))
 
 
-def _picker(found: DataFrame, key: str) -> Callable[[bool], Callable]:
-    """Filters of batches whose last column is the document's key: pick(True) keeps those that may be in found, pick(False) the others. One bit filter tells; beyond its size all are kept by pick(True)."""
-    n = found.count()
-    sent = found.sparkSession.sparkContext.broadcast(BitFilter.build(found, key, n) if n <= MOST_FILTERED else None)
-
-    def pick(wanted: bool):
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    maybe = np.ones(b.num_rows, bool) if sent.value is None else sent.value.might_contain(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
-                    yield b.filter(pa.array(maybe == wanted))
-
-        return run
-
-    return pick
-
-
 def _digest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     """Words, words in the disjoint sorted spans, and the digest of the others."""
     n = kept = 0
@@ -408,7 +456,7 @@ def report(docs: DataFrame, window: int = WINDOW, run: int = RUN, index: Fingerp
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), document_key(F.col("doc_id"), text).alias("doc"))
     found = _flat_spans(docs, window, run, index, "doc", "spans")
     # rows that lose nothing are digested where they are read: only the others are shuffled
-    pick = _picker(found, "doc")
+    pick = picker(found, "doc")
     whole, hit = pick(False), rows.mapInArrow(pick(True), rows.schema)
     cut_rows = hit.join(found, "doc", "left").select("doc_id", "text", "doc", "spans")
     return rows.mapInArrow(lambda it: digest(whole(it)), schema).unionByName(cut_rows.mapInArrow(digest, schema))
@@ -449,7 +497,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN, ind
                 yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep))
 
     found = _flat_spans(docs, window, run, index, key, name)
-    rows, pick = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), _picker(found, key)
+    rows, pick = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), picker(found, key)
     untouched, hit = (rows.mapInArrow(pick(x), rows.schema) for x in (False, True))
     cleaned = hit.join(found, key, "left").select(*docs.columns, name).mapInArrow(clean, schema)
     return untouched.select(*docs.columns).unionByName(cleaned)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from talweg.llm import chat_format, components, decontamination, lm_scoring, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from talweg.llm import _shared, chat_format, components, decontamination, lm_scoring, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from talweg.llm._shared import BitFilter
 from talweg.llm._text import SPACE, chunks
 
@@ -585,6 +585,7 @@ def test_substring_dedup(spark, corpus, window, run, hot, fan, batches, monkeypa
     monkeypatch.setattr(substring_dedup, "FAN_IN", fan)
     if batches == 3:  # repeated anchors and documents by joins in place of bit filters; long texts in parts
         monkeypatch.setattr(substring_dedup, "MOST_FILTERED", 0)
+        monkeypatch.setattr(_shared, "MOST_FILTERED", 0)
         monkeypatch.setattr(substring_dedup, "LONG", 40)
     rnd = random.Random(window)
     docs = corpus if window == 20 else [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30)))) for i in range(150)] + [(500, None), (501, ""), (502, "a b " * 40)]
