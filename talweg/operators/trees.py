@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.lineage import cut, drop_cut
-from talweg.operators.routing import TILE_CELLS, tile_of
+from talweg.operators.routing import TILE_CELLS, one_tile, tile_of
 from talweg.sources.grid import Grid
 
 BAND = 1 << 14  # accumulations of a factor BAND are folded in one pass
@@ -84,7 +84,7 @@ def upstream_sums(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) ->
         return pd.DataFrame({"cell_id": cell, "down_id": down, "w": _local_sums(nxt, pdf.w.to_numpy()), "leaves_to": np.where(down[last] >= 0, down[last], -1), "last": cell[last], "tile": pdf.tile})
 
     inside = tiled.groupBy("tile").applyInPandas(local, "cell_id long, down_id long, w long, leaves_to long, last long, tile long")
-    if grid.rows * grid.cols <= grid.cols * max(1, tile_cells // grid.cols):
+    if one_tile(grid, tile_cells):
         return inside.select("cell_id", "down_id", F.col("w").alias("total"))
     inside = cut(inside)
     # entries: cells into which another tile drains, with what its own cells bring
@@ -114,7 +114,7 @@ def first_stop(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> Da
 
     inside = tiled.groupBy("tile").applyInPandas(local, "node long, to long, none boolean, found boolean")
     inside = inside.select("node", F.when(~F.col("none"), F.col("to")).alias("to"), "found")
-    if grid.rows * grid.cols <= grid.cols * max(1, tile_cells // grid.cols):
+    if one_tile(grid, tile_cells):
         return inside.select(F.col("node").alias("cell_id"), F.when(F.col("found"), F.col("to")).alias("stop"))
     inside = cut(inside)
     open_ = inside.where("to is not null and not found")

@@ -1,0 +1,118 @@
+"""Block tiles: the filled surface by a spill graph, and tree operators, against scalar floods."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import scalar
+from talweg.operators import routing, streams, trees
+from talweg.sources.grid import Grid
+
+
+def rough(rows, cols, seed, holes=0.05, levels=8):
+    rnd = random.Random(seed)
+    return {i: float(rnd.randrange(levels)) for i in range(rows * cols) if rnd.random() > holes}
+
+
+def serpentine(side):
+    """Walls with one gap each, at alternate ends: the only way out winds through all tiles; every corridor has a pit."""
+    z = {}
+    for r in range(side):
+        for c in range(side):
+            wall = r % 4 == 0 or c in (0, side - 1) or r == side - 1
+            gap = r % 4 == 0 and 0 < r < side - 1 and c == (side - 2 if (r // 4) % 2 else 1)
+            z[r * side + c] = 100.0 if wall and not gap else 10.0 + (r % 3) + (c % 5) * 0.1
+    z[side * (side - 2)] = 3.0  # the outlet, in the last corridor
+    return z
+
+
+def cells_of(spark, z, parts=3):
+    return spark.createDataFrame(sorted(z.items()), "cell_id long, z double").repartition(parts)
+
+
+def test_tiles_are_blocks():
+    for rows, cols, cells, want in ((100, 7, 70, (10, 7)), (100, 1000, 64, (8, 8)), (5, 1 << 20, 1 << 18, (5, 512)), (7, 7, 1 << 18, (7, 7))):
+        assert routing.tile_shape(Grid(rows, cols), cells) == want
+    assert routing.one_tile(Grid(7, 7)) and not routing.one_tile(Grid(7, 7), 25)
+
+
+@pytest.mark.parametrize("rows, cols, tile, small", [(21, 19, 16, 0), (21, 19, 64, 10**6), (3, 40, 9, 0), (40, 3, 9, 5), (17, 17, 1, 0), (1, 30, 4, 0)])
+def test_filled_by_spills_equals_the_flood(spark, rows, cols, tile, small):
+    for seed in (1, 2):
+        z = rough(rows, cols, seed + rows)
+        want = scalar.flood(z, rows, cols)[1]
+        got = {r.cell_id: r.filled for r in routing.filled_surface(cells_of(spark, z), Grid(rows, cols), tile, small).collect()}
+        assert got == {i: want[i] for i in z}
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_filled_of_a_serpentine(spark, small):
+    side = 33
+    z = serpentine(side)
+    want = scalar.flood(z, side, side)[1]
+    assert sum(want[i] > z[i] for i in z) > 100
+    got = {r.cell_id: r.filled for r in routing.filled_surface(cells_of(spark, z), Grid(side, side), 25, small).collect()}
+    assert got == {i: want[i] for i in z}
+
+
+def test_passes_do_not_grow_with_the_way(spark, monkeypatch):
+    """The number of tables written is the same for a straight and a winding surface."""
+    written = []
+    real = routing.cut
+    monkeypatch.setattr(routing, "cut", lambda df: written.append(1) or real(df))
+    counts = []
+    for z in (serpentine(33), {i: float(i // 33) for i in range(33 * 33)}):
+        written.clear()
+        routing.filled_surface(cells_of(spark, z), Grid(33, 33), 64).count()
+        counts.append(len(written))
+    assert counts[0] == counts[1] <= 4
+
+
+def test_spills_of_chains_and_ties(spark):
+    """Long ways, equal spills and pairs that pour into one another, in rounds and with a heap."""
+    rnd = random.Random(3)
+    edges = [(k, k + 1, float(5 + k % 3)) for k in range(60)] + [(60, routing.OCEAN, 4.0), (10, routing.OCEAN, 9.0)] + [(100 + k, 100 + (k * 7 + 1) % 40, float(rnd.randrange(4))) for k in range(40)] + [(100, routing.OCEAN, 1.0), (100, 130, 1.0)]
+    edges += [(rnd.randrange(300, 340), rnd.randrange(300, 340), float(rnd.randrange(6))) for _ in range(120)] + [(300 + k, routing.OCEAN, 20.0 - k) for k in range(40)]
+    want = {k: v for k, v in routing._solve_spills([e for e in edges if e[0] != e[1]]).items() if k != routing.OCEAN}
+    df = spark.createDataFrame(edges, "u long, v long, w double")
+    for small in (0, 30, 10**6):
+        got = {r.label: r.level for r in routing.spill_levels(df, small).collect()}
+        assert {k: v for k, v in got.items() if k in want} == want
+
+
+def test_tree_operators_on_small_blocks(spark):
+    rows, cols = 23, 26
+    rnd = np.random.default_rng(4)
+    z = {i: float(v) for i, v in enumerate((np.add.outer(np.arange(rows) * 3.0, np.abs(np.arange(cols) - 9.0)) + rnd.random((rows, cols)) * 4).ravel())}
+    down, _, _ = scalar.flood(z, rows, cols)
+    acc = {i: 0 for i in z}
+    for i in z:
+        p = i
+        while p >= 0:
+            acc[p] += 1
+            p = down[p]
+    tree = spark.createDataFrame([(i, int(down[i])) for i in z], "cell_id long, down_id long")
+    got = {r.cell_id: r.acc for r in streams.accumulation(tree, Grid(rows, cols), tile_cells=64).collect()}
+    assert got == acc
+    stops = {i for i in z if acc[i] >= 30}
+    marked = tree.withColumn("stop", F.col("cell_id").isin(sorted(stops)))
+    first = {}
+    for i in z:
+        p = i
+        while p >= 0 and p not in stops:
+            p = down[p]
+        first[i] = p if p >= 0 else None
+    assert {r.cell_id: r.stop for r in trees.first_stop(marked, Grid(rows, cols), 64).collect()} == first
+
+
+def test_blocks_have_fewer_entries_than_strips():
+    """Cells into which another tile drains, on a rough slope: blocks of 64 cells against strips of as many."""
+    rows = cols = 64
+    rnd = np.random.default_rng(5)
+    z = {i: float(v) for i, v in enumerate((np.add.outer(np.arange(rows) * 1.0, np.arange(cols) * 0.3) + rnd.random((rows, cols)) * 2).ravel())}
+    down, _, _ = scalar.flood(z, rows, cols)
+    entries = lambda tile: len({down[i] for i in z if down[i] >= 0 and tile(i) != tile(down[i])})
+    strips, blocks = entries(lambda i: i // 64), entries(lambda i: (i // 64 // 8, i % 64 // 8))
+    assert blocks * 2 < strips
