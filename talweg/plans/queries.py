@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talweg.engine import Terrain
 from talweg.functions import geometry as G
 from talweg.functions.lineage import cut
-from talweg.operators import catchments, dissolve, masks, network, routing, streams
+from talweg.operators import catchments, dissolve, masks, network, routing, spatial, streams
 from talweg.plans.oracle import sql
 from talweg.sources import catg
 from talweg.sources import grid as grids
@@ -145,6 +145,32 @@ def nearest_segment(s, d):
     return catchments.nearest_segment(t.flow_paths(MIN_ACC), t.grid, *CLICK).select("cell_id", F.round("distance", 6).alias("distance"))
 
 
+def _drawn(s, d) -> DataFrame:
+    """A line of three points and a point for each customer, spread over the grid and its surroundings."""
+    k, b = F.col("c_custkey").cast("long"), F.floor(F.abs("c_acctbal")).cast("long")
+    x, y = F.pmod(k * 37, F.lit(1290)) - 19.75, -(F.pmod(k * 91, F.lit(1240)) - 19.75)
+    p = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    bend = p(F.pmod(b, F.lit(61)) - 30, F.pmod(b, F.lit(47)) - 23)
+    line = F.array(p(F.lit(0), F.lit(0)), bend, p(F.pmod(b, F.lit(131)) - 65, F.pmod(b, F.lit(97)) - 48))
+    return s.read.parquet(f"{d}/customer.parquet").select(k.alias("line_id"), k.alias("point_id"), line.alias("points"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def outlet_lines(s, d):
+    """What each customer's line meets."""
+    t = terrain(s, d)
+    return spatial.lines_crossing(t.flow_paths(MIN_ACC), t.grid, _drawn(s, d))
+
+
+def outlets_of_lines(s, d):
+    return spatial.outlets_of_lines(outlet_lines(s, d))
+
+
+def nearest_segments(s, d):
+    """The three segments nearest to each customer's point."""
+    t = terrain(s, d)
+    return spatial.nearest_segments(t.flow_paths(MIN_ACC), t.grid, _drawn(s, d), 3).select("point_id", F.col("rank").cast("long").alias("rank"), "cell_id", F.round("distance", 6).alias("distance"))
+
+
 def model_outlet(s, d):
     return catchments.model_outlet(crossed(terrain(s, d)))
 
@@ -313,7 +339,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dem_cells, seeds, neighbours, receiver, filled, exact_flood, accumulation, flow_paths, cell_strahler, stream_strahler, reaches,
-        upstream_trace, trace_count, line_crossing, nearest_segment, model_outlet, min_cells, greedy_outlets, assignment, subcatchments,
+        upstream_trace, trace_count, line_crossing, outlet_lines, outlets_of_lines, nearest_segment, nearest_segments, model_outlet, min_cells, greedy_outlets, assignment, subcatchments,
         subcatchment_totals, restricted_flow_paths, restricted_reaches, highlight, selection_normalised, group_sizes, downstream_map, depth_order,
         terminal_count, receivers_set, mask_quality, mask_filter, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, outlet_paths, catg_nodes, catg_links,
     )
@@ -348,6 +374,17 @@ def _nearest_sql() -> str:
     )
 
 
+_SEGMENT = "SELECT cell_id, acc_cells, (cell_id%125+0.5)*10.0::DOUBLE ax, (cell_id//125+0.5)*-10.0::DOUBLE ay, (down_id%125+0.5)*10.0::DOUBLE bx, (down_id//125+0.5)*-10.0::DOUBLE bw FROM paths"
+_DRAWN = """SELECT k, x AS x0, y AS y0, x+b%61-30 AS x1, y+b%47-23 AS y1, x+b%131-65 AS x2, y+b%97-48 AS y2
+  FROM (SELECT c_custkey AS k, floor(abs(c_acctbal))::BIGINT AS b, ((c_custkey*37)%1290)::DOUBLE-19.75 AS x, -(((c_custkey*91)%1240)::DOUBLE-19.75) AS y FROM customer)"""
+_MET = sql(
+    f""", seg AS ({_SEGMENT}), drawn AS ({_DRAWN}), piece AS (SELECT k, x0, y0, x1, y1 FROM drawn UNION ALL SELECT k, x1, y1, x2, y2 FROM drawn),
+side AS (SELECT k, cell_id, acc_cells, (x1-x0)*(ay-y0)-(y1-y0)*(ax-x0) d1, (x1-x0)*(bw-y0)-(y1-y0)*(bx-x0) d2, (bx-ax)*(y0-ay)-(bw-ay)*(x0-ax) d3, (bx-ax)*(y1-ay)-(bw-ay)*(x1-ax) d4 FROM piece JOIN seg
+  ON greatest(ax,bx)>=least(x0,x1) AND least(ax,bx)<=greatest(x0,x1) AND greatest(ay,bw)>=least(y0,y1) AND least(ay,bw)<=greatest(y0,y1)),
+met AS (SELECT DISTINCT k AS line_id, cell_id, acc_cells FROM side WHERE NOT ((d1>0 AND d2>0) OR (d1<0 AND d2<0) OR (d3>0 AND d4>0) OR (d3<0 AND d4<0)))
+""",
+    "paths",
+).replace("\n, seg", ",\nseg")
 _STYLE = "lo AS (SELECT min(strahler) a, max(strahler) b FROM paths)"
 ORACLES = {
     "dem_cells": sql(f"SELECT cell_id, r, c, round(z,9) AS z, {_X} AS x, {_Y} AS y FROM cells"),
@@ -373,6 +410,15 @@ SELECT cell_id, f AS filled FROM fill""",
     "trace_count": sql("SELECT count(*) AS n_cells FROM up", "up"),
     "line_crossing": sql("SELECT cell_id, acc_cells FROM crossed", "crossed"),
     "nearest_segment": _nearest_sql(),
+    "outlet_lines": f"{_MET}SELECT line_id, cell_id, acc_cells FROM met",
+    "outlets_of_lines": f"{_MET}SELECT line_id, count(*) AS n_crossed, arg_max(cell_id, (acc_cells, cell_id)) AS cell_id, max(acc_cells) AS acc_cells FROM met GROUP BY 1",
+    "nearest_segments": sql(
+        f""", seg AS ({_SEGMENT}), drawn AS ({_DRAWN}),
+far AS (SELECT k, cell_id, sqrt(power(x0-(ax+t*(bx-ax)),2)+power(y0-(ay+t*(bw-ay)),2)) AS d FROM (
+  SELECT *, greatest(0.0,least(1.0,((x0-ax)*(bx-ax)+(y0-ay)*(bw-ay))/(power(bx-ax,2)+power(bw-ay,2)))) AS t FROM drawn, seg))
+SELECT k AS point_id, rank, cell_id, round(d,6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(d,9), cell_id) AS rank FROM far) WHERE rank<=3""",
+        "paths",
+    ).replace("\n, seg", ",\nseg"),
     "model_outlet": sql("SELECT cell_id, acc_cells FROM main", "main"),
     "min_cells": "SELECT o_orderkey, greatest(1, ceil((o_totalprice-1000.0)/100.0))::BIGINT AS min_cells FROM orders",
     "greedy_outlets": sql("SELECT cell_id, open_cells FROM greedy", "greedy"),
