@@ -18,7 +18,7 @@ MIN_AREA = 100_000.0  # square metres of a subcatchment
 
 
 class Terrain:
-    """cells (cell_id, z) of a grid, perhaps behind a mask.
+    """cells (cell_id, z) of a grid, perhaps behind a mask: rings, or a layer's table of them, in mask_crs or the grid's own system.
 
     receivers: ``lowest`` is one distributed aggregate, and raises where a pit or tied lowest
     neighbours make the exact receivers another; ``exact`` floods the DEM in one task and
@@ -27,12 +27,12 @@ class Terrain:
     another thread, stops them, and they raise Cancelled.
     """
 
-    def __init__(self, grid: Grid, cells: DataFrame, mask: list[masks.Ring] | None = None, receivers: str = "auto", mask_crs: str = "", progress: Callable[[str], None] | None = None, tag: str = "talweg"):
+    def __init__(self, grid: Grid, cells: DataFrame, mask: masks.Mask | None = None, receivers: str = "auto", mask_crs: str = "", progress: Callable[[str], None] | None = None, tag: str = "talweg"):
         if receivers not in ("auto", "exact", "lowest"):
             raise TerrainError("receivers: auto, exact or lowest")
-        if mask:
-            masks.same_system(grid, mask_crs)
-        self.grid, self.mask, self.how = grid, mask, receivers
+        self.masked = not masks.no_mask(mask)
+        self.grid, self.how = grid, receivers
+        self.mask = masks.mask_in_grid(grid, mask, mask_crs) if self.masked else None
         self.all_cells = cells
         self.progress, self.tag, self.stopped = progress, tag, False
 
@@ -57,7 +57,7 @@ class Terrain:
     @cached_property
     def cells(self) -> DataFrame:
         """(cell_id, z) of valid cells."""
-        if self.mask:
+        if self.masked:
             got = masks.mask_filter(self.all_cells, self.grid, self.mask)
         else:
             got = self.all_cells.where(is_valid(F.col("z"), self.grid.nodata)).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("z").cast("double").alias("z"))

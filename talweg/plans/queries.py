@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.engine import Terrain
 from talweg.functions import geometry as G
+from talweg.functions import projections
 from talweg.functions.lineage import cut
 from talweg.operators import catchments, dissolve, masks, network, routing, spatial, streams
 from talweg.plans.oracle import sql
@@ -256,6 +259,23 @@ def mask_filter(s, d):
     return masks.mask_filter(_holed(t), t.grid, MASK).select("cell_id")
 
 
+def _geographic_mask(s, d) -> DataFrame:
+    """A layer of triangles around some customers' places, in longitude and latitude; the grid's corner is put on a place in zone 55."""
+    k, b = F.col("c_custkey").cast("long"), F.floor(F.abs("c_acctbal")).cast("long")
+    x, y = F.pmod(k * 37, F.lit(1250)).cast("double") + 0.25, -(F.pmod(k * 91, F.lit(1200)).cast("double") + 0.75)
+    size = F.pmod(b, F.lit(40)).cast("double") + 5.5
+    p = lambda dx, dy: F.struct((x + 300_000 + dx).alias("x"), (y + 5_800_000 + dy).alias("y"))
+    triangles = s.read.parquet(f"{d}/customer.parquet").where(k % 10 == 0).select(k.alias("polygon_id"), F.array(p(-size, -size), p(size, F.lit(-3.25)), p(F.lit(1.5), size)).alias("points"))
+    return projections.reproject_points(triangles, "EPSG:28355", "EPSG:4283")
+
+
+def mask_of_layer(s, d):
+    """Cells that a layer of polygons in another reference system touches."""
+    t = terrain(s, d)
+    grid = dataclasses.replace(t.grid, x0=300_000.0, y0=5_800_000.0, crs="EPSG:28355")
+    return masks.in_mask(t.cells.select("cell_id", "z"), grid, masks.mask_in_grid(grid, _geographic_mask(s, d), "EPSG:4283")).select("cell_id")
+
+
 def nodata_cells(s, d):
     t = terrain(s, d)
     return masks.nodata_cells(_holed(t), t.grid, MASK)
@@ -341,7 +361,7 @@ QUERIES = {
         dem_cells, seeds, neighbours, receiver, filled, exact_flood, accumulation, flow_paths, cell_strahler, stream_strahler, reaches,
         upstream_trace, trace_count, line_crossing, outlet_lines, outlets_of_lines, nearest_segment, nearest_segments, model_outlet, min_cells, greedy_outlets, assignment, subcatchments,
         subcatchment_totals, restricted_flow_paths, restricted_reaches, highlight, selection_normalised, group_sizes, downstream_map, depth_order,
-        terminal_count, receivers_set, mask_quality, mask_filter, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, outlet_paths, catg_nodes, catg_links,
+        terminal_count, receivers_set, mask_quality, mask_filter, mask_of_layer, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, outlet_paths, catg_nodes, catg_links,
     )
 }
 
@@ -460,6 +480,16 @@ FROM dgreedy g LEFT JOIN way e ON e.outlet_id=g.cell_id GROUP BY 1""",
     "receivers_set": sql("SELECT DISTINCT ds_id AS outlet_id FROM down WHERE ds_id IS NOT NULL", "down"),
     "mask_quality": sql(f"SELECT true AS has_mask, count(*) AS mask_cells, count(z) AS valid_cells, count(*)-count(z) AS nodata_cells FROM ({_mask_sql()})"),
     "mask_filter": sql(f"SELECT cell_id FROM ({_mask_sql()}) WHERE z IS NOT NULL"),
+    "mask_of_layer": sql(
+        f""", tri AS (SELECT c_custkey AS k, ((c_custkey*37)%1250)::DOUBLE+0.25 AS x, -(((c_custkey*91)%1200)::DOUBLE+0.75) AS y, (floor(abs(c_acctbal))::BIGINT%40)::DOUBLE+5.5 AS s FROM customer WHERE c_custkey%10=0),
+edge AS (SELECT k, x-s AS x0, y-s AS y0, x+s AS x1, y-3.25 AS y1 FROM tri UNION ALL SELECT k, x+s, y-3.25, x+1.5, y+s FROM tri UNION ALL SELECT k, x+1.5, y+s, x-s, y-s FROM tri),
+box AS (SELECT cell_id, (c+0.5)*10.0::DOUBLE AS cx, -(r+0.5)*10.0::DOUBLE AS cy, c*10.0::DOUBLE AS xa, (c+1)*10.0::DOUBLE AS xb, -(r+1)*10.0::DOUBLE AS ya, -r*10.0::DOUBLE AS yb FROM cells),
+met AS (SELECT k, cell_id, (y0>cy)<>(y1>cy) AND cx<x0+(cy-y0)*((x1-x0)/(y1-y0)) AS crossed, xa<=greatest(x0,x1) AND xb>=least(x0,x1) AND ya<=greatest(y0,y1) AND yb>=least(y0,y1)
+    AND NOT (least((x1-x0)*(ya-y0)-(y1-y0)*(xa-x0),(x1-x0)*(ya-y0)-(y1-y0)*(xb-x0),(x1-x0)*(yb-y0)-(y1-y0)*(xa-x0),(x1-x0)*(yb-y0)-(y1-y0)*(xb-x0))>0
+      OR greatest((x1-x0)*(ya-y0)-(y1-y0)*(xa-x0),(x1-x0)*(ya-y0)-(y1-y0)*(xb-x0),(x1-x0)*(yb-y0)-(y1-y0)*(xa-x0),(x1-x0)*(yb-y0)-(y1-y0)*(xb-x0))<0) AS touched
+  FROM edge JOIN box ON ya<=greatest(y0,y1) AND yb>=least(y0,y1))
+SELECT DISTINCT cell_id FROM (SELECT cell_id, k FROM met GROUP BY 1,2 HAVING bool_or(touched) OR count(*) FILTER (crossed)%2=1)"""
+    ).replace("\n, tri", ",\ntri"),
     "nodata_cells": sql(f"SELECT cell_id FROM ({_mask_sql()}) WHERE z IS NULL"),
     "centroids": sql(f"SELECT outlet_id, round(avg({_X}),6) AS x, round(avg({_Y}),6) AS y FROM dasg GROUP BY 1", "dasg"),
     "display_scale": sql(
