@@ -14,6 +14,8 @@ def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
     Rows are dealt to partitions by ranges of the order; a partition numbers its own rows,
     after those of the partitions before it. The driver sees one count for each partition.
     """
+    if not hasattr(rows, "_talweg_path"):
+        rows = cut(rows)  # ranges are found by reading the rows once before
     dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts, before, total = {r._part: r.n for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}, [], 0
     for p in sorted(counts):

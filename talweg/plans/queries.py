@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from talweg.engine import Terrain
 from talweg.functions import geometry as G
-from talweg.functions import projections
+from talweg.functions import geodesy, projections
 from talweg.functions.lineage import cut
 from talweg.operators import catchments, dissolve, masks, network, routing, spatial, streams
 from talweg.plans.oracle import sql
 from talweg.sources import catg
 from talweg.sources import grid as grids
+from talweg.sources.grid import Grid
 
 MIN_ACC, MIN_CELLS = 10, 100
 LINE = [(300.0, -60.0), (800.0, -63.0)]
@@ -329,6 +330,23 @@ def outlet_paths(s, d):
     return ways.select("outlet_id", F.coalesce("ds_id", F.lit(-1)).alias("ds_id"), F.size("cells").cast("long").alias("n_cells"), F.round(length, 3).alias("length_m"))
 
 
+def _geographic(t: Terrain) -> Grid:
+    """The terrain's grid as one of 0.3 arc seconds."""
+    return dataclasses.replace(t.grid, x0=144.0, dx=1 / 12_000, y0=-37.0, dy=-1 / 12_000, crs="EPSG:7844")
+
+
+def ellipsoid_areas(s, d):
+    """Areas of subcatchments on the ellipsoid, on a grid of angles."""
+    t = terrain(s, d)
+    return geodesy.areas(assigned(t).withColumnRenamed("outlet_id", "group_id"), _geographic(t)).select(F.col("group_id").alias("outlet_id"), F.round("area_m2", 4).alias("area_m2"))
+
+
+def ellipsoid_lengths(s, d):
+    """Lengths of flow paths on the ellipsoid, by stream order."""
+    t = terrain(s, d)
+    return geodesy.with_length(t.flow_paths(MIN_ACC), _geographic(t)).groupBy("strahler").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m"), 4).alias("length_m"))
+
+
 def _catg_lines(s, d) -> DataFrame:
     """The nations as a node-link file: each flows to the next one, the last is the outlet; every third reach has a name."""
     n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("double").alias("v"))
@@ -361,7 +379,7 @@ QUERIES = {
         dem_cells, seeds, neighbours, receiver, filled, exact_flood, accumulation, flow_paths, cell_strahler, stream_strahler, reaches,
         upstream_trace, trace_count, line_crossing, outlet_lines, outlets_of_lines, nearest_segment, nearest_segments, model_outlet, min_cells, greedy_outlets, assignment, subcatchments,
         subcatchment_totals, restricted_flow_paths, restricted_reaches, highlight, selection_normalised, group_sizes, downstream_map, depth_order,
-        terminal_count, receivers_set, mask_quality, mask_filter, mask_of_layer, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, outlet_paths, catg_nodes, catg_links,
+        terminal_count, receivers_set, mask_quality, mask_filter, mask_of_layer, nodata_cells, centroids, display_scale, impervious_norm, drainage_order, outlines, ellipsoid_areas, ellipsoid_lengths, outlet_paths, catg_nodes, catg_links,
     )
 }
 
@@ -405,6 +423,15 @@ met AS (SELECT DISTINCT k AS line_id, cell_id, acc_cells FROM side WHERE NOT ((d
 """,
     "paths",
 ).replace("\n, seg", ",\nseg")
+_E2 = geodesy.eccentricity_squared((6378137.0, 298.257222101))
+_E = _E2**0.5
+
+
+def _authalic(lat: str) -> str:
+    """Area between the equator and a latitude in degrees, for a turn of one radian."""
+    return f"(6378137.0::DOUBLE*6378137.0::DOUBLE/2*{1 - _E2!r}::DOUBLE*(sin(radians({lat}))/(1-{_E2!r}*power(sin(radians({lat})),2))+ln((1+{_E!r}*sin(radians({lat})))/(1-{_E!r}*sin(radians({lat}))))/{2 * _E!r}))"
+
+
 _STYLE = "lo AS (SELECT min(strahler) a, max(strahler) b FROM paths)"
 ORACLES = {
     "dem_cells": sql(f"SELECT cell_id, r, c, round(z,9) AS z, {_X} AS x, {_Y} AS y FROM cells"),
@@ -454,6 +481,13 @@ SELECT k AS point_id, rank, cell_id, round(d,6) AS distance FROM (SELECT *, row_
   SELECT a.outlet_id, a.cell_id, count(b.cell_id) AS k FROM dasg a LEFT JOIN dasg b ON b.outlet_id=a.outlet_id AND ((b.cell_id=a.cell_id-125 OR b.cell_id=a.cell_id+125) OR (b.cell_id=a.cell_id+1 AND a.cell_id%125<124) OR (b.cell_id=a.cell_id-1 AND a.cell_id%125>0)) GROUP BY 1,2) GROUP BY 1""",
         "dasg",
     ),
+    "ellipsoid_areas": sql(f"SELECT outlet_id, round(sum(radians(1/12000.0::DOUBLE)*({_authalic('-37-(cell_id//125)/12000.0::DOUBLE')}-{_authalic('-37-(cell_id//125+1)/12000.0::DOUBLE')})),4) AS area_m2 FROM dasg GROUP BY 1", "dasg"),
+    "ellipsoid_lengths": sql(
+        f"""SELECT strahler, count(*) AS n, round(sum(sqrt(power(m*radians(dr/12000.0::DOUBLE),2)+power(n*cos(lat)*radians(dc/12000.0::DOUBLE),2))),4) AS length_m FROM (
+  SELECT *, 6378137.0::DOUBLE*{1 - _E2!r}::DOUBLE/power(1-{_E2!r}*power(sin(lat),2),1.5) AS m, 6378137.0::DOUBLE/sqrt(1-{_E2!r}*power(sin(lat),2)) AS n FROM (
+    SELECT strahler, down_id//125-cell_id//125 AS dr, down_id%125-cell_id%125 AS dc, radians(-37-((down_id//125+cell_id//125)/2.0::DOUBLE+0.5)/12000.0::DOUBLE) AS lat FROM paths)) GROUP BY 1""",
+        "paths",
+    ),
     "outlet_paths": sql(
         """SELECT g.cell_id AS outlet_id, coalesce(max(CASE WHEN e.cell_id IN (SELECT cell_id FROM dgreedy) THEN e.cell_id END),-1) AS ds_id, coalesce(max(e.n),0)::BIGINT+1 AS n_cells, round(coalesce(max(e.len),0.0),3) AS length_m
 FROM dgreedy g LEFT JOIN way e ON e.outlet_id=g.cell_id GROUP BY 1""",
