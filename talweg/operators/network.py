@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.lineage import cut
 from talweg.functions.ordering import numbered
-from talweg.sources.grid import TerrainError
+from talweg.operators import routing, trees
+from talweg.sources.grid import Grid, TerrainError
 
 
 def downstream_map(assigned: DataFrame, tree: DataFrame) -> DataFrame:
@@ -56,34 +59,73 @@ def display_scale(points: DataFrame, extra: DataFrame | None = None) -> DataFram
     return points.crossJoin(F.broadcast(box)).select("node_id", "x", "y", scaled("x", "x0", "x1").alias("sx"), scaled("y", "y0", "y1").alias("sy"))  # box: one row
 
 
-def outlet_paths(assigned: DataFrame, tree: DataFrame, grid, model_outlet: int | None = None) -> DataFrame:
+def _local_ways(cell: np.ndarray, down: np.ndarray, stop: np.ndarray, heads: np.ndarray) -> list[list[int]]:
+    """The cells from each head to the first stop, or to the last cell of the tile."""
+    nxt = np.where(stop, -1, trees.places(cell, down)).tolist()
+    out = []
+    for at in heads.tolist():
+        way = []
+        while at >= 0:
+            way.append(at)
+            at = nxt[at]
+        out.append(cell[way].tolist())
+    return out
+
+
+def outlet_paths(assigned: DataFrame, tree: DataFrame, grid: Grid, model_outlet: int | None = None, tile_cells: int = routing.TILE_CELLS) -> DataFrame:
     """(outlet_id, ds_id, cells): each subcatchment outlet's way, from itself to the next outlet, the model outlet, or the first cell outside.
 
-    The way below an outlet runs inside one other subcatchment, so each subcatchment's task
-    walks the ways that enter it. The model outlet ends a way even where it is an outlet
-    itself; such ways have no ds_id and lead to the model's outlet node.
+    A way is followed tile by tile: a task knows, for the cells at which ways or water enter
+    its tile, where they leave it; which tiles a way passes is found by doubling, and the
+    cells in them come from the tasks of these tiles. So a basin of any size is many tasks.
+    The model outlet ends a way even where it is an outlet itself; such ways have no ds_id
+    and lead to the model's outlet node.
     """
-    import pandas as pd
-
     m = -1 if model_outlet is None else int(model_outlet)
     outlets = assigned.select("outlet_id").distinct()
     starts = outlets.join(tree.select(F.col("cell_id").alias("outlet_id"), F.col("down_id").alias("entry")), "outlet_id")
     owner = assigned.select(F.col("cell_id").alias("entry"), F.col("outlet_id").alias("owner"))
-    starts = starts.join(owner, "entry", "left").select("outlet_id", "entry", F.when(F.col("outlet_id") == m, F.lit(None)).otherwise(F.col("owner")).alias("owner"))
+    starts = cut(starts.join(owner, "entry", "left").select("outlet_id", "entry", F.when(F.col("outlet_id") == m, F.lit(None)).otherwise(F.col("owner")).alias("owner")))
     ended = starts.where("owner is null").select("outlet_id", F.lit(None).cast("long").alias("ds_id"), F.when((F.col("entry") >= 0) & (F.col("outlet_id") != m), F.array("outlet_id", "entry")).otherwise(F.array("outlet_id")).alias("cells"))
-    inside = assigned.join(tree.select("cell_id", "down_id"), "cell_id").select(F.col("outlet_id").alias("owner"), "cell_id", "down_id")
-
-    def walk(key, ways: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        down, goal, out = dict(zip(cells.cell_id.tolist(), cells.down_id.tolist())), int(key[0]), []
-        for start, entry in zip(ways.outlet_id.tolist(), ways.entry.tolist()):
-            way = [start, entry]
-            while way[-1] != m and way[-1] != goal:
-                way.append(down[way[-1]])
-            out.append((start, None if way[-1] == m else goal, way))
-        return pd.DataFrame({"outlet_id": pd.Series([x[0] for x in out], dtype="int64"), "ds_id": pd.array([x[1] for x in out], "Int64"), "cells": pd.Series([x[2] for x in out], dtype=object)})
-
-    walked = starts.where("owner is not null").groupBy("owner").cogroup(inside.groupBy("owner")).applyInPandas(walk, "outlet_id long, ds_id long, cells array<long>")
-    return ended.unionByName(walked)
+    going = starts.where("owner is not null")
+    tile = lambda c: routing.tile_of(grid, F.col(c), tile_cells)
+    stop = (F.col("cell_id") == F.col("outlet_id")) | (F.col("cell_id") == m)
+    links = cut(assigned.join(tree.select("cell_id", "down_id"), "cell_id").select("cell_id", "down_id", stop.alias("stop"), tile("cell_id").alias("tile")))
+    across = links.where((F.col("down_id") >= 0) & ~F.col("stop") & (tile("down_id") != F.col("tile"))).select(F.col("down_id").alias("cell_id"))
+    heads = across.union(going.select(F.col("entry").alias("cell_id"))).distinct().withColumn("head", F.lit(True))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        cell, down, stop = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy(), pdf.stop.to_numpy().astype(bool)
+        last = trees.local_last(trees.places(cell, down), stop)
+        some = np.flatnonzero(pdf["head"].notna())
+        to = np.where(stop[last], -1, down[last])[some]
+        return pd.DataFrame({"head": cell[some], "nxt": pd.array(np.where(to < 0, 0, to), "Int64"), "ends": to < 0})
+
+    jump = links.join(heads, "cell_id", "left").groupBy("tile").applyInPandas(ends, "head long, nxt long, ends boolean")
+    jump = cut(jump.select("head", F.when(~F.col("ends"), F.col("nxt")).alias("nxt")))
+    parts, steps = cut(going.select("outlet_id", F.col("entry").alias("head"), F.lit(0).cast("long").alias("d"))), 1
+    while True:  # parts holds the first ``steps`` heads of each way; jump leads as many heads on
+        more = cut(parts.join(jump, "head").where("nxt is not null").select("outlet_id", F.col("nxt").alias("head"), (F.col("d") + steps).alias("d")))
+        if more.isEmpty():
+            break
+        parts = cut(parts.unionByName(more))
+        far = jump.select(F.col("head").alias("_h"), F.col("nxt").alias("_n"))
+        jump = cut(jump.join(far, F.col("nxt") == F.col("_h"), "left").select("head", F.col("_n").alias("nxt")))
+        steps *= 2
+    used = parts.select(F.col("head").alias("cell_id")).distinct().withColumn("head", F.lit(True))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        cell, some = pdf.cell_id.to_numpy(), np.flatnonzero(pdf["head"].notna())
+        ways = _local_ways(cell, pdf.down_id.to_numpy(), pdf.stop.to_numpy().astype(bool), some)
+        return pd.DataFrame({"head": cell[some], "way": pd.Series(ways, dtype=object)})
+
+    ways = links.join(used, "cell_id", "left").groupBy("tile").applyInPandas(walk, "head long, way array<long>")
+    whole = parts.join(ways, "head").groupBy("outlet_id").agg(F.sort_array(F.collect_list(F.struct("d", "way"))).alias("w"))
+    cells = F.concat(F.array("outlet_id"), F.flatten(F.transform("w", lambda x: x["way"])))
+    walked = whole.join(going.select("outlet_id", "owner"), "outlet_id").select("outlet_id", "owner", cells.alias("cells"))
+    return ended.unionByName(walked.select("outlet_id", F.when(F.element_at("cells", -1) != m, F.col("owner")).alias("ds_id"), "cells"))
 
 
 def path_measures(paths: DataFrame, grid, end_point: tuple[float, float]) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ BAND = 1 << 14  # accumulations of a factor BAND are folded in one pass
 TASK_CELLS = 100_000  # of a fold's task, about
 
 
-def _places(cell: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+def places(cell: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     """Index of each next cell in the sorted ``cell``; -1 if it is elsewhere."""
     at = np.minimum(np.searchsorted(cell, nxt), len(cell) - 1)
     return np.where((nxt >= 0) & (cell[at] == nxt), at, -1)
@@ -39,7 +41,7 @@ def _local_sums(nxt: np.ndarray, w: np.ndarray) -> np.ndarray:
     return total
 
 
-def _local_last(nxt: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def local_last(nxt: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The first stop on the way of each place, or else the last place of its way."""
     to = np.where(stop | (nxt < 0), np.arange(len(nxt)), nxt)
     while (further := to[to] != to).any():
@@ -79,8 +81,8 @@ def upstream_sums(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) ->
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         cell, down = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy()
-        nxt = _places(cell, down)
-        last = _local_last(nxt, np.zeros(len(cell), bool))
+        nxt = places(cell, down)
+        last = local_last(nxt, np.zeros(len(cell), bool))
         return pd.DataFrame({"cell_id": cell, "down_id": down, "w": _local_sums(nxt, pdf.w.to_numpy()), "leaves_to": np.where(down[last] >= 0, down[last], -1), "last": cell[last], "tile": pdf.tile})
 
     inside = tiled.groupBy("tile").applyInPandas(local, "cell_id long, down_id long, w long, leaves_to long, last long, tile long")
@@ -96,7 +98,7 @@ def upstream_sums(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) ->
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         cell, down = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy()
-        return pd.DataFrame({"cell_id": cell, "down_id": down, "total": _local_sums(_places(cell, down), pdf.w.to_numpy())})
+        return pd.DataFrame({"cell_id": cell, "down_id": down, "total": _local_sums(places(cell, down), pdf.w.to_numpy())})
 
     return again.groupBy("tile").applyInPandas(spread, "cell_id long, down_id long, total long")
 
@@ -108,7 +110,7 @@ def first_stop(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> Da
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         cell, down, stop = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy(), pdf.stop.to_numpy().astype(bool)
-        last = _local_last(_places(cell, down), stop)
+        last = local_last(places(cell, down), stop)
         to = np.where(stop[last], cell[last], down[last])
         return pd.DataFrame({"node": cell, "to": pd.array(np.maximum(to, 0), "Int64"), "none": to < 0, "found": stop[last]})
 
@@ -191,11 +193,11 @@ def fold(tree: DataFrame, grid: Grid, start: Callable[[int], object], band: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         cell, down = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy()
-        state, given = start(len(cell)), pdf.given.to_numpy()
-        some = np.flatnonzero([g is not None for g in given])
-        if len(some):
-            state.give(np.repeat(some, [len(given[k]) for k in some]), np.concatenate([given[k] for k in some]))
-        return pd.DataFrame({"cell_id": cell, "down_id": down, "value": fold_arrays(_places(cell, down), state)})
+        state, given = start(len(cell)), pa.array(pdf.given, pa.list_(pa.int64()))
+        size = pc.list_value_length(given).fill_null(0).to_numpy(zero_copy_only=False)
+        if size.any():
+            state.give(np.repeat(np.arange(len(cell)), size), pc.list_flatten(given).to_numpy())
+        return pd.DataFrame({"cell_id": cell, "down_id": down, "value": fold_arrays(places(cell, down), state)})
 
     counts = {r.band: r.n for r in tree.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     bands = sorted(counts)
