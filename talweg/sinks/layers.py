@@ -1,12 +1,10 @@
-"""Vector layers as files: GeoPackage and ESRI shapefiles.
+"""Vector layers as files: Parquet, ESRI shapefiles, and the pair of GeoPackage layers of an export.
 
-Both formats are single files that one process writes, so their writers stream rows to the
-driver one partition at a time. Parquet is the sink for layers of any size.
+Shapefiles hold one dissolved shape each. GeoPackages are written by tasks, see talweg.sinks.geopackage.
 """
 
 from __future__ import annotations
 
-import sqlite3
 import struct
 from dataclasses import dataclass
 from pathlib import Path
@@ -14,7 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from talweg.operators.dissolve import dissolve, line_wkb, read_multipolygon, ring_area
+from talweg.operators.dissolve import dissolve, read_multipolygon, ring_area
+from talweg.sinks.geopackage import from_gpkg_blob, read_gpkg, write_gpkg
 from talweg.sources.grid import Grid, TerrainError, TuflowError
 
 
@@ -23,103 +22,6 @@ def write_parquet(layer: DataFrame, path: str, overwrite: bool = False) -> None:
     layer.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-# --- GeoPackage -------------------------------------------------------------
-
-_SQL_TYPE = {T.LongType: "INTEGER", T.IntegerType: "MEDIUMINT", T.ShortType: "SMALLINT", T.DoubleType: "DOUBLE", T.StringType: "TEXT", T.BooleanType: "BOOLEAN"}
-_TABLES = """
-CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
-CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id));
-CREATE TABLE IF NOT EXISTS gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);
-CREATE TABLE IF NOT EXISTS layer_styles (id INTEGER PRIMARY KEY AUTOINCREMENT, f_table_name TEXT, f_geometry_column TEXT, styleName TEXT, styleSLD TEXT, useAsDefault BOOLEAN);
-"""
-
-
-def _gpkg_blob(wkb: bytes, srs: int) -> bytes:
-    return b"GP\x00\x01" + struct.pack("<i", srs) + wkb
-
-
-def from_gpkg_blob(blob: bytes) -> bytes:
-    return blob[8:]
-
-
-def _extent(wkb: bytes) -> tuple[float, float, float, float]:
-    """xmin, ymin, xmax, ymax of a line or multipolygon."""
-    if wkb[1] == 2:
-        points = [struct.unpack_from("<dd", wkb, 9 + 16 * i) for i in range(struct.unpack_from("<I", wkb, 5)[0])]
-    else:
-        points = [p for part in read_multipolygon(wkb) for ring in part for p in ring]
-    xs, ys = zip(*points)
-    return min(xs), min(ys), max(xs), max(ys)
-
-
-def write_gpkg(layer: DataFrame, path: str, table: str, geometry: str = "geom", crs: str = "", overwrite_file: bool = False, overwrite_layer: bool = True, style: str | None = None) -> int:
-    """Writes a layer as a table of a GeoPackage; gives its number of rows.
-
-    geometry: a WKB column, or a line as an array of points.
-    """
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    if overwrite_file and out.exists():
-        out.unlink()
-    digits = crs.upper().removeprefix("EPSG:")
-    srs = int(digits) if crs.upper().startswith("EPSG:") and digits.isdigit() else -1
-    fields = [f for f in layer.schema.fields if f.name != geometry]
-    unknown = [f.name for f in fields if type(f.dataType) not in _SQL_TYPE]
-    if unknown:
-        raise TerrainError(f"no GeoPackage type for {', '.join(unknown)}")
-    lines = isinstance(layer.schema[geometry].dataType, T.ArrayType)
-    kind = "LINESTRING" if lines else "MULTIPOLYGON"
-    quoted = lambda name: '"' + name.replace('"', '""') + '"'
-    db = sqlite3.connect(path)
-    try:
-        db.execute("PRAGMA application_id = 1196444487")
-        db.execute("PRAGMA user_version = 10300")
-        db.executescript(_TABLES)
-        for row in ((-1, "undefined cartesian", "NONE"), (0, "undefined geographic", "NONE"), (srs, crs or "undefined cartesian", "EPSG" if srs > 0 else "NONE")):
-            db.execute("INSERT OR IGNORE INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', NULL)", (row[1], row[0], row[2], row[0]))
-        there = db.execute("SELECT 1 FROM gpkg_contents WHERE table_name = ?", (table,)).fetchone()
-        if there and not overwrite_layer:
-            raise TerrainError(f"the file has a layer {table}")
-        db.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
-        for name in ("gpkg_contents", "gpkg_geometry_columns"):
-            db.execute(f"DELETE FROM {name} WHERE table_name = ?", (table,))
-        columns = ", ".join(f"{quoted(f.name)} {_SQL_TYPE[type(f.dataType)]}" for f in fields)
-        db.execute(f"CREATE TABLE {quoted(table)} (fid INTEGER PRIMARY KEY AUTOINCREMENT, {quoted(geometry)} {kind}, {columns})")
-        into = f"INSERT INTO {quoted(table)} ({', '.join(quoted(x) for x in [geometry, *(f.name for f in fields)])}) VALUES ({', '.join('?' * (len(fields) + 1))})"
-        box, n = None, 0
-        for row in layer.toLocalIterator(prefetchPartitions=True):
-            wkb = line_wkb([(p.x, p.y) for p in row[geometry]]) if lines else bytes(row[geometry])
-            e = _extent(wkb)
-            box = e if box is None else (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
-            db.execute(into, (_gpkg_blob(wkb, srs), *(row[f.name] for f in fields)))
-            n += 1
-        db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, min_x, min_y, max_x, max_y, srs_id) VALUES (?, 'features', ?, ?, ?, ?, ?, ?)", (table, table, *(box or (None,) * 4), srs))
-        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, ?, ?, ?, 0, 0)", (table, geometry, kind, srs))
-        if style is not None:
-            db.execute("DELETE FROM layer_styles WHERE f_table_name = ?", (table,))
-            db.execute("INSERT INTO layer_styles (f_table_name, f_geometry_column, styleName, styleSLD, useAsDefault) VALUES (?, ?, 'default', ?, 1)", (table, geometry, style))
-        db.commit()
-        return n
-    finally:
-        db.close()
-
-
-def read_gpkg(spark, path: str, table: str) -> DataFrame:
-    """A layer of a GeoPackage, with its geometry as WKB: the check of an export."""
-    db = sqlite3.connect(path)
-    try:
-        column = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (table,)).fetchone()
-        if column is None:
-            raise TerrainError(f"the file has no layer {table}")
-        info = [(r[1], r[2].upper()) for r in db.execute(f'PRAGMA table_info("{table}")')]
-        back = {v: k() for k, v in _SQL_TYPE.items()}
-        schema = T.StructType([T.StructField(n, T.BinaryType() if n == column[0] else back.get(t, T.StringType())) for n, t in info])
-        rows = [tuple(from_gpkg_blob(v) if n == column[0] else v for (n, _), v in zip(info, r)) for r in db.execute(f'SELECT * FROM "{table}"')]
-    finally:
-        db.close()
-    return spark.createDataFrame(rows, schema)
-
-
 # --- shapefiles -------------------------------------------------------------
 
 
