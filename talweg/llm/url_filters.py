@@ -69,19 +69,26 @@ def rules_from(table: DataFrame) -> list[Rule]:
 
 # The rules of the contract: fixed values.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-# The method's own rules: link farms, gambling, adult and download traps. Fixed values.
-PATTERNS = (
-    ("block", "casino", r"\bcasino\b", "casino"),
-    ("block", "poker", r"\bpoker\b", "poker"),
-    ("block", "betting", r"\bbetting\b", "betting"),
-    ("block", "porn", r"\bporn\b", "porn"),
-    ("block", "xxx", r"\bxxx\b", "xxx"),
-    ("block", "viagra", r"\bviagra\b", "viagra"),
-    ("block", "warez", r"\bwarez\b", "warez"),
-    ("block", "torrent", r"/torrent/[^?#]*\bdownload\b", "torrent download"),
-    ("block", "doorway", r"\bbuy/cheap/", "buy cheap"),
-    ("block", "admin login", r"/wp/login\b", "wp login"),
-)
+# The method's own rules: words of gambling, adult, drug, pirate and link-farm pages. Fixed values.
+WORDS = (
+    "casino", "poker", "betting", "roulette", "jackpot", "slots", "lottery", "bingo", "porn", "xxx", "escort", "camgirls", "viagra", "cialis", "pills",
+    "steroids", "warez", "keygen", "torrent", "nulled", "payday", "spam", "doorway", "linkfarm", "backlinks", "replica",
+)
+LURES = ("best", "buy", "cheap", "free", "online", "top", "win")
+# Pages that are none whatever their words: logins and forms.
+TRAPS = (("admin login", r"/wp/login\b", "wp login"), ("admin page", r"/wp-admin/", "wp admin"), ("script call", r"/[a-z]+\.php\?[^#]*\b(?:exec|eval)=", "php"))
+
+
+def word_rules(words: tuple[str, ...] = WORDS, lures: tuple[str, ...] = LURES) -> list[tuple[str, str, str, str]]:
+    """(verdict, name, pattern, literals): each word as a part of a host, as a path's segment, as a query's value, and beside each lure."""
+    out = []
+    for w in words:
+        out += [(f"{w} host", rf"^[^/?#]*\b{w}\b", w), (f"{w} page", rf"/{w}\b", w), (f"{w} query", rf"[?&][a-z]+={w}\b", w)]
+        out += [(f"{x} {w}", rf"\b(?:{x}[-_/+]{w}|{w}[-_/+]{x})\b", f"{x} {w}") for x in lures]
+    return [("block", *r) for r in (*out, *TRAPS)]
+
+
+PATTERNS = word_rules()
 
 
 def default_rules() -> list[Rule]:
@@ -124,6 +131,18 @@ def split_url(url: str | None) -> tuple[str, str, str]:
     return (m[1].translate(LOWER), m[2], m[3]) if m else ("", "", "")
 
 
+def url_parts(pages: DataFrame) -> DataFrame:
+    """pages (.., url) with host, path and rest, as split_url gives them, in the JVM."""
+    url = F.coalesce("url", F.lit(""))
+    at = F.instr(url, "://")
+    after = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+    host = F.regexp_extract("_after", "^[^/?#]*", 0)
+    tail = F.substr(F.col("_after"), F.char_length("_host") + 1)
+    cut_up = pages.withColumn("_after", after).withColumn("_host", host).withColumn("_tail", tail).withColumn("path", F.regexp_extract("_tail", "^[^?#]*", 0))
+    low = F.translate("_host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return cut_up.withColumn("host", low).withColumn("rest", F.substr(F.col("_tail"), F.char_length("path") + 1)).drop("_after", "_host", "_tail")
+
+
 def token_frequency(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, int]:
     """URLs that hold each of the rules' tokens; the driver gets a count for each of those."""
     wanted = sorted({t for r in rules for t in r.tokens})
@@ -144,14 +163,13 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page
         made = None
         for b in batches:
             made = made or RuleIndex(*index.value)
-            parts = [split_url(u) for u in b.column(1).to_pylist()]
-            got = [made.judge(*p) for p in parts]
+            got = [made.judge(*p) for p in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] or otherwise for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64())],
-                [id_col, "host", "path", "rule", "verdict", "n_run"],
+                [*b.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] or otherwise for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64())], [id_col, "host", "path", "rule", "verdict", "n_run"]
             )
 
-    return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url).cast("string").alias("url")).mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, n_run long")
+    parts = url_parts(pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url).cast("string").alias("url")))
+    return parts.select(id_col, "host", "path", "rest").mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, n_run long")
 
 
 def _oracle() -> str:
