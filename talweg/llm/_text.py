@@ -8,6 +8,8 @@ the JVM), so nothing is decoded; null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -169,6 +171,19 @@ def _pieces(column: pa.Array, size: int = CHUNK):
         a = b
 
 
+def trim() -> None:
+    """Gives memory that is free by now back to the system: a Python worker serves many tasks, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
 def chunks(batches, table: np.ndarray = SPACE, lower: bool = False, text: str = "text", size: int = CHUNK):
     """(Chunk, record batch slice) of each piece; the text column must be binary."""
     for batch in batches:
@@ -176,6 +191,7 @@ def chunks(batches, table: np.ndarray = SPACE, lower: bool = False, text: str =
         for a, b, data, off in _pieces(column, size):
             rows = batch.slice(a, b - a)
             yield Chunk(rows.column(0), data, off, table, lower), rows
+        trim()
 
 
 def longs(x: np.ndarray) -> pa.Array:

@@ -53,14 +53,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm._shared import MOST_FILTERED, BitFilter, cut, drop_cut, free_name, picker
-from talweg.llm._text import U, Chunk, chunks, longs, mix, run_hashes
+from talweg.llm._text import U, Chunk, chunks, longs, mix, run_hashes, trim
 
 WINDOW, RUN = 20, 10  # words of a window, and of the word runs that anchors are chosen from
 BATCHES = 3  # of a single call
 FAN_IN = 2
 HOT = 256  # stretches from which an anchor's windows are dealt one by one
 NO_ID = 1 << 62  # documents without an id are numbered from here
-PIECE = 300_000  # windows verified at a time
+PIECE = 200_000  # windows verified at a time
 MANIFEST = "manifest.json"
 LONG = 8 << 20  # bytes of a text from which it is cut
 TEXT = 1 << 19  # bytes of text whose windows are found at once
@@ -373,6 +373,8 @@ def _verified(batches, window: int):
             yield _verify((t.slice(0, end) if end else t).to_batches(), window)
             rest = t.slice(end) if end else t.slice(0, 1)
             held, size = rest.to_batches(), int(rest.column(4).to_numpy().sum())
+            del t, key
+            trim()
     if held:
         yield _verify(held, window)
 
