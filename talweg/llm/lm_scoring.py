@@ -40,7 +40,7 @@ MAX_BYTES = 128 << 20  # of a broadcast filter
 MOST_FREQUENT = 1 << 20  # pairs with a larger share of all tokens than one in so many are broadcast; there are no more of them than that
 SAMPLE = 64  # one pair of so many tells how many there are
 MAX_WORDS = 8_000_000  # of a broadcast table of word counts, 16 bytes each
-PROBES, BITS = 4, 9  # bits for each distinct n-gram level
+PROBES, BITS = 4, 12  # bits for each distinct n-gram level
 PIECE_ENTRIES = 600_000  # of one piece of the filter, about: what a task sorts at once
 SCORED = 1 << 19  # bytes of text scored at once
 COUNTED = 1 << 20  # bytes of text whose pairs are counted at once

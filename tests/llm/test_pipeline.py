@@ -122,5 +122,5 @@ def test_entry_lists_every_query():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{k}_" for k in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n[:2] == "op" and n[2].isdigit()} and "pipeline" in names
+    assert {f"op{k}_" for k in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n[:2] == "op" and n[2].isdigit()} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
