@@ -21,7 +21,7 @@ With bands of ``rows`` places, a pair of similarity s shares no bucket with prob
 
 Defined cases: null texts and texts without words have an empty set, are linked with
 nothing and kept; fewer words than a shingle make one shingle; rows that share a doc_id
-are one node, compared by the least of their sets; a row without doc_id is linked with nothing, kept, and has no component;
+are one document, so that what any of their sets is linked with is one group; a row without doc_id is linked with nothing, kept, and has no component;
 an empty table gives no rows; other columns pass through, whatever their names; a very long
 text is one piece of its task, and its set is signed in parts.
 """
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.functions.ordering import numbered
 from talweg.llm._shared import BitFilter, cut, drop_cut, free_name, picker
 from talweg.llm._text import SPACE, U, Chunk, chunks, lists, longs, mix, run_hashes
 from talweg.llm.components import components
@@ -99,6 +100,16 @@ def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64)
 
 
+def digests(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Two longs that stand for each set; h, n as shingle_sets gives them."""
+    off, out = np.append(0, np.cumsum(n)), []
+    for salt in (1, 2):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(_draw(h, salt << 20), out=total[1:])
+        out.append(longs(mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64))))
+    return out
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """One key for each document and band."""
     rows = sig.shape[1] // bands
@@ -121,20 +132,17 @@ def sketches(docs: DataFrame, shingle: int, places: int = PLACES, bands: int = B
         for c, rows in chunks(batches, SPACE, lower=True):
             h, n = shingle_sets(c, shingle)
             doc = np.repeat(np.arange(c.n), n)
-            off = np.append(0, np.cumsum(n))
-            sums = []
-            for salt in (1, 2):
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(_draw(h, salt << 20), out=total[1:])
-                sums.append(longs(mix(total[off[1:]] - total[off[:-1]] + n.astype(np.uint64))))
+            sums = digests(h, n)
             keys = band_keys(signatures(h, doc, c.n, places), bands)
             yield pa.RecordBatch.from_arrays([rows.column(0), longs(n), *sums, lists(keys.ravel(), np.full(c.n, bands))], names)
 
     return _source(docs).mapInArrow(sketch, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def _sets_of(docs: DataFrame, wanted: BitFilter, shingle: int) -> DataFrame:
-    """(id, shingles) of the documents in the filter, and of a few others."""
+def _sets_of(docs: DataFrame, wanted: BitFilter, shingle: int, classes: DataFrame | None = None) -> DataFrame:
+    """(id, shingles) of the documents in the filter, and of a few others. With classes (d1, d2, owner, rep): of these, by rep."""
+    names = ["id", "shingles"] + (["d1", "d2"] if classes is not None else [])
+    types = {"id": "long", "shingles": "array<long>", "d1": "long", "d2": "long"}
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches):
@@ -143,9 +151,19 @@ def _sets_of(docs: DataFrame, wanted: BitFilter, shingle: int) -> DataFrame:
             keep = sent.value.might_contain(ids.astype(np.int64).view(np.uint64))
             for c, rows in chunks([batch.filter(pa.array(keep))], SPACE, lower=True):
                 h, n = shingle_sets(c, shingle)
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists(h, n)], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists(h, n), *(digests(h, n) if len(names) > 2 else [])], names)
+
+    found = _source(docs).where("doc_id is not null").mapInArrow(sets, ", ".join(f"{x} {types[x]}" for x in names))
+    if classes is None:
+        return found
+    return found.withColumnRenamed("id", "owner").join(classes, ["d1", "d2", "owner"]).groupBy(F.col("rep").alias("id")).agg(F.min("shingles").alias("shingles"))
+
 
-    return _source(docs).where("doc_id is not null").mapInArrow(sets, "id long, shingles array<long>")
+def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) from the least class that a doc_id is in to its others."""
+    held = cut(usable.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", F.col("rep").alias("v")).distinct())
+    least = held.groupBy("doc_id").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u < last").select("doc_id", "u")
+    return held.join(least, "doc_id").where("u <> v").select("u", "v").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,18 +241,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
     usable = sk.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # one row for each class of equal sets
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    repeats = _repeats(sk)
+    if repeats:
+        # classes may have their least id in common: numbers in its order stand for them until the end
+        classes = cut(numbered(classes.withColumnRenamed("rep", "owner"), "rep", "owner", "d1", "d2"))
     entries = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = cut(entries.join(shared, "key").select("key", "rep", "n", "pivot"))
 
     need = buckets.select("rep").distinct()
-    wanted = BitFilter.build(need, "rep", need.count())
-    sets = cut(_sets_of(docs, wanted, shingle).groupBy("id").agg(F.min("shingles").alias("shingles")) if _repeats(sk) else _sets_of(docs, wanted, shingle))
+    if repeats:
+        need = cut(classes.select("d1", "d2", "owner", "rep").join(need, "rep"))
+    wanted = BitFilter.build(need, "owner" if repeats else "rep", need.count())
+    sets = cut(_sets_of(docs, wanted, shingle, need if repeats else None))
 
     # round one: the pivot that shares most of a class's buckets
     first = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("rep").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
     tested = cut(first.select(F.col("pivot").alias("u"), F.col("rep").alias("v")))
-    links = cut(_linked(tested, sets, percent))
+    links = _linked(tested, sets, percent)
+    links = cut(links.unionByName(_same_id(usable, classes)) if repeats else links)
     comp = cut(components(links))
 
     # round two: across components, from those outside a bucket's largest one
@@ -249,6 +274,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
         comp = components(links.select("u", "v").union(late.select("u", "v")))
 
     named = classes.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    if repeats:
+        named = named.join(classes.select(F.col("rep").alias("component_id"), "owner"), "component_id").select("d1", "d2", F.col("owner").alias("component_id"))
     alone = ~((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     grouped = usable.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     out = grouped.unionByName(sk.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

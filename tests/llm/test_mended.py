@@ -8,6 +8,7 @@ import pytest
 import brute
 from talweg.llm import chat_format, decontamination, lm_scoring, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup
 from talweg.llm._text import run_hashes, span_hashes
+from talweg.llm.components import union_find
 from test_operators import empty, frame, prose
 
 
@@ -129,6 +130,32 @@ def test_near_duplicates_leave_rows_without_id_or_partner(spark):
     assert got == sorted((i is None, i or 0, t or "") for i, t in rows if i != 3)
 
 
+def by_rows(rows, k, percent):
+    """(id, set size, least id reachable) of rows whose ids may repeat: rows are compared one by one, and those of one id belong together."""
+    numbered = [(1000 * i + n, t) for n, (i, t) in enumerate(rows)]
+    groups = brute.near_groups(numbered, k, percent)
+    first = {}
+    links = [(x, y) for x, (_, y) in groups.items()] + [(x, first.setdefault(x // 1000, x)) for x, _ in numbered if groups[x][0]]
+    least = union_find(*zip(*links))
+    return sorted((x // 1000, size, least[x] // 1000) for x, (size, _) in groups.items())
+
+
+def test_near_duplicates_of_every_row_of_a_repeated_id(spark):
+    """Each set of a doc_id keeps its links, whichever is the least."""
+    rnd = random.Random(41)
+    a, b, c = (prose(rnd, 120, 4000) for _ in range(3))
+    rows = [(5, a), (5, b), (10, a + " more"), (11, b + " more"), (12, c), (12, c), (4, c + " more"), (20, c), (20, a), (30, prose(rnd, 50, 4000)), (30, ""), (31, None)]
+    got = near_rows(spark, rows, 3, 85)
+    assert got == by_rows(rows, 3, 85)
+    assert {i: c for i, _, c in got} == {4: 4, 5: 4, 10: 4, 11: 4, 12: 4, 20: 4, 30: 30, 31: 31}
+    many = [(rnd.randrange(40), " ".join([*base.split()[: rnd.randrange(60, 80)], *prose(rnd, rnd.randrange(9), 4000).split()])) for base in (prose(rnd, 80, 4000) for _ in range(8)) for _ in range(12)]
+    assert near_rows(spark, many, 3, 85) == by_rows(many, 3, 85)
+
+
+def near_rows(spark, rows, k, percent):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(frame(spark, rows).select("doc_id", "text"), k, percent).collect())
+
+
 def test_mixture_of_rows_without_ids_meets_its_target(spark):
     """A source of null ids: each row draws by its own text."""
     rows = [(None, f"w{k} x") for k in range(3000)] + [(k, "a b") for k in range(3000)]
