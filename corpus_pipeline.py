@@ -5,7 +5,8 @@ the last returns each document as often as the mixture reads it, numbered by ``c
 
 Defined cases, for all stages: an empty table gives no rows; every column stays, whatever
 its name; repeated rows are rows of their own unless a stage says otherwise; texts are read
-whole, however long. What a stage writes on its way is deleted once its result is written.
+whole, however long. The stages set spark.sql.execution.arrow.maxBytesPerBatch to 4 MB where the
+session has no value for it. What a stage writes on its way is deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from talweg.llm import decontamination, minhash_dedup, quality_classifier, source_mixing, substring_dedup
-from talweg.llm._shared import cut, drop_cut, scratch
+from talweg.llm._shared import cut, drop_cut, scratch, small_batches
 
 SHINGLE, PERCENT = 5, 80  # words of a shingle; least similarity of near duplicates
 PASSAGE = 30  # words from which a passage that stands earlier is removed
@@ -22,21 +23,25 @@ WINDOW, COVERED = 10, 0.5  # words of a benchmark match; share of matched words
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows that the classifier rejects: those without words, and by score; each row by itself, with an id or without."""
+    small_batches(spark)
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One doc_id of each group; rows of one doc_id are one document and stay together; rows without id or words stay."""
+    small_batches(spark)
     return minhash_dedup.keep_one(docs, SHINGLE, PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages that stand earlier in the order of doc_id, rows without one last; a document of which nothing is left goes."""
+    small_batches(spark)
     return substring_dedup.remove_duplicates(docs, PASSAGE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages of the benchmark's items, with an id or without; each row by its own text."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, COVERED)
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm import quality_rules
 from talweg.llm._shared import cut, drop_cut, free_name
-from talweg.llm._text import ALNUM, SPACE, Chunk, _pieces, lists, longs
+from talweg.llm._text import ALNUM, SPACE, Chunk, _pieces, lists, longs, trim
 
 MOST_LABELS = 12_000
 WORDS, LEAST_DOCS, LEAST_Z = 4096, 3, 3.0
@@ -365,6 +365,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, every = train(docs, labels)
     if every is not None:
         drop_cut(every)
+    trim()  # the driver's own, after the fit
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index("text")
     views = _columns(docs)

@@ -501,5 +501,6 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, run: int = RUN, ind
     found = _flat_spans(docs, window, run, index, key, name)
     rows, pick = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text").cast("binary"))), picker(found, key)
     untouched, hit = (rows.mapInArrow(pick(x), rows.schema) for x in (False, True))
-    cleaned = hit.join(found, key, "left").select(*docs.columns, name).mapInArrow(clean, schema)
+    # written, so that no task holds the Python workers of both steps: an executor would keep twice as many
+    cleaned = cut(hit.join(found, key, "left").select(*docs.columns, name)).mapInArrow(clean, schema)
     return untouched.select(*docs.columns).unionByName(cleaned)
