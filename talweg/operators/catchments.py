@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import geometry as G
 from talweg.functions.lineage import cut
-from talweg.operators.trees import OpenCells, first_stop, fold
+from talweg.operators.trees import OpenCells, first_stop, fold, last_stop
 from talweg.sources.grid import Grid, TerrainError
 
 Point = tuple[float, float]
@@ -136,15 +136,11 @@ def totals(layer: DataFrame, grid: Grid, valid: int, min_cells: int) -> DataFram
 def normalise_selection(tree: DataFrame, grid: Grid, outlets: list[int] | DataFrame) -> DataFrame:
     """(group_id, cell_id): upstream areas of the outlets, nested ones merged into the area that holds them.
 
-    In a forest two areas are nested or disjoint, and one is nested if its outlet drains
-    through another outlet.
+    In a forest two areas are nested or disjoint, and an area that nests in no other has
+    the last outlet on its cells' ways: one search gives each cell its group.
     """
     marks = _outlets(tree.sparkSession, outlets)
-    down = tree.select("cell_id", F.col("down_id").alias("_d")).join(marks, "cell_id").select(F.col("cell_id").alias("group_id"), F.col("_d").alias("cell_id"))
-    inner = down.join(nearest_outlet(tree, grid, marks), "cell_id").select("group_id")
-    top = marks.select(F.col("cell_id").alias("group_id")).join(inner.distinct(), "group_id", "left_anti")
-    got = nearest_outlet(tree, grid, top.select(F.col("group_id").alias("cell_id")))
-    return got.select(F.col("outlet").alias("group_id"), "cell_id")
+    return last_stop(tree, marks, grid).where("stop is not null").select(F.col("stop").alias("group_id"), "cell_id")
 
 
 def merge_groups(groups: DataFrame, tree: DataFrame) -> DataFrame:

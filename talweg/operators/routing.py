@@ -81,13 +81,31 @@ def neighbours(cells: DataFrame, grid: Grid) -> DataFrame:
     return offered.join(cells.select("cell_id"), "cell_id")
 
 
-def with_best_neighbour(cells: DataFrame, grid: Grid) -> DataFrame:
-    """cells with n_nbrs, the lowest neighbour (best_id, best_z), and how many neighbours tie for it."""
-    offered = to_neighbours(cells, grid).groupBy("target").agg(
-        F.count(F.lit(1)).alias("n_nbrs"), F.min(F.struct("z", "cell_id")).alias("best"), F.sort_array(F.collect_list("z")).alias("zs")  # at most eight
-    )
-    got = offered.select(F.col("target").alias("cell_id"), "n_nbrs", F.col("best.cell_id").alias("best_id"), F.col("best.z").alias("best_z"), (F.size(F.filter("zs", lambda z: z == F.col("best.z")))).alias("n_best"))
-    return cells.join(got, "cell_id", "left").withColumn("n_nbrs", F.coalesce("n_nbrs", F.lit(0)))
+def with_best_neighbour(cells: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """(cell_id, z) with n_nbrs, the lowest neighbour (best_id, best_z; ties by the smaller id), and how many neighbours tie for it. Tiles and their halos are looked at on arrays."""
+    cols = grid.cols
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, z, own = pdf.cell_id.to_numpy(), pdf.z.to_numpy(), pdf.own.to_numpy()
+        r, c = cell // cols, cell % cols
+        width = int(c.max() - c.min()) + 3  # a frame of invalid cells saves the border tests
+        at = (r - r.min() + 1) * width + c - c.min() + 1
+        level = np.full((int(r.max() - r.min()) + 3) * width, np.nan)
+        level[at] = z
+        at, cell = at[own], cell[own]
+        n, ties = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        best, best_id = np.full(len(at), np.inf), np.full(len(at), -1)
+        for dr, dc in STEPS:  # by rising ids
+            seen = level[at + dr * width + dc]
+            lower = seen < best
+            n += ~np.isnan(seen)
+            ties = np.where(lower, 1, ties + (seen == best))
+            best, best_id = np.where(lower, seen, best), np.where(lower, cell + dr * cols + dc, best_id)
+        return pd.DataFrame({"cell_id": cell, "z": z[own], "n_nbrs": n, "best_id": best_id, "best_z": best, "n_best": ties})
+
+    halo = with_halo(cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("z").cast("double").alias("z")), grid, tile_cells)
+    got = halo.groupBy("tile").applyInPandas(local, "cell_id long, z double, n_nbrs long, best_id long, best_z double, n_best int")
+    return got.select("cell_id", "z", "n_nbrs", *(F.when(F.col("n_nbrs") > 0, F.col(x)).alias(x) for x in ("best_id", "best_z", "n_best")))
 
 
 def seeds(cells: DataFrame, grid: Grid) -> DataFrame:

@@ -127,6 +127,43 @@ def first_stop(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> Da
     return done.unionByName(rest).withColumnRenamed("node", "cell_id")
 
 
+def last_stop(links: DataFrame, marks: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """(cell_id, stop): of links (cell_id, down_id), the last of the cells of marks (cell_id) on each cell's way, itself included; null without one. Marks meet the links in their tile."""
+    tile = tile_of(grid, F.col("cell_id"), tile_cells).alias("tile")
+
+    def local(pdf: pd.DataFrame, marked: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        cell, down = pdf.cell_id.to_numpy(np.int64), pdf.down_id.to_numpy(np.int64)
+        if not len(cell):
+            return pd.DataFrame({"node": cell, "to": cell, "mark": cell})
+        nxt = places(cell, down)
+        leaves_to = down[local_last(nxt, np.zeros(len(cell), bool))]
+        mark, jump = np.where(np.isin(cell, marked.cell_id.to_numpy(np.int64)), cell, -1), nxt
+        while (live := jump >= 0).any():
+            further = np.where(live, mark[np.maximum(jump, 0)], -1)
+            mark = np.where(further >= 0, further, mark)
+            jump = np.where(live, jump[np.maximum(jump, 0)], -1)
+        return pd.DataFrame({"node": cell, "to": leaves_to, "mark": mark})
+
+    sides = links.select("cell_id", "down_id", tile).groupBy("tile"), marks.select("cell_id", tile).groupBy("tile")
+    inside = sides[0].cogroup(sides[1]).applyInPandas(local, "node long, to long, mark long")
+    inside = inside.select("node", *(F.when(F.col(x) >= 0, F.col(x)).alias(x) for x in ("to", "mark")))
+    if one_tile(grid, tile_cells):
+        return inside.select(F.col("node").alias("cell_id"), F.col("mark").alias("stop"))
+    inside = cut(inside)
+    open_ = inside.where("to is not null")
+    state = cut(inside.join(open_.select(F.col("to").alias("node")).distinct(), "node", "left_semi"))
+    while not state.where("to is not null").isEmpty():
+        far = state.select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("mark").alias("_mark"))
+        after = cut(state.join(far, F.col("to") == F.col("_n"), "left").select("node", F.col("_to").alias("to"), F.coalesce("_mark", "mark").alias("mark")))
+        drop_cut(state)
+        state = after
+    solved = state.select(F.col("node").alias("to"), F.col("mark").alias("_mark"))
+    rest = open_.join(solved, "to", "left").select("node", F.coalesce("_mark", "mark").alias("stop"))
+    done = inside.where("to is null").select("node", F.col("mark").alias("stop"))
+    return done.unionByName(rest).withColumnRenamed("node", "cell_id")
+
+
 class Strahler:
     """The largest of the values given to a cell, or one more if it was given twice; 1 without any."""
 
