@@ -93,14 +93,16 @@ def upstream_sums(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) ->
     entries = inside.where("cell_id = last and leaves_to >= 0").groupBy(F.col("leaves_to").alias("node")).agg(F.sum("w").alias("w"))
     nodes = entries.join(inside.select(F.col("cell_id").alias("node"), F.when(F.col("leaves_to") >= 0, F.col("leaves_to")).alias("to")), "node")
     inflow = _forest_sums(nodes).select(F.col("node").alias("cell_id"), F.col("total").alias("_in"))
-    again = tiled.join(inflow, "cell_id", "left").select("cell_id", "down_id", (F.col("w") + F.coalesce("_in", F.lit(0))).alias("w"), "tile")
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+    def spread(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
-        cell, down = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy()
-        return pd.DataFrame({"cell_id": cell, "down_id": down, "total": _local_sums(places(cell, down), pdf.w.to_numpy())})
+        cell, down, w = pdf.cell_id.to_numpy(), pdf.down_id.to_numpy(), pdf.w.to_numpy().copy()
+        w[np.searchsorted(cell, entered.cell_id.to_numpy(np.int64))] += entered["_in"].to_numpy(np.int64)
+        return pd.DataFrame({"cell_id": cell, "down_id": down, "total": _local_sums(places(cell, down), w)})
 
-    return again.groupBy("tile").applyInPandas(spread, "cell_id long, down_id long, total long")
+    # inflows meet the cells in their tile, so that cells are shuffled by tile alone
+    entered = inflow.withColumn("tile", tile_of(grid, F.col("cell_id"), tile_cells))
+    return tiled.groupBy("tile").cogroup(entered.groupBy("tile")).applyInPandas(spread, "cell_id long, down_id long, total long")
 
 
 def first_stop(links: DataFrame, grid: Grid, tile_cells: int = TILE_CELLS) -> DataFrame:

@@ -51,3 +51,17 @@ def test_cells_are_not_multiplied_or_searched_twice(spark):
     assert groups.count("FlatMapCoGroups") == 1 and "FlatMapGroups" not in groups
     cells = spark.createDataFrame(sorted(z.items()), "cell_id long, z double")
     assert "Generate" not in plan(routing.receivers_by_lowest(cells, GRID, check=False))
+
+
+def test_inflows_meet_cells_in_their_tile(spark):
+    """Sums over small blocks shuffle the cells by tile, not by cell as well."""
+    z, down, tree = surface(spark)
+    out = trees.upstream_sums(tree.selectExpr("cell_id", "down_id", "cell_id w"), GRID, 64)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    want = dict.fromkeys(z, 0)
+    for i in z:
+        p = i
+        while p >= 0:
+            want[p] += i
+            p = down[p]
+    assert {r.cell_id: r.total for r in out.collect()} == want
